@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontam, jaccard, line_dedup, quality, sentencepiece_codec, topk, url_filter
+from gristmill.llm import ctw, decontam, jaccard, line_dedup, quality, sentencepiece_codec, topk, url_filter
 
 #: Where the public tokenizers' files are; a parameter of every operator that reads one.
 PIECES = os.environ.get("GRISTMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -75,6 +75,11 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)), F.lit(0))
+    return ctw.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), rest != 2, rest == 2)
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_line_dedup": op6_line_dedup,
+        "op7_ctw": op7_ctw,
         "op8_top_k": op8_top_k,
         "op9_decontamination": op9_contract,
         "op10_ngram_jaccard": op10_ngram_jaccard,
