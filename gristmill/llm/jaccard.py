@@ -1,15 +1,16 @@
 """N-gram Jaccard join by rare-first prefix filtering (operator 10).
 
 A document's set is its distinct word n-grams as 64-bit hashes; equal sets are one node, so
-exact copies are never compared.  Order of n-grams: level of a corpus-wide count sketch (one
-byte for each of 2**20 cells, from all documents), then hash; a total order, so two sets whose
-similarity reaches the threshold share an n-gram among their first n - ceil(t n) + 1.
+exact copies are never compared.  Order of n-grams, from statistics of all documents: those seen
+once before those seen again (a bitmap of 2**28 cells), then by level of a count sketch (a byte for each of
+2**20 cells), then by hash.  It is a total order, so two sets whose similarity reaches the
+threshold share an n-gram among their first n - ceil(t n) + 1.  Fuller cells on larger inputs only make the order less sharp.
 
-1. `_digests`: one row for each document (node, size) and the sketch's partial counts.
+1. `_digests`: one row for each document (node, size, sizes of 64 parts) and the partial statistics.
 2. `_prefixes` emits the prefix n-grams; sorted runs of one n-gram are streamed, and each run's
-   rows of compatible length are paired with the run's smallest set only (a star).
-3. Stars that pass the positional filter are verified on the whole sets, once for each pair.
-   Components of the links follow.
+   rows are paired with the next smaller set only (a chain).
+3. Each node's most frequent neighbour in the chains is verified on the whole sets; in a few more
+   rounds, its most frequent neighbour of another component.  Components of the links follow.
 4. Runs that still hold several components give the pairs across components that pass length,
    positional and suffix filters.  They are verified too, so no link between components is lost, while
    the pairs inside a component are never made.
@@ -21,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm._spark import Work, components
 from gristmill.llm._text import LOWER, NOT_SPACE, U64, chunks, hash_spans, mix64, roll, spans
 
 CELL_BITS = 20
+SPACE_BITS, SLICE_BITS, AGAIN_BITS = 34, 10, 28
 SLICE = 1 << 16
 SEEN = 1 << 18
 GRAM = 0x5851F42D4C957F2D
 PARTS = 64
+ROUNDS = 4
 
 
 def gram_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -54,28 +57,44 @@ def node_of(grams: np.ndarray) -> int:
 def _digests(k: int):
     names = ["doc", "node", "n", "parts", "slice", "cells"]
 
+    def nothing(n: int) -> list[pa.Array]:
+        return [*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.list_(pa.int16()))]
+
+    def statistics(held: list[np.ndarray], cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Adds to the sketch's cells; gives sorted hashes of SPACE_BITS by slice, as differences in byte planes. Slices of these are negative."""
+        h = np.sort(np.concatenate(held) >> U64(64 - SPACE_BITS))
+        cells += np.bincount((h >> U64(SPACE_BITS - CELL_BITS)).astype(np.int64), minlength=len(cells))
+        ends = np.searchsorted(h, np.arange((1 << SLICE_BITS) + 1, dtype=U64) << U64(SPACE_BITS - SLICE_BITS))
+        some = np.flatnonzero(np.diff(ends))
+        low = (h & U64((1 << (SPACE_BITS - SLICE_BITS)) - 1)).astype(np.uint32)
+        packed = [np.diff(low[ends[i] : ends[i + 1]], prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([*nothing(len(some)), pa.array((-1 - some).astype(np.int32)), pa.array(packed, pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, held, n_held = np.zeros(1 << CELL_BITS, np.int64), [], 0
+        cells, held, n_held, seen = np.zeros(1 << CELL_BITS, np.int64), [], 0, set()
         for b in batches:
             node, size, parts = [], [], []
             for g in gram_sets(b.column(1), k):
                 parts.append(np.minimum(np.bincount((g & U64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
                 node.append(node_of(g) if len(g) else None)
                 size.append(len(g))
-                held.append(g >> U64(64 - CELL_BITS))
-                n_held += len(g)
-                if n_held >= 1 << 20:
-                    cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells))
+                if node[-1] not in seen:  # copies within a task count once
+                    if len(seen) < SEEN:
+                        seen.add(node[-1])
+                    held.append(g)
+                    n_held += len(g)
+                if n_held >= 1 << 21:
+                    yield from statistics(held, cells)
                     held, n_held = [], 0
             n = len(b)
             part = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARTS), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), part, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if held:
-            cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(cells))
+            yield from statistics(held, cells)
         for s in range(0, len(cells), SLICE):
             if cells[s : s + SLICE].any():
                 part = np.minimum(cells[s : s + SLICE], 0xFFFFFFFF).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int16())), pa.array([s // SLICE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*nothing(1), pa.array([s // SLICE], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
 
     return run
 
@@ -91,9 +110,28 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
 
 
-def _prefixes(k: int, percent: int, levels):
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slice the bitmap of the AGAIN_BITS cells that hold a hash seen at least twice."""
+    cells: dict[int, np.ndarray] = {}
+    for b in batches:
+        for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own = cells.setdefault(s, np.zeros(1 << (SPACE_BITS - SLICE_BITS), np.uint8))
+            at, n = np.unique(np.cumsum(np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()), return_counts=True)
+            own[at] = np.minimum(own[at] + np.minimum(n, 2).astype(np.uint8), 2)
+            if len(cells) >= 8:  # rows come sorted by slice
+                yield _bitmap(*((first := min(x for x in cells if x != s)), cells.pop(first)))
+    for s, own in cells.items():
+        yield _bitmap(s, own)
+
+
+def _bitmap(s: int, own: np.ndarray) -> pa.RecordBatch:
+    fold = (own.reshape(1 << (AGAIN_BITS - SLICE_BITS), -1) > 1).any(axis=1)
+    return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(fold).tobytes()], pa.binary())], names=["slice", "bits"])
+
+
+def _prefixes(k: int, percent: int, levels, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        level, again = levels.value, bitmap.value
         seen: set[int] = set()  # copies of a text in one task are one node already
         for b in batches:
             grams, nodes, sizes = [], [], []
@@ -104,7 +142,9 @@ def _prefixes(k: int, percent: int, levels):
                 if len(seen) < SEEN:
                     seen.add(node)
                 p = n - -(-n * percent // 100) + 1
-                rare = g[np.argsort(level[g >> U64(64 - CELL_BITS)], kind="stable")[:p]]
+                cell = (g >> U64(64 - AGAIN_BITS)).astype(np.int64)
+                bit = again[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
+                rare = g[np.argsort(bit.astype(np.uint16) << 8 | level[cell >> (AGAIN_BITS - CELL_BITS)], kind="stable")[:p]]
                 grams.append(rare)
                 nodes.append(node)
                 sizes.append(n)
@@ -124,56 +164,35 @@ def _rows(grams: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(pos.astype(np.int32))], names=["gram", "node", "n", "pos"])
 
 
-def _stars(percent: int):
-    """Streams rows sorted by (gram, n, node): rows of grams with at least two nodes, each with the hub that it is to be compared with.
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams rows sorted by (gram, n, node): rows of grams with at least two nodes, each with the row before it (the first: itself).
 
-    The first row of a gram is a hub; a row too long for the hub becomes the next hub.
-    Only the last row and hub are kept between batches, however long a run is.
+    Near-duplicates are of about one size, so they stand side by side.  Only the last row is kept between batches, however long a run is.
     """
-    names = ["gram", "node", "n", "pos", "hub", "hub_n", "hub_pos"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple | None = None  # last row (gram, node, n, pos), its hub (node, n, pos), whether it was given out
-        for b in batches:
-            gram, node, n, pos = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(gram):
-                continue
-            fresh = np.ones(len(gram), bool)  # not a copy of the row before
-            fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-            if carry and carry[0][0] == gram[0] and carry[0][1] == node[0]:
-                fresh[0] = False
-            gram, node, n, pos = gram[fresh], node[fresh], n[fresh], pos[fresh]
-            if not len(gram):
-                continue
-            start = np.ones(len(gram), bool)
-            start[1:] = gram[1:] != gram[:-1]
-            same = bool(carry and carry[0][0] == gram[0])
-            out: list[tuple] = []
-            heads = np.flatnonzero(start)
-            ends = np.append(heads[1:], len(gram))
-            for i, j in zip(heads.tolist(), ends.tolist(), strict=True) if len(heads) < len(gram) or same else ():
-                hub = None
-                if i == 0 and same:
-                    hub = carry[1]
-                    if not carry[2]:
-                        out.append((*carry[0], *hub))
-                elif j - i < 2:
-                    continue
-                for r in range(i, j):
-                    row = (int(gram[r]), int(node[r]), int(n[r]), int(pos[r]))
-                    if hub is None or 100 * hub[1] < percent * row[2]:
-                        hub = row[1:]
-                    out.append((*row, *hub))
-            one = len(gram) - 1
-            row = (int(gram[one]), int(node[one]), int(n[one]), int(pos[one]))
-            if out and out[-1][:2] == row[:2]:
-                carry = (row, out[-1][4:], True)
-            else:
-                carry = (row, row[1:], False)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=names)
-
-    return run
+    names = ["gram", "node", "n", "pos", "prev", "prev_n", "prev_pos"]
+    last, given = None, False  # last row, whether it was given out
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if last is not None:
+            cols = [np.concatenate([x[None], c]) for x, c in zip(last, cols, strict=True)]
+        gram, node = cols[:2]
+        if not len(gram):
+            continue
+        fresh = np.ones(len(gram), bool)  # not a copy of the row before
+        fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        gram, node, n, pos = (c[fresh] for c in cols)
+        joins = np.zeros(len(gram) + 1, bool)  # joins[i]: row i goes on the run of the row before
+        joins[1:-1] = gram[1:] == gram[:-1]
+        out = joins[:-1] | joins[1:]
+        before = np.arange(len(gram)) - joins[:-1]
+        if last is not None and given:
+            out[0] = False
+        given = bool(joins[len(gram) - 1]) or (len(gram) == 1 and given)
+        last = tuple(c[-1] for c in (gram, node, n, pos))
+        at = np.flatnonzero(out)
+        if len(at):
+            prev = before[at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram[at], node[at], n[at], pos[at], node[prev], n[prev], pos[prev])], names=names)
 
 
 def _possible(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -255,15 +274,40 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     first = work.table(docs.mapInArrow(_digests(k), "doc long, node long, n long, parts array<short>, slice int, cells binary"), "digests")
     levels = np.zeros(1 << CELL_BITS, np.uint8)
-    for s, level in first.where("slice is not null").select("slice", "cells").repartition("slice").mapInArrow(_sum_cells, "slice int, level binary").collect():  # 2**CELL_BITS bytes
+    stats = first.where("slice is not null").select("slice", "cells")
+    for s, level in stats.where("slice >= 0").repartition("slice").mapInArrow(_sum_cells, "slice int, level binary").collect():  # 2**CELL_BITS bytes
         levels[s * SLICE : (s + 1) * SLICE] = np.frombuffer(bytes(level), np.uint8)
+    again = np.zeros(1 << (AGAIN_BITS - 3), np.uint8)
+    width = 1 << (AGAIN_BITS - SLICE_BITS - 3)
+    for s, bits in stats.where("slice < 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_again, "slice int, bits binary").collect():  # 2**AGAIN_BITS bits
+        again[(-1 - s) * width : -s * width] = np.frombuffer(bytes(bits), np.uint8)
     nodes = first.where("node is not null").select("node", "n", "parts").dropDuplicates(["node"])
-    sketch = spark.sparkContext.broadcast(levels)
-    postings = docs.select("text").mapInArrow(_prefixes(k, percent, sketch), "gram long, node long, n int, pos int")
-    stars = work.table(postings.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(_stars(percent), "gram long, node long, n int, pos int, hub long, hub_n int, hub_pos int"), "stars")
-    links = _verified(work, docs, nodes, stars.where(_possible(percent, "n", "pos", "hub_n", "hub_pos")).select(F.col("node").alias("a"), F.col("hub").alias("b")), k, percent, "star")
-    label = components(work, links, "star")
-    rows = stars.select("gram", "node", "n", "pos").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sketch, bitmap = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(again)
+    postings = docs.select("text").mapInArrow(_prefixes(k, percent, sketch, bitmap), "gram long, node long, n int, pos int")
+    chains = work.table(postings.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(_chains, "gram long, node long, n int, pos int, prev long, prev_n int, prev_pos int"), "chains")
+    def chosen(pairs: DataFrame) -> DataFrame:
+        """Of (node, prev) rows each node's most frequent partner of compatible length."""
+        fit = pairs.where(f"node <> prev and 100 * least(n, prev_n) >= {percent} * greatest(n, prev_n)")
+        times = fit.groupBy("node", "prev").agg(F.count(F.lit(1)).alias("times"))
+        best = times.groupBy("node").agg(F.max(F.struct("times", "prev")).alias("best"))
+        return best.select(F.least("node", "best.prev").alias("a"), F.greatest("node", "best.prev").alias("b")).distinct()
+
+    tried = work.table(chosen(chains), "chosen")
+    links = _verified(work, docs, nodes, tried, k, percent, "chosen")
+    for n in range(1, ROUNDS + 1):
+        label = components(work, links, f"round-{n}")
+        rows = chains.select("gram", "node", "n", "pos").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        side = Window.partitionBy("gram").orderBy("n", "node")
+        rest = rows.select("node", "n", "comp", *(F.lag(c).over(side).alias(to) for c, to in (("node", "prev"), ("n", "prev_n"), ("comp", "prev_comp")))).where("comp <> prev_comp")
+        asked = work.table(chosen(rest).join(tried, ["a", "b"], "left_anti"), f"asked-{n}")
+        more = _verified(work, docs, nodes, asked, k, percent, f"asked-{n}")
+        if more.isEmpty():
+            break
+        links = work.table(links.union(more), f"links-{n}")
+        tried = work.table(tried.union(asked), f"tried-{n}")
+    else:
+        label = components(work, links, "last")
+        rows = chains.select("gram", "node", "n", "pos").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rows.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
     rows = work.table(rows.join(mixed, "gram", "left_semi"), "mixed")
     other = rows.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "pos", "comp")))
