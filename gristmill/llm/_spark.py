@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch; with it a Python worker's memory is bounded whatever the texts' lengths.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import ctw, decontam, jaccard, line_dedup, quality, sentencepiece_codec, topk, url_filter
+from gristmill.llm import ctw, decontam, jaccard, licenses, line_dedup, quality, sentencepiece_codec, token_output, topk, url_filter
 
 #: Where the public tokenizers' files are; a parameter of every operator that reads one.
 PIECES = os.environ.get("GRISTMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -18,6 +18,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_output.materialise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return token_output.sequences(shards).select(F.col("doc").alias("doc_id"), "seq", "slot", "shard", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.fit(docs))
+    return found.select("doc_id", "n_paragraphs", F.size("at").cast("long").alias("n_licensed"), F.concat_ws(",", F.array_sort(F.array_distinct("families"))).alias("families"), "chance")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -143,7 +154,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_output": op1_token_output,
         "op2_quality": op2_quality,
+        "op3_licenses": op3_licenses,
         "op4_url_filter": op4_url_filter,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_line_dedup": op6_line_dedup,

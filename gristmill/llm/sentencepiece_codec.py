@@ -30,8 +30,8 @@ from gristmill.llm._text import U64, HashSet, mix64
 SPACE = 0x2581
 LITERAL = 0x110000  # what a U+2581 of the text becomes: in no piece
 BUCKETS = [4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64]  # lengths in lockstep; longer segments are streamed
-LOCKSTEP_ROWS = 1 << 14
-CACHE = 1 << 17
+LOCKSTEP_ROWS = 1 << 13
+CACHE = 1 << 16
 _SEGMENTS = re.compile("\n| *[^ \n]+| +")
 _C = 0x9E3779B97F4A7C15
 _C_INV = pow(_C, -1, 1 << 64)
@@ -201,6 +201,17 @@ class Model:
                 self.cache |= found
         return [b"".join(map(own.__getitem__, x)) for x in cut]
 
+    def encode_all(self, texts: list[str | None], chars: int = 1 << 20) -> list[bytes]:
+        """`encode` of about `chars` characters at a time: what is held at once doesn't grow with the batch."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size >= chars:
+                out += self.encode(part)
+                part, size = [], 0
+        return out + self.encode(part)
+
     def decode(self, packed: bytes | None) -> bytes:
         """UTF-8 bytes of the text; the dummy prefix goes."""
         ids = np.frombuffer(packed or b"", self.dtype).astype(np.int64)
@@ -289,7 +300,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text") -> DataF
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model_path)
         for b in parts:
-            ids = m.encode(b.column(b.num_columns - 1).to_pylist())
+            ids = m.encode_all(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // m.dtype.itemsize for x in ids], pa.int64())], names=[*names, "ids", "n_ids"])
 
     kept = docs.drop("ids", "n_ids")
