@@ -2,7 +2,7 @@
 
 A document's set is its distinct word n-grams as 64-bit hashes; equal sets are one node, so
 exact copies are never compared.  Order of n-grams, from statistics of all documents: those seen
-once before those seen again (a bitmap of 2**28 cells), then by level of a count sketch (a byte for each of
+once before those seen again (a bitmap of 2**27 cells), then by level of a count sketch (a byte for each of
 2**20 cells), then by hash.  It is a total order, so two sets whose similarity reaches the
 threshold share an n-gram among their first n - ceil(t n) + 1.  Fuller cells on larger inputs only make the order less sharp.
 
@@ -29,12 +29,12 @@ from gristmill.llm._spark import Work, components
 from gristmill.llm._text import LOWER, NOT_SPACE, U64, chunks, hash_spans, mix64, roll, spans
 
 CELL_BITS = 20
-SPACE_BITS, SLICE_BITS, AGAIN_BITS = 34, 10, 28
+SPACE_BITS, SLICE_BITS, AGAIN_BITS = 32, 10, 27
 SLICE = 1 << 16
 SEEN = 1 << 18
 GRAM = 0x5851F42D4C957F2D
 PARTS = 64
-ROUNDS = 4
+ROUNDS = 2
 
 
 def gram_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -279,8 +279,10 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         levels[s * SLICE : (s + 1) * SLICE] = np.frombuffer(bytes(level), np.uint8)
     again = np.zeros(1 << (AGAIN_BITS - 3), np.uint8)
     width = 1 << (AGAIN_BITS - SLICE_BITS - 3)
-    for s, bits in stats.where("slice < 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_again, "slice int, bits binary").collect():  # 2**AGAIN_BITS bits
-        again[(-1 - s) * width : -s * width] = np.frombuffer(bytes(bits), np.uint8)
+    found = stats.where("slice < 0").repartition("slice").sortWithinPartitions("slice").mapInArrow(_again, "slice int, bits binary").toArrow()  # 2**AGAIN_BITS bits
+    for s, bits in zip(found.column("slice").to_pylist(), found.column("bits"), strict=True):
+        again[(-1 - s) * width : -s * width] = np.frombuffer(bits.as_buffer(), np.uint8)
+    del found
     nodes = first.where("node is not null").select("node", "n", "parts").dropDuplicates(["node"])
     sketch, bitmap = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(again)
     postings = docs.select("text").mapInArrow(_prefixes(k, percent, sketch, bitmap), "gram long, node long, n int, pos int")
