@@ -1,10 +1,428 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries over the driver's tables and their DuckDB SQL.
+
+Documents stand for questions (id: doc_id, gold letter: a hash), events and conversations for attempt logs, labels for reviews.
+Scores come from the hash-based stand-in, so accuracies carry no meaning.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gristmill.functions import arrays, text
+from gristmill.functions.hashing import bucket, call_seed, letter, seed64
+from gristmill.operators import attempts, experiment, relational
+from gristmill.streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- DuckDB fragments
+def sha(*parts: str) -> str:
+    return f"sha256(concat_ws('|', {', '.join(parts)}))"
+
+
+def b32(*parts: str) -> str:
+    return f"CAST('0x' || substr({sha(*parts)}, 1, 8) AS BIGINT)"
+
+
+def letter_sql(n: str) -> str:
+    return f"substr('ABCD', CAST({n} AS INTEGER) + 1, 1)"
+
+
+def listed(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+SEED = str(experiment.SEED)
+QUESTIONS_SQL = f"q AS (SELECT CAST(doc_id AS VARCHAR) AS id, {letter_sql(b32(chr(39) + 'gold' + chr(39), 'doc_id') + ' % 4')} AS gold, source = 'src0' AS seen FROM documents)"
+
+
+def _candidates_sql(split: str, name: str) -> str:
+    key = [f"'{SEED}'", f"'{split}'", "id", "'opinion-pool-v1'"]
+    frames = experiment.TRAIN_FRAMES if split == "train" else experiment.TEST_FRAMES
+    last = f"substr(wrong[1 + {b32(*key, chr(39) + 'repeat' + chr(39))} % 3], 65, 1)" if split == "train" else "gold"
+    return f"""{name}_deck AS (
+    SELECT *, list_sort(list_transform(list_filter(['A','B','C','D'], lambda x: x <> gold), lambda x: {sha(*key, "'wrong'", "x")} || x)) AS wrong,
+           list_sort(list_transform(range({len(frames)}), lambda i: {sha(*key, "'frame'", "CAST(i AS VARCHAR)")} || lpad(CAST(i AS VARCHAR), 2, '0'))) AS deck FROM q
+), {name}_each AS (
+    SELECT *, CASE WHEN candidate_index < 3 THEN substr(wrong[candidate_index + 1], 65, 1) ELSE {last} END AS suggested, CAST(substr(deck[candidate_index + 1], 65, 2) AS INTEGER) AS f,
+           {b32(*key, "'qualifier'", "candidate_index")} % {len(experiment.QUALIFIERS)} AS ql, {b32(*key, "'ending'", "candidate_index")} % {len(experiment.ENDINGS)} AS en
+    FROM (SELECT *, unnest([0, 1, 2, 3]) AS candidate_index FROM {name}_deck)
+), {name} AS (
+    SELECT id, gold, seen, CAST(candidate_index AS INTEGER) AS candidate_index, replace({listed(frames)}[f + 1], '{{letter}}', suggested) || ' ' || {listed(experiment.QUALIFIERS)}[ql + 1] || ' ' || {listed(experiment.ENDINGS)}[en + 1] AS note,
+           suggested, '{split}:frame' || f || ':qualifier' || ql || ':ending' || en AS style_id, suggested = gold AS supports_gold FROM {name}_each
+)"""
+
+
+def _scored_sql(name: str, source: str, *key: str) -> str:
+    logits = ", ".join(f"{b32(chr(39) + 'score' + chr(39), *key, chr(39) + x + chr(39))} / 4294967296.0 * 4 + CASE WHEN gold = '{x}' THEN 1.5 ELSE 0 END + CASE WHEN suggested = '{x}' THEN 1.0 ELSE 0 END" for x in "ABCD")
+    return f"""{name}_z AS (SELECT *, CAST([{logits}] AS DOUBLE[]) AS z FROM {source}),
+{name}_e AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM {name}_z),
+{name} AS (SELECT * EXCLUDE (z, e), list_transform(e, lambda x: x / list_sum(e)) AS probabilities, substr('ABCD', CAST(list_position(e, list_max(e)) AS INTEGER), 1) AS predicted,
+           substr('ABCD', CAST(list_position(e, list_max(e)) AS INTEGER), 1) = gold AS correct, e[instr('ABCD', gold)] / list_sum(e) AS gold_probability FROM {name}_e)"""
+
+
+CASES_SQL = f"""WITH {QUESTIONS_SQL}, {_candidates_sql('test', 'notes')}, noted AS (
+    SELECT id, gold, seen, 'clean' AS variant, '' AS note, CAST(NULL AS VARCHAR) AS suggested, 'clean' AS kind FROM q
+    UNION ALL SELECT id, gold, seen, 'note' || candidate_index, note, suggested, CASE WHEN supports_gold THEN 'supports_correct' ELSE 'supports_wrong' END FROM notes
+), cases AS (
+    SELECT *, concat_ws(':', id, variant, CASE WHEN defended THEN 'defended' ELSE 'plain' END) AS case_id FROM (SELECT *, unnest([false, true]) AS defended FROM noted)
+)"""
+PREDICTIONS_SQL = f"{CASES_SQL}, {_scored_sql('predictions', 'cases', 'case_id')}"
+TRAIN_SQL = f"""WITH {QUESTIONS_SQL}, {_candidates_sql('train', 'notes')}, keyed AS (SELECT *, id || ':' || candidate_index AS k FROM notes), {_scored_sql('scored', 'keyed', 'k')},
+bare AS (SELECT *, id || ':clean' AS k, CAST(NULL AS VARCHAR) AS suggested FROM q), {_scored_sql('clean', 'bare', 'k')},
+each AS (
+    SELECT id, min(candidate_index) FILTER (WHERE c.correct AND NOT s.correct) AS flip, count(*) FILTER (WHERE c.correct AND NOT s.correct) AS n_flip,
+           arg_min(candidate_index, s.gold_probability) FILTER (WHERE c.correct AND s.correct AND s.gold_probability < c.gold_probability) AS near, count(*) FILTER (WHERE c.correct AND s.correct AND s.gold_probability < c.gold_probability) AS n_near,
+           CAST({b32(f"'{SEED}'", "id", "'random-selection-v1'")} % 4 AS INTEGER) AS chance
+    FROM scored s JOIN clean c USING (id) GROUP BY id
+), chosen AS (
+    SELECT id, 'random' AS policy, chance AS candidate_index, false AS fallback, 4 AS eligible FROM each
+    UNION ALL SELECT id, 'flip', coalesce(flip, chance), flip IS NULL, n_flip FROM each UNION ALL SELECT id, 'near_miss', coalesce(near, chance), near IS NULL, n_near FROM each
+)"""
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("id"), letter(bucket("gold", F.col("doc_id")) % 4).alias("gold"), (F.col("source") == "src0").alias("seen"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment.stand_in(experiment.cases(questions(spark, sf_dir)), "case_id")
+
+
+def train_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, scored candidates, scored clean questions."""
+    q = questions(spark, sf_dir)
+    notes = experiment.candidates(q, "train").withColumn("k", F.concat_ws(":", "id", "candidate_index"))
+    clean = q.withColumn("k", F.concat("id", F.lit(":clean"))).withColumn("suggested", F.lit(None).cast("string"))
+    return q, experiment.stand_in(notes, "k"), experiment.stand_in(clean, "k")
+
+
+# ---------------------------------------------------------------- curation
+@query("""
+WITH d AS (SELECT doc_id, sha256(text) AS h, coalesce(lang, '') || '|' || coalesce(source, '') AS c FROM documents),
+g AS (SELECT h, min(doc_id) AS first, count(DISTINCT c) AS n FROM d GROUP BY h)
+SELECT doc_id, h AS text_sha256, CASE WHEN n > 1 THEN 'conflict' WHEN doc_id = first THEN 'kept' ELSE 'duplicate' END AS role FROM d JOIN g USING (h)
+""")
+def exact_dedup_conflicts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("source", F.lit(""))).alias("c"))
+    return relational.dedup_with_conflicts(d, F.col("text_sha256"), F.col("c"), "doc_id").drop("c")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, sha256(text) AS h, {b32("'side'", "doc_id")} % 5 = 0 AS test FROM documents),
+train AS (SELECT doc_id FROM d WHERE NOT test AND h NOT IN (SELECT h FROM d WHERE test)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY {sha("'7'", "'train-dev'", "doc_id")}, doc_id) AS n FROM train)
+SELECT doc_id, CASE WHEN n <= 200 THEN 'dev' WHEN n <= 600 THEN 'train' END AS part FROM r
+""")
+def leakage_free_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    test = bucket("side", F.col("doc_id")) % 5 == 0
+    train, _ = relational.leakage_free(d.where(~test), d.where(test), "h", "h")
+    return relational.split_by_hash(train, "doc_id", 7, "train-dev", [("dev", 200), ("train", 400)]).select("doc_id", "part")
+
+
+@query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
+def contamination_join(spark, sf_dir):
+    """Documents that hold a whole benchmark text: an equi-join on its first words, then the exact test."""
+    items = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"))
+    items = items.withColumn("w", F.regexp_extract("passage", r"^[^a-zA-Z]*([a-zA-Z]+)[^a-zA-Z]+([a-zA-Z]+)[^a-zA-Z]+([a-zA-Z]+)[^a-zA-Z]", 0))
+    cut = F.filter(F.split("passage", "[^a-zA-Z]+"), lambda x: x != "")
+    inner = F.slice(cut, 2, 4)  # the first word may go on to the left in a document
+    keyed = items.withColumn("key", F.when(F.size(inner) == 4, F.xxhash64(F.concat_ws(" ", inner)))).drop("w")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split("text", "[^a-zA-Z]+"), lambda x: x != "")
+    grams = docs.withColumn("w", words).withColumn("key", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(concat_ws(' ', slice(w, i, 4)))))"))).select("doc_id", "key", "text")
+    long = grams.join(keyed.where("key is not null"), "key").where("contains(text, passage)").select("doc_id", "item_id")
+    short = docs.join(F.broadcast(keyed.where("key is null").limit(10_000)), F.expr("contains(text, passage)")).select("doc_id", "item_id")
+    return long.union(short).distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) <> 1")
+def duplicate_key_quarantine(spark, sf_dir):
+    return relational.quarantine(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+WITH r AS (SELECT d.doc_id, text, lang, n_chars, quality, toxic, l.doc_id IS NOT NULL AS has FROM documents d LEFT JOIN labels l USING (doc_id)),
+v AS (SELECT doc_id, unnest(list_filter([
+    CASE WHEN trim(text) = '' OR text IS NULL THEN 'blank_text' END, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'unknown_language' END, CASE WHEN n_chars <> length(text) THEN 'length_mismatch' END,
+    CASE WHEN NOT has THEN 'missing_label' END, CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)) AS code FROM r)
+SELECT * FROM v
+""")
+def record_rule_violations(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").withColumn("has", F.lit(True))
+    r = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    rules = [
+        (F.col("text").isNull() | (F.trim("text") == ""), "blank_text"), (~F.col("lang").isin("en", "fr", "de"), "unknown_language"), (F.col("n_chars") != F.length("text"), "length_mismatch"),
+        (F.col("has").isNull(), "missing_label"), (F.col("quality") == 0, "low_quality"), (F.col("toxic") == 1, "toxic"),
+    ]
+    return r.select("doc_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(code)) for c, code in rules)))).alias("code"))
+
+
+# ---------------------------------------------------------------- expansion, scores, selection
+@query(f"""WITH {QUESTIONS_SQL}, {_candidates_sql('train', 'notes')} SELECT *, CAST('0x' || substr({sha("id", "candidate_index")}, 1, 16) AS HUGEINT) % 1000003 AS seed_rest,
+CAST('0x' || substr(sha256(id || ':' || candidate_index), 1, 8) AS BIGINT) % 2147483648 AS call_seed FROM notes""")
+def candidate_expansion(spark, sf_dir):
+    c = experiment.candidates(questions(spark, sf_dir), "train")
+    return c.withColumn("seed_rest", (seed64(F.col("id"), F.col("candidate_index")) % 1000003).cast("long")).withColumn("call_seed", call_seed(F.col("id"), F.col("candidate_index")))
+
+
+@query(f"{CASES_SQL} SELECT * FROM cases")
+def evaluation_cases(spark, sf_dir):
+    return experiment.cases(questions(spark, sf_dir))
+
+
+@query(f"{PREDICTIONS_SQL} SELECT case_id, predicted, correct, round(gold_probability, 9) AS gold_probability, round(probabilities[1], 9) AS p_a FROM predictions")
+def letter_scores_argmax(spark, sf_dir):
+    return predictions(spark, sf_dir).select("case_id", "predicted", "correct", F.round("gold_probability", 9).alias("gold_probability"), F.round(F.col("probabilities")[0], 9).alias("p_a"))
+
+
+@query(f"{TRAIN_SQL} SELECT id, policy, candidate_index, fallback, CAST(eligible AS BIGINT) AS eligible FROM chosen")
+def selection_policies(spark, sf_dir):
+    _, scored, clean = train_scores(spark, sf_dir)
+    return experiment.select_candidates(clean, scored)
+
+
+@query(f"""{TRAIN_SQL} SELECT policy AS arm, CAST(count(*) AS BIGINT) AS opinions, count(*) FILTER (WHERE c.candidate_index <> r.candidate_index) AS differs, count(*) FILTER (WHERE c.fallback) AS fallbacks, CAST(0 AS BIGINT) AS violations
+FROM chosen c JOIN (SELECT id, candidate_index FROM chosen WHERE policy = 'random') r USING (id) GROUP BY policy""")
+def arm_assembly_check(spark, sf_dir):
+    """Training statistics per arm, and the pair check over all arms."""
+    q, scored, clean = train_scores(spark, sf_dir)
+    chosen = experiment.select_candidates(clean, scored)
+    rows = experiment.assemble_arms(q, scored, chosen)
+    bad = experiment.arm_violations(rows).groupBy("arm").agg(F.count(F.lit(1)).alias("v"))
+    pick = rows.where("note <> ''")
+    same = pick.where("arm = 'random'").select("id", F.col("candidate_index").alias("r"))
+    out = pick.join(same, "id").groupBy("arm").agg(F.count(F.lit(1)).alias("opinions"), F.count_if(F.col("candidate_index") != F.col("r")).alias("differs"), F.count_if("fallback").alias("fallbacks"))
+    return out.join(bad, "arm", "left").select("arm", "opinions", "differs", "fallbacks", F.coalesce("v", F.lit(0)).cast("long").alias("violations"))
+
+
+# ---------------------------------------------------------------- evaluation
+@query(f"""{PREDICTIONS_SQL}, c AS (SELECT id, defended, correct AS cc FROM predictions WHERE kind = 'clean'),
+m AS (SELECT p.*, kind <> 'clean' AND cc AS matched, kind <> 'clean' AND cc AND NOT correct AS flip FROM predictions p LEFT JOIN c USING (id, defended)),
+x AS (SELECT *, unnest(['all', CASE WHEN seen THEN 'previously_observed' ELSE 'previously_unseen' END]) AS subset FROM m),
+y AS (SELECT *, unnest(CASE WHEN kind = 'clean' THEN ['clean'] ELSE ['perturbed', kind] END) AS condition FROM x)
+SELECT subset, CASE WHEN defended THEN 'defended' ELSE 'neutral' END AS prompt, condition, count(*) AS n, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct) / count(*) AS accuracy, count(DISTINCT id) AS questions,
+CASE WHEN condition <> 'clean' THEN count(*) FILTER (WHERE matched) END AS matched, CASE WHEN condition <> 'clean' THEN count(*) FILTER (WHERE flip) END AS flips,
+CASE WHEN condition <> 'clean' THEN count(*) FILTER (WHERE flip) / nullif(count(*) FILTER (WHERE matched), 0) END AS flip_rate FROM y GROUP BY subset, defended, condition""")
+def summary_cube(spark, sf_dir):
+    return experiment.summary_cube(predictions(spark, sf_dir), "seen")
+
+
+@query(f"{PREDICTIONS_SQL} SELECT count(*) AS questions, count(*) FILTER (WHERE e) AS all_correct, count(*) FILTER (WHERE e) / count(*) AS rate FROM (SELECT id, bool_and(correct) AS e FROM predictions WHERE kind <> 'clean' GROUP BY id)")
+def all_variants_correct(spark, sf_dir):
+    return experiment.all_correct(predictions(spark, sf_dir))
+
+
+@query(f"""{PREDICTIONS_SQL}, c AS (SELECT id, probabilities AS p FROM predictions WHERE kind = 'clean' AND NOT defended),
+r AS (SELECT o.*, list_transform(p, lambda x, i: CASE WHEN i = instr('ABCD', suggested) THEN -1.0 ELSE x END) AS left_p FROM predictions o JOIN c USING (id) WHERE kind <> 'clean' AND NOT defended)
+SELECT kind, count(*) AS n, count(*) FILTER (WHERE substr('ABCD', CAST(list_position(left_p, list_max(left_p)) AS INTEGER), 1) = gold) AS correct, count(*) FILTER (WHERE predicted = suggested) AS followed FROM r GROUP BY kind""")
+def exclusion_rule(spark, sf_dir):
+    p = predictions(spark, sf_dir).where("not defended")
+    return experiment.exclusion_rule(p.where("kind = 'clean'"), p.where("kind <> 'clean'"))
+
+
+# ---------------------------------------------------------------- attempt logs
+K = 5
+_TYPES = {"signup": "baseline", "view": "clean_repeat", "click": "independent", "purchase": "adaptive", "error": "literal_control"}
+ATTEMPTS_SQL = f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS question_id, event_id, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())} END AS condition,
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+a AS (SELECT question_id, condition, CAST(CASE WHEN condition = 'baseline' THEN rn - 1 ELSE rn END AS INTEGER) AS attempt, {letter_sql(b32("'gold'", "question_id") + ' % 4')} AS gold,
+    CASE WHEN {b32("'pull'", "event_id")} % 3 = 0 THEN {letter_sql(b32("'answer'", "event_id") + ' % 4')} ELSE {letter_sql(b32("'gold'", "question_id") + ' % 4')} END AS answer,
+    CASE {b32("'status'", "event_id")} % 20 WHEN 0 THEN 'refusal' WHEN 1 THEN 'format_error' ELSE 'ok' END AS status, {b32("'valid'", "event_id")} % 10 <> 0 AS syntactic_valid,
+    CASE {b32("'review'", "event_id")} % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS clinical_review FROM e),
+v AS (SELECT *, status = 'ok' AND answer = gold AS ok, status = 'ok' AND syntactic_valid AND answer <> gold AS wrong, status = 'ok' AND syntactic_valid AND answer <> gold AND clinical_review = 'approved' AS sure FROM a WHERE attempt <= CASE condition WHEN 'baseline' THEN 0 WHEN 'literal_control' THEN 3 ELSE {K} END),
+ids AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS question_id FROM events),
+cohort AS (SELECT question_id FROM v WHERE condition = 'baseline' AND ok AND syntactic_valid),
+plan AS (SELECT 'baseline' AS condition, 0 AS attempt UNION ALL SELECT unnest(['clean_repeat', 'independent', 'adaptive']), unnest([1, 1, 1]) WHERE false UNION ALL SELECT c, k FROM (SELECT unnest(['clean_repeat', 'independent', 'adaptive']) AS c), (SELECT unnest(range(1, {K} + 1)) AS k) UNION ALL SELECT 'literal_control', unnest([1, 2, 3]))"""
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts: user = question, type = condition, order by time = attempt."""
+    e = table(spark, sf_dir, "events")
+    kind = F.create_map(*(F.lit(x) for p in _TYPES.items() for x in p))[F.col("event_type")]
+    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    rows = e.select(F.col("user_id").cast("string").alias("question_id"), "event_id", kind.alias("condition"), n.alias("rn"))
+    i, gold = F.col("event_id"), letter(bucket("gold", F.col("question_id")) % 4)
+    status, review = bucket("status", i) % 20, bucket("review", i) % 3
+    return rows.select(
+        "question_id", "condition", F.when(F.col("condition") == "baseline", F.col("rn") - 1).otherwise(F.col("rn")).alias("attempt"), gold.alias("gold"),
+        F.when(bucket("pull", i) % 3 == 0, letter(bucket("answer", i) % 4)).otherwise(gold).alias("answer"), F.when(status == 0, "refusal").when(status == 1, "format_error").otherwise("ok").alias("status"),
+        (bucket("valid", i) % 10 != 0).alias("syntactic_valid"), F.when(review == 0, "approved").when(review == 1, "rejected").otherwise("pending").alias("clinical_review"),
+    ).withColumn("correct", (F.col("status") == "ok") & (F.col("answer") == F.col("gold")))
+
+
+def budgets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("baseline", 0), ("clean_repeat", K), ("independent", K), ("adaptive", K), ("literal_control", 3)], "condition string, budget int")
+
+
+@query(f"""{ATTEMPTS_SQL} SELECT 'error' AS severity, 'over_budget' AS code, condition, count(*) AS n FROM a WHERE attempt > CASE condition WHEN 'baseline' THEN 0 WHEN 'literal_control' THEN 3 ELSE {K} END AND NOT (condition = 'baseline') GROUP BY condition
+UNION ALL SELECT 'error', 'invalid_key', condition, count(*) FROM a WHERE condition = 'baseline' AND attempt <> 0 GROUP BY condition""")
+def validation_issues(spark, sf_dir):
+    _, issues = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    return issues.groupBy("severity", "code", "condition").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{ATTEMPTS_SQL}, g AS (SELECT question_id, condition, attempt FROM ids, plan)
+SELECT condition, count(*) AS denominator, count(status) AS observed, count(*) - count(status) AS missing, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE ok) / count(*) AS accuracy, count(*) FILTER (WHERE status = 'ok') AS ok,
+count(*) FILTER (WHERE status = 'refusal') AS refusal, count(*) FILTER (WHERE status = 'format_error') AS format_error, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE NOT syntactic_valid) AS syntactic_invalid
+FROM g LEFT JOIN v USING (question_id, condition, attempt) GROUP BY condition""")
+def planned_slot_stats(spark, sf_dir):
+    log = attempt_log(spark, sf_dir)
+    rows, _ = attempts.validate(log, budgets(spark))
+    return attempts.slot_stats(rows, log, budgets(spark))
+
+
+@query(f"""{ATTEMPTS_SQL}, g AS (SELECT question_id, condition, attempt, coalesce(wrong, false) AS wrong, coalesce(sure, false) AS sure, status IS NULL AS gone FROM (SELECT * FROM cohort, plan) LEFT JOIN v USING (question_id, condition, attempt) WHERE condition <> 'baseline'),
+r AS (SELECT condition, attempt AS k, bool_or(wrong) OVER w AS p, bool_or(sure) OVER w AS c, count(*) FILTER (WHERE gone) OVER w AS m FROM g WINDOW w AS (PARTITION BY question_id, condition ORDER BY attempt))
+SELECT condition, k, count(*) AS questions, count(*) FILTER (WHERE p) AS provisional, count(*) FILTER (WHERE c) AS confirmed, count(*) FILTER (WHERE p) / count(*) AS provisional_rate, count(*) FILTER (WHERE c) / count(*) AS confirmed_rate, CAST(sum(m) AS BIGINT) AS missing FROM r GROUP BY condition, k""")
+def any_within_k_curve(spark, sf_dir):
+    rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    return attempts.curves(rows, attempts.cohort(rows), budgets(spark))
+
+
+DRAWS = 200
+
+
+@query(f"""{ATTEMPTS_SQL}, d AS (SELECT question_id, (bool_or(wrong) FILTER (WHERE condition = 'adaptive'))::INT AS x, (bool_or(wrong) FILTER (WHERE condition = 'independent'))::INT AS y FROM cohort LEFT JOIN v USING (question_id) GROUP BY question_id),
+diffs AS (SELECT coalesce(x, 0) - coalesce(y, 0) AS v FROM d), t AS (SELECT list_sort(list(v)) AS vs, count(*) AS n, avg(v) AS m FROM diffs),
+p AS (SELECT draw, avg(vs[1 + {b32("'20260921'", "draw", "i")} % n]) AS m FROM t, (SELECT unnest(range({DRAWS})) AS draw), (SELECT unnest(range((SELECT n FROM t))) AS i) GROUP BY draw)
+SELECT (SELECT n FROM t) AS n, round((SELECT m FROM t), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM p""")
+def paired_bootstrap_ci(spark, sf_dir):
+    rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    hit = lambda c: F.coalesce(F.max(F.when(F.col("condition") == c, F.col("provisional_wrong").cast("int"))), F.lit(0))
+    d = attempts.cohort(rows).join(rows, "question_id", "left").groupBy("question_id").agg((hit("adaptive") - hit("independent")).alias("v"))
+    return attempts.paired_bootstrap(d, "v", DRAWS, 20260921).select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(f"""{ATTEMPTS_SQL}, h AS (SELECT *, string_agg(attempt || answer || status, ',') OVER (PARTITION BY question_id, condition ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM v)
+SELECT question_id, condition, attempt, coalesce(past, '') AS past FROM h""")
+def attempt_history(spark, sf_dir):
+    rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    past = F.concat_ws(",", F.transform("history", lambda x: F.concat(x["attempt"], x["answer"], x["status"])))
+    return attempts.history(rows).select("question_id", "condition", "attempt", past.alias("past"))
+
+
+@query(f"""{ATTEMPTS_SQL}, p AS (SELECT question_id, condition, coalesce(min(attempt) FILTER (WHERE status = 'ok' AND answer <> gold), min(attempt)) AS attempt, coalesce(bool_or(status = 'ok' AND answer <> gold), false) AS wrong
+FROM v WHERE syntactic_valid AND clinical_review <> 'rejected' AND condition IN ('independent', 'adaptive', 'literal_control') GROUP BY question_id, condition)
+SELECT * FROM p WHERE question_id IN (SELECT question_id FROM p GROUP BY question_id HAVING count(*) = 3)""")
+def attempt_policy(spark, sf_dir):
+    rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    picks = attempts.policy_pick(rows.where("condition in ('independent', 'adaptive', 'literal_control')"))
+    return picks.join(attempts.common_cohort(picks, 3), "question_id", "left_semi")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations)
+SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, bool_and(turn < 1000) AS in_budget, CAST(sum(n) AS BIGINT) AS chars, max(n) AS longest, CAST(arg_max(turn, n * 100000 - turn) AS BIGINT) AS longest_turn FROM t GROUP BY conv_id
+""")
+def conversation_rollup(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+    return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"), F.bool_and(F.col("turn") < 1000).alias("in_budget"), F.sum("n").alias("chars"), F.max("n").alias("longest"), F.max_by("turn", F.col("n") * 100000 - F.col("turn")).alias("longest_turn"))
+
+
+# ---------------------------------------------------------------- reviews, reconciliation, shards
+@query("""
+WITH r AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), s AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'rejected' ELSE 'approved' END AS decision, CASE WHEN quality = 1 THEN h ELSE 'stale' END AS bound FROM labels JOIN r USING (doc_id))
+SELECT doc_id, CASE WHEN bound IS NULL THEN 'approved' WHEN bound <> h THEN 'pending' ELSE decision END AS clinical_review, CASE WHEN bound IS NULL THEN NULL WHEN bound <> h THEN 'review_content_mismatch' WHEN decision <> 'approved' THEN 'review_disagreement' END AS review_issue
+FROM r LEFT JOIN s USING (doc_id)
+""")
+def review_merge(spark, sf_dir):
+    """Labels as saved decisions bound to a content hash; a quality of 0 stands for content that changed after the review."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256"), F.lit("approved").alias("clinical_review"))
+    saved = table(spark, sf_dir, "labels").join(rows.select("doc_id", "content_sha256"), "doc_id")
+    saved = saved.select("doc_id", F.when(F.col("toxic") == 1, "rejected").otherwise("approved").alias("decision"), F.when(F.col("quality") == 1, F.col("content_sha256")).otherwise("stale").alias("content_sha256"))
+    return relational.merge_review(rows, saved, ["doc_id"]).select("doc_id", "clinical_review", "review_issue")
+
+
+@query("""
+WITH a AS (SELECT doc_id, 1 AS v FROM documents), b AS (SELECT doc_id, quality AS v FROM labels)
+SELECT doc_id, CASE WHEN b.v IS NULL THEN 'left_only' WHEN a.v IS NULL THEN 'right_only' WHEN a.v = b.v THEN 'same' ELSE 'different' END AS state FROM a FULL JOIN b USING (doc_id)
+""")
+def key_reconciliation(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("v"))
+    return relational.reconcile(a, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("v")), ["doc_id"], "v")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) % 4 AS shard FROM lineitem)
+SELECT shard, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM r GROUP BY shard
+""")
+def shard_coverage(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", relational.shard_of(n, 4).cast("long").alias("shard"))
+    each = rows.groupBy("shard", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("shard").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("orders"))
+
+
+@query("SELECT count(*) AS expected, count(*) AS rows, count(*) AS keys, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected, true AS exact FROM orders")
+def exactly_once(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    shards = [keys.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(4)) == i) for i in range(4)]
+    done = shards[0].unionByName(shards[1]).unionByName(shards[2]).unionByName(shards[3])
+    return relational.coverage(keys, done, "o_orderkey")
+
+
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {sha("'11'", "doc_id")}, doc_id) AS n FROM documents) SELECT doc_id, CAST(floor((n - 1) / 16) AS BIGINT) AS epoch_group FROM r""")
+def epoch_order(spark, sf_dir):
+    return relational.epoch_groups(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10, 1, 16)
+
+
+# ---------------------------------------------------------------- texts and arrays
+@query()
+def note_rules(spark, sf_dir):
+    """Every document as a note: the note rules' reasons (look-behind has no DuckDB form; tested on fixtures)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", letter(bucket("gold", F.col("doc_id")) % 4).alias("gold"), F.col("source").alias("gold_text"))
+    return d.select("doc_id", F.concat_ws(",", text.note_reasons(F.col("text"), F.col("gold"), F.col("gold_text"))).alias("reasons"), text.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM documents")
+def text_measures(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.size(F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")).cast("long").alias("words"))
+
+
+@query()
+def strict_json_answers(spark, sf_dir):
+    """Conversation turns as raw responses: refusal or format_error unless strict JSON with an answer."""
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", text.answer_of(F.col("text")).alias("a")).select("conv_id", "turn", "a.answer", "a.status")
+
+
+@query("""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(v * 100) AS INTEGER)) AS full_ids FROM embeddings), y AS (SELECT vec_id, full_ids[1 : 40 + vec_id % 25] AS ids, 8 AS p FROM x)
+SELECT vec_id, len(ids) AS n, CAST(list_sum(list_transform(range(64 - len(ids)), lambda i: -1)) + 0 AS BIGINT) AS pads, len(ids) - greatest(p, 1) AS supervised, list_position(ids, list_max(ids)) - 1 AS top FROM y
+""")
+def token_batches(spark, sf_dir):
+    """Quantised vectors as token ids: padding, prompt mask, supervised labels, arg-max."""
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 100).cast("int")).alias("x"))
+    x = x.withColumn("ids", F.slice("x", F.lit(1), (40 + F.col("vec_id") % 25).cast("int")))
+    padded = arrays.right_pad(F.col("ids"), F.lit(64), -1)
+    labels = arrays.label_mask(F.slice("ids", 1, 8), F.col("ids"))
+    pads = F.when(F.size("ids") < 64, (-(F.size(padded) - F.size("ids"))).cast("long"))
+    return x.select("vec_id", F.size("ids").cast("long").alias("n"), pads.alias("pads"), arrays.supervised(labels).cast("long").alias("supervised"), arrays.argmax(F.col("ids")).cast("long").alias("top"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
+def event_stream_dedup_counts(spark, sf_dir):
+    """Event-time counts by the streaming plan, run here as a batch (an extension)."""
+    return streaming.hourly_counts(table(spark, sf_dir, "events")).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
