@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,27 +58,52 @@ def _clean() -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(work: Work, edges: DataFrame, name: str) -> DataFrame:
-    """(node, comp) of every node of the edges (a, b), comp being the smallest node of its connected component.
+#: Edges (16 bytes each) that one task solves by itself.
+LOCAL_EDGES = 1 << 18
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "p"])
+
+
+def components(work: Work, edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, comp) of every node of the edges (a, b), comp being one node of its connected component.
 
     Rounds of contraction: each node points to its smallest neighbour or itself, edges are
     rewritten to the pointed-to nodes, and the maps are composed at the end.  With nodes in
     random order (they are hashes here) a round shrinks every component by a constant factor.
+    Once at most `local_edges` edges are left, one task finishes them.
     """
-    both = edges.select("a", "b").where("a <> b")
-    e = work.table(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-e0")
+    e = work.table(edges.select("a", "b").where("a <> b").distinct(), f"{name}-e0")
     maps: list[DataFrame] = []
-    k = 0
-    while not e.isEmpty():
-        to = work.table(e.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), f"{name}-p{k}")
+    while n := e.count():
+        k = len(maps)
+        if n <= local_edges:
+            maps.append(work.table(e.select("a", "b").repartition(1).mapInArrow(_union_find, "a long, p long"), f"{name}-p{k}"))
+            break
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = work.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), f"{name}-p{k}")
         maps.append(to)
-        k += 1
         other = to.select(F.col("a").alias("b"), F.col("p").alias("q"))
-        e = work.table(e.join(to, "a").join(other, "b").where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), f"{name}-e{k}")
+        e = work.table(e.join(to, "a").join(other, "b").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), f"{name}-e{k + 1}")
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    # A map's pointers may form chains inside one round: later maps hold their ends, as chains contract to edges.
     label = maps[0].select(F.col("a").alias("node"), F.col("p").alias("comp"))
+    if len(maps) == 1:
+        return label
     for to in maps[1:]:
         label = label.join(to.select(F.col("a").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
     return work.table(label, f"{name}-label")
