@@ -25,9 +25,9 @@ def run_once(spark: SparkSession, path: str, schema, build, name: str, checkpoin
 
 def resume(schedule: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is still to do; a key done twice is an error, not a choice."""
-    counts = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    checked = counts.where(F.when(F.col("n") > 1, F.raise_error(F.lit("a key was done twice")).cast("boolean")).otherwise(True))
-    return schedule.join(checked.select(*keys), keys, "left_anti")
+    if twice := done.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").head():
+        raise ValueError(f"done twice: {tuple(twice)[:-1]}")
+    return schedule.join(done.select(*keys), keys, "left_anti")
 
 
 def progress(done: DataFrame, expected: int) -> DataFrame:
