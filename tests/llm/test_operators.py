@@ -1,0 +1,435 @@
+"""The ten operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import math
+import os
+import random
+import re
+import string
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gristmill.llm import _spark, _text, ctw, decontam, jaccard, licenses, line_dedup, quality, queries, sentencepiece_codec, token_output, topk, url_filter
+
+needs_pieces = pytest.mark.skipif(not os.path.exists(queries.PIECES), reason="no tokenizer file here")
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def corpus(seed=1, n=60):
+    """Texts with copies, near copies, shared lines, nulls, empties, and one long text; ids repeat and may be null."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    shared = [text(20) for _ in range(3)]
+    rows = []
+    for i in range(n):
+        kind = i % 6
+        if kind == 0 or not rows:
+            t = text(rng.randint(1, 60))
+        elif kind == 1:
+            t = rows[rng.randrange(len(rows))][1]
+        elif kind == 2:
+            w = (rows[rng.randrange(len(rows))][1] or "x").split(" ")
+            w[rng.randrange(len(w))] = "edit"
+            t = " ".join(w)
+        elif kind == 3:
+            t = text(10) + "\n" + rng.choice(shared).upper() + " \n" + text(8)
+        elif kind == 4:
+            t = "\t" + rng.choice(shared) + "\n\n" + rng.choice(shared)
+        else:
+            t = [None, "", "  \n ", "a", text(2000), text(4)][i // 6 % 6]
+        rows.append((i, t))
+    return [*rows, (3, rows[3][1]), (7, "another text of the same id"), (None, "no id"), (None, rows[9][1])]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, corpus()).withColumns({"n": F.lit("clash"), "score": F.lit("clash"), "ids": F.lit("clash"), "lang": F.lit(None).cast("string")})
+
+
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
+
+
+# ------------------------------------------------------------------ kernels
+def test_word_hashes_follow_words():
+    rows = ["A bB  c", None, "", "c\x0bé é", "x" * 1000]
+    out = []
+    for _, _, data, offs in _text.chunks(pa.array(rows), limit=8):
+        low = _text.LOWER[data]
+        s, e, first = _text.spans(low, offs, _text.NOT_SPACE)
+        h = _text.hash_spans(low, s, e)
+        out += [(bytes(low[a:b]), int(x)) for a, b, x in zip(s, e, h, strict=True)]
+    assert [w for w, _ in out] == [w for t in rows for w in (t or "").encode().lower().split()]
+    assert len({h for _, h in out}) == len({w for w, _ in out})
+
+
+def test_hash_set():
+    keys = np.random.default_rng(0).integers(1, 2**63, 5000).astype(np.uint64)
+    t = _text.HashSet(keys)
+    assert (t.find(keys) == np.arange(5000)).all() and (t.find(keys + np.uint64(1)) == -1).mean() > 0.99
+    assert (_text.HashSet(keys[:0]).find(keys) == -1).all()
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components(spark, local):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 60) if i % 7] + [(rng.randrange(100, 140), rng.randrange(100, 140)) for _ in range(25)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            up[root(a)] = root(b)
+    work = _spark.Work(spark, "test")
+    got = {r["node"]: r["comp"] for r in _spark.components(work, spark.createDataFrame(edges, "a long, b long"), "c", local).collect()}
+    groups = lambda f, nodes: {frozenset(y for y in nodes if f(y) == f(x)) for x in nodes}
+    assert set(got) == set(up) and groups(got.get, list(got)) == groups(root, list(up))
+
+
+# ------------------------------------------------------------------ 1 token output
+def test_feistel():
+    for size in (1, 2, 3, 10, 257, 1000):
+        f = token_output.Feistel(size, 7)
+        s = f.slots(np.arange(size))
+        assert sorted(s.tolist()) == list(range(size)) and (f.numbers(s) == np.arange(size)).all()
+    assert (token_output.Feistel(1000, 7).slots(np.arange(1000)) != token_output.Feistel(1000, 8).slots(np.arange(1000))).mean() > 0.9
+
+
+@needs_pieces
+def test_token_output(spark, docs, tmp_path):
+    path = str(tmp_path / "shards")
+    shards = token_output.materialise(docs, queries.PIECES, path, seq_len=16, shard_slots=8)
+    m = sentencepiece_codec.model_of(queries.PIECES)
+    want = Counter()
+    for i, t in corpus():
+        ids = np.frombuffer(m.encode([t])[0], m.dtype).tolist()
+        ids += [2] if ids else []
+        for k in range(0, len(ids), 16):
+            want[i, k // 16, len(ids[k : k + 16]), tuple(ids[k : k + 16] + [0] * (16 - len(ids[k : k + 16])))] += 1
+    got = token_output.sequences(shards).collect()
+    assert Counter((r["doc"], r["seq"], r["n_tokens"], tuple(np.frombuffer(r["record"], m.dtype).tolist())) for r in got) == want
+    assert sorted(r["slot"] for r in got) == list(range(len(got)))
+    assert all(r["first_slot"] == 8 * r["shard"] and len(r["payload"]) == r["n_slots"] * 32 for r in shards.collect())
+    by = {r["slot"]: bytes(r["record"]) for r in got}
+    part = token_output.read_slots(spark, path, 5, 9).collect()
+    assert [(r["slot"], bytes(r["record"])) for r in part] == [(s, by[s]) for s in range(5, 14)]
+    assert token_output.materialise(docs.limit(0), queries.PIECES).count() == 0
+
+
+# ------------------------------------------------------------------ 2 quality
+def test_quality(spark):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["the", "river", "was", "slow", "and", "green", "under", "trees"]) for _ in range(40)) + "."
+    rows = [(i, good() if i % 3 else (good().upper().replace(" ", "!! ") if i % 2 else "spam " * 40)) for i in range(300)]
+    rows += [(900, None), (901, ""), (None, good()), (0, rows[0][1])]
+    docs = frame(spark, rows).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, n_fit=200, rank=16)
+    out = quality.classify(docs, model)
+    got = out.collect()
+    assert len(got) == len(rows) and set(out.columns) == {"doc_id", "text", "score"} and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 300 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(held) > 30 and np.mean([(r["score"] >= 0.3) == (r["doc_id"] % 3 > 0) for r in held]) > 0.95
+    # the vote against brute force
+    (_, _, c), *_ = quality.counts(pa.array([rows[0][1], rows[1][1]]))
+    v = (quality._weighted(c, model.idf) - model.mean) @ model.axes
+    sim = v @ model.vectors.T / np.linalg.norm(v, axis=1, keepdims=True)
+    near = [sorted(range(len(model.label)), key=lambda j: -s[j])[:5] for s in sim]
+    want = [np.average(model.label[n], weights=np.maximum(s[n], 1e-6).astype(float) ** 4) for n, s in zip(near, sim, strict=True)]
+    assert np.allclose(model.score(c, 5), want, atol=1e-4)
+    assert {r["score"] for r in quality.classify(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
+    assert quality.classify(docs.limit(0), model).count() == 0
+
+
+# ------------------------------------------------------------------ 3 licences
+def test_licenses(spark):
+    plain = ["zu und die", "", "the license of her car", "a b c d e f g"]
+    rows = [(1, "x y\nReleased under the MIT License.\nz"), (2, "Licensed under the Apache License, Version 2.0."), (3, "\n".join(plain)), (4, None), (5, ""), (6, "intro: this work is licensed under the gnu general public license, version 3."), (None, "Licensed under CC BY-NC 4.0.\n"), (8, "word " * 5000 + "\nReleased under the MIT License.")]
+    docs = frame(spark, rows).withColumn("families", F.lit("clash"))
+    model = licenses.fit(frame(spark, [(i, f"{a} {b} {c} text") for i, (a, b, c) in enumerate(zip("abcdefgh" * 4, "ijklmnop" * 4, "qrstuvwx" * 4, strict=True))]))
+    got = {r["doc_id"]: r for r in licenses.scan(docs, model).collect()}
+    assert model.held_accuracy > 0.9
+    assert [got[i]["families"] for i in (1, 2, 3, 4, 5, 6, None, 8)] == [["mit"], ["apache"], [], [], [], ["gpl"], ["cc-by-nc"], ["mit"]]
+    assert [got[i]["n_paragraphs"] for i in (1, 3, 4, None)] == [3, 4, 1, 2] and got[1]["at"] == [1] and got[8]["at"] == [1]
+    assert licenses.scan(docs.limit(0), model).count() == 0
+
+
+# ------------------------------------------------------------------ 4 URL filter
+def judged(url, rules):
+    tail = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", tail)[0]
+    path = re.match(r"[^?#]*", tail[len(host) :])[0] if host or tail[:1] in "/" else re.match(r"[^?#]*", tail)[0]
+    host, best = host.translate(LOWER), None
+    for verdict, rule in rules:
+        h, _, p = rule.partition("/")
+        if host and (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = (verdict, rule)
+    return host, path, best[1] if best else None, best[0] if best else "allow"
+
+
+def test_urls(spark):
+    urls = ["http://a.net/x", "http://NET/", "http://net", "https://example.net/en/1?q", "http://x.example.net/en", "ftp://m.example.com/de/9#t", "http://example.org/fr/", "http://org/fr/x", "http://notnet/", "http://a.net?b/", "http://É.org/fr/", "nothing", "", None, "://net/", "http://a.b.c.d.e.example.com/de/", "http://net:80/", "http://x.net//", "http://x.net/" + "y" * 3000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)] + [(0, urls[0])], "page_id long, url string").withColumn("rule", F.lit("clash"))
+    got = Counter(tuple(r) for r in url_filter.judge(pages, url_filter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == Counter((i, *judged(u, url_filter.RULES)) for i, u in [*enumerate(urls * 2), (0, urls[0])])
+    none = url_filter.judge(pages, url_filter.rules_frame(spark, [])).select("verdict").distinct().collect()
+    assert [r[0] for r in none] == ["allow"] and url_filter.judge(pages.limit(0), url_filter.rules_frame(spark)).count() == 0
+
+
+# ------------------------------------------------------------------ 5 SentencePiece
+def viterbi(m, text):
+    """Best path over the whole text at once."""
+    if not text:
+        return 0.0, []
+    cp = ["\0lit" if c == "▁" else "▁" if c == " " else c for c in " " + text]
+    best, back = [0.0] + [-math.inf] * len(cp), [None] * (len(cp) + 1)
+    for i in range(len(cp)):
+        for n in range(1, min(m.longest, len(cp) - i) + 1):
+            k = m.pieces.get("".join(cp[i : i + n]))
+            s = best[i] + (m.score[k] if k is not None else m.unknown if n == 1 else -math.inf)
+            if s > best[i + n]:
+                best[i + n], back[i + n] = s, (i, k)
+    ids, at = [], len(cp)
+    while at:
+        i, k = back[at]
+        ids = ([int(k)] if k is not None else m._char_bytes(0x110000 if cp[i] == "\0lit" else ord(cp[i]))) + ids
+        at = i
+    return best[-1], ids
+
+
+@needs_pieces
+def test_sentencepiece(spark, docs):
+    m = sentencepiece_codec.model_of(queries.PIECES)
+    rng = random.Random(2)
+    texts = ["", None, " ", "   ", " a  b ", "Hello world.\n\nNext line", "▁x▁ y ▁", "日本語 テキスト🙂", "\0\0 a", "x" * 300, "a\r\n\tb", "ion" * 50] + ["".join(rng.choice("ab  \nthe▁é🙂") for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    got = m.encode(texts)
+    for t, packed in zip(texts, got, strict=True):
+        ids = np.frombuffer(packed, m.dtype).tolist()
+        assert ids == viterbi(m, t)[1] and m.decode(packed).decode() == (t or "")
+        stream = sentencepiece_codec.StreamingViterbi(m)
+        out = [x for c in (t or "") and " " + t for x in stream.feed(c)] + stream.end()
+        assert out == ids and stream.widest <= 5 * m.longest
+    rows = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, queries.PIECES), queries.PIECES).collect()
+    assert len(rows) == len(corpus()) and all(r["decoded"] == (r["text"] or "") for r in rows)
+    assert sentencepiece_codec.encode(docs.limit(0), queries.PIECES).count() == 0
+
+
+@needs_pieces
+def test_sentencepiece_library_score():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(queries.PIECES, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for p in proto.pieces:  # the library adds up in 32-bit floats
+        p.score = max(p.score, -40000.0)
+    lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    m = sentencepiece_codec.model_of(queries.PIECES)
+    for t in ["the quick brown fox", "Einheit und Recht", "thstion onanly erhe the"]:
+        ours = np.frombuffer(m.encode([t])[0], m.dtype)
+        assert sum(m.score[ours]) == sum(m.score[lib.encode(t)])
+
+
+# ------------------------------------------------------------------ 6 line dedup
+def lines_of(rows, least, many):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    where = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            where.setdefault(key(x), set()).add(i)
+    gone = lambda i, x: len(key(x)) >= least and len(where[key(x)]) >= many and (i is None or i < max(j for j in where[key(x)] if j is not None))
+    return Counter((i, len((t or "").split("\n")), sum(gone(i, x) for x in (t or "").split("\n")), "\n".join(x for x in (t or "").split("\n") if not gone(i, x))) for i, t in rows)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_lines(spark, docs, limit):
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("clash")), min_docs=5, max_broadcast=limit)
+    want = lines_of(corpus(), 40, 5)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == want and sum(k[2] for k in want) > 5
+    assert line_dedup.dedup_lines(docs.limit(0), max_broadcast=limit).count() == 0
+
+
+def test_small_filter_changes_nothing(spark, docs):
+    out = line_dedup.dedup_lines(docs, min_chars=1, filter_bits=20)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == lines_of(corpus(), 1, 5)
+
+
+# ------------------------------------------------------------------ 7 CTW
+def test_tree_is_a_distribution_and_mixes():
+    texts = [b"abracadabra", b"abrabra", b"", b"cadabra"]
+    keys = np.concatenate([ctw.grams([t], 2)[0] for t in texts])
+    tables = []
+    for d in range(3):
+        tables.append(np.unique(keys & np.uint64((1 << 8 * d + 8) - 1), return_counts=True))
+    tree = ctw.Tree(tables)
+    for context in (b"ab", b"\xff\xff", b"zz", b"zb"):
+        base = int.from_bytes(context, "big") << 8
+        assert math.isclose(sum(10 ** tree.logs(np.arange(base, base + 256).astype(np.uint64))), 1, rel_tol=1e-4)
+    # one path by hand: bit nodes of the first bit after "ab"
+    def counts(ctx):
+        own = [t for t in range(256) for k, n in zip(*tables[len(ctx)], strict=True) for _ in range(n) if int(k) == int.from_bytes(ctx + bytes([t]), "big")]
+        return sum(x < 128 for x in own), sum(x >= 128 for x in own)
+
+    def weighted(ctx):
+        kt = math.exp(float(ctw.log_kt(np.array([counts(ctx)[0]]), np.array([counts(ctx)[1]]))[0]))
+        if len(ctx) == 2:
+            return kt
+        below = math.prod(weighted(bytes([x]) + ctx) for x in range(256) if sum(counts(bytes([x]) + ctx)))
+        return (kt + below) / 2
+
+    p, rem = 0.0, 1.0
+    for d in range(3):
+        ctx = b"ab"[2 - d :]
+        a, b = counts(ctx)
+        kt = math.exp(float(ctw.log_kt(np.array([a]), np.array([b]))[0]))
+        w = 1.0 if d == 2 else kt / 2 / weighted(ctx)
+        p, rem = p + rem * w * (b + 0.5) / (a + b + 1), rem * (1 - w)
+    node = np.searchsorted(tree.nodes[2][0], int.from_bytes(b"ab", "big"))
+    assert math.isclose(float(tree.one[2][0][node]), p, rel_tol=1e-5)
+    whole = sum(math.log10(10 ** tree.logs(ctw.grams([b"abra"], 2)[0][i : i + 1])[0]) for i in range(5))
+    assert math.isclose(tree.score([b"abra"])[0], whole, rel_tol=1e-6)
+
+
+@pytest.mark.parametrize(("capacity", "words"), [(1 << 20, 1 << 19), (50, 5)])
+def test_ctw(spark, docs, capacity, words):
+    rest = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)), F.lit(0))
+    got = ctw.score(docs, rest != 2, rest == 2, capacity=capacity, words=words).collect()
+    c, want = Counter(), []
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    for i, t in corpus():
+        if not held(i):
+            c.update([*(t or "").encode().lower().split(), None])
+    n, v = sum(c.values()), len(c)
+    for i, t in corpus():
+        w = [*(t or "").encode().lower().split(), None]
+        want.append((i, held(i), len(w), sum(x in c for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 4)))
+    assert sorted(((*tuple(r)[:5], round(r["base_score"], 4)) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_ctw_without_training(spark):
+    docs = frame(spark, [(1, "ab"), (2, None)])
+    got = {r["doc_id"]: r for r in ctw.score(docs, F.lit(False), F.lit(True)).collect()}
+    assert math.isclose(got[1]["score"], -24 * math.log10(2), rel_tol=1e-6) and got[1]["base_score"] == 0 and got[2]["n_known"] == 0
+    assert ctw.score(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
+
+
+# ------------------------------------------------------------------ 8 top-k
+def test_top_k(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 64]) for i in range(120)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (204, []), (206, [0.5, 0.5]), (None, [0.0] * 4)]
+    df = spark.createDataFrame([*rows, rows[5]], "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    sound = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    want = set()
+    for q in sound:
+        if q % 20 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(sound[q], v, strict=True)), i) for i, v in sound.items() if i != q and len(v) == len(sound[q])))[:20]
+            want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    for shard in (7, 4096):
+        got = topk.top_k(df, df.where("vec_id % 20 = 0"), shard_rows=shard, block_rows=3)
+        assert {tuple(r) for r in got.collect()} == want
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    big = np.array([[2.0**30, 3.0]])
+    assert topk.product(big, big)[0, 0] == 2**60 + 9
+    with pytest.raises(OverflowError):
+        topk.product(big * 2**10, big)
+
+
+# ------------------------------------------------------------------ 9 decontamination
+def found_in(rows, items, size):
+    word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    out = Counter()
+    for d, t in rows:
+        w, hit, own = word(t), set(), set()
+        for i, x in items:
+            v = word(x)
+            for k in range(max(1, len(v) - size + 1)) if v else ():
+                g = v[k : k + size]
+                for p in range(len(w) - len(g) + 1):
+                    if w[p : p + len(g)] == g:
+                        hit |= set(range(p, p + len(g)))
+                        own.add(i)
+        out[d, len(w), tuple(sorted(hit)), tuple(sorted(own))] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_decontamination(spark, docs, block):
+    rows = corpus()
+    items = [(i, " ".join((rows[i][1] or "").split()[:30]).title()) for i in (0, 2, 3, 8, 9)] + [(50, "a"), (51, ""), (50, "a"), (52, "never seen words here")]
+    bench = spark.createDataFrame([*items, (53, None), (None, "a")], "item_id long, text string")
+    got = decontam.find_matches(docs, bench, size=6, block_chars=block).collect()
+    assert Counter((r["doc_id"], r["n_words"], tuple(r["hits"]), tuple(r["items"])) for r in got) == found_in(rows, items, 6)
+    assert decontam.find_matches(docs.limit(0), bench).count() == 0
+    assert all(not r["items"] for r in decontam.find_matches(docs, bench.limit(0)).collect())
+
+
+def test_proximity(spark):
+    docs = frame(spark, [(1, "aa x x bb x cc"), (2, "aa " + "x " * 10 + "bb cc"), (3, "cc bb aa"), (4, "aa bb"), (5, None)])
+    bench = spark.createDataFrame([(7, "aa bb cc")], "item_id long, text string")
+    got = {r["doc_id"]: r["near"] for r in decontam.find_matches(docs, bench, span=6).collect()}
+    assert got == {1: [7], 2: [], 3: [7], 4: [], 5: []}
+
+
+# ------------------------------------------------------------------ 10 Jaccard
+def groups_of(rows):
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return Counter((d, len(s), least.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard(spark, seed):
+    rows = corpus(seed, 90)
+    docs = frame(spark, rows).withColumn("node", F.lit("clash")).repartition(5)
+    assert Counter(tuple(r) for r in jaccard.jaccard_groups(docs).collect()) == groups_of(rows)
+
+
+def test_jaccard_large_group(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"e{i}"
+        w[rng.randrange(len(w))] = f"f{i % 3}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[:60] + [f"u{i}x{j}" for j in range(60)])) for i in range(20)]
+    assert Counter(tuple(r) for r in jaccard.jaccard_groups(frame(spark, rows)).collect()) == groups_of(rows)
+    assert jaccard.jaccard_groups(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_shared_digest_of_items():
+    assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
