@@ -143,17 +143,16 @@ def leakage_free_split(spark, sf_dir):
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
 def contamination_join(spark, sf_dir):
-    """Documents that hold a whole benchmark text: an equi-join on its first words, then the exact test."""
+    """Documents that hold a whole benchmark text: an equi-join on its inner words, then the exact test; shorter ones are tested directly."""
     items = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"))
-    items = items.withColumn("w", F.regexp_extract("passage", r"^[^a-zA-Z]*([a-zA-Z]+)[^a-zA-Z]+([a-zA-Z]+)[^a-zA-Z]+([a-zA-Z]+)[^a-zA-Z]", 0))
     cut = F.filter(F.split("passage", "[^a-zA-Z]+"), lambda x: x != "")
-    inner = F.slice(cut, 2, 4)  # the first word may go on to the left in a document
-    keyed = items.withColumn("key", F.when(F.size(inner) == 4, F.xxhash64(F.concat_ws(" ", inner)))).drop("w")
+    inner = F.slice(cut, 2, 4)  # the first and last word may go on in a document
+    keyed = items.withColumn("key", F.when(F.size(cut) >= 6, F.xxhash64(F.concat_ws(" ", inner))))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.filter(F.split("text", "[^a-zA-Z]+"), lambda x: x != "")
     grams = docs.withColumn("w", words).withColumn("key", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(concat_ws(' ', slice(w, i, 4)))))"))).select("doc_id", "key", "text")
     long = grams.join(keyed.where("key is not null"), "key").where("contains(text, passage)").select("doc_id", "item_id")
-    short = docs.join(F.broadcast(keyed.where("key is null").limit(10_000)), F.expr("contains(text, passage)")).select("doc_id", "item_id")
+    short = docs.join(keyed.where("key is null"), F.expr("contains(text, passage)")).select("doc_id", "item_id")
     return long.union(short).distinct()
 
 
