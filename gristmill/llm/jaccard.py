@@ -7,10 +7,9 @@ once before those seen again (a bitmap of 2**27 cells), then by level of a count
 threshold share an n-gram among their first n - ceil(t n) + 1.  Fuller cells on larger inputs only make the order less sharp.
 
 1. `_digests`: one row for each document (node, size, sizes of 64 parts) and the partial statistics.
-2. `_prefixes` emits the prefix n-grams; sorted runs of one n-gram are streamed, and each run's
-   rows are paired with the next smaller set only (a chain).
-3. Each node's most frequent neighbour in the chains is verified on the whole sets; in a few more
-   rounds, its most frequent neighbour of another component.  Components of the links follow.
+2. `_prefixes` emits the prefix n-grams; sorted runs of one n-gram are streamed, and those of two nodes or more stay.
+3. In a few rounds each node's most frequent neighbours of other components, a bounded number of
+   rows before it in the runs, are verified on the whole sets.  Components of the links follow.
 4. Runs that still hold several components give the pairs across components that pass length,
    positional and suffix filters.  They are verified too, so no link between components is lost, while
    the pairs inside a component are never made.
@@ -34,7 +33,7 @@ SLICE = 1 << 16
 SEEN = 1 << 18
 GRAM = 0x5851F42D4C957F2D
 PARTS = 64
-ROUNDS = 2
+ROUNDS, NEAR = 3, 4
 
 
 def gram_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -165,11 +164,8 @@ def _rows(grams: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.Rec
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by (gram, n, node): rows of grams with at least two nodes, each with the row before it (the first: itself).
-
-    Near-duplicates are of about one size, so they stand side by side.  Only the last row is kept between batches, however long a run is.
-    """
-    names = ["gram", "node", "n", "pos", "prev", "prev_n", "prev_pos"]
+    """Streams rows sorted by (gram, n, node): the rows of grams with at least two nodes, copies once. Only the last row is kept between batches, however long a run is."""
+    names = ["gram", "node", "n", "pos"]
     last, given = None, False  # last row, whether it was given out
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -184,15 +180,29 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joins = np.zeros(len(gram) + 1, bool)  # joins[i]: row i goes on the run of the row before
         joins[1:-1] = gram[1:] == gram[:-1]
         out = joins[:-1] | joins[1:]
-        before = np.arange(len(gram)) - joins[:-1]
         if last is not None and given:
             out[0] = False
         given = bool(joins[len(gram) - 1]) or (len(gram) == 1 and given)
         last = tuple(c[-1] for c in (gram, node, n, pos))
         at = np.flatnonzero(out)
         if len(at):
-            prev = before[at]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (gram[at], node[at], n[at], pos[at], node[prev], n[prev], pos[prev])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (gram, node, n, pos)], names=names)
+
+
+def _neighbours(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b): each node with up to NEAR of its most frequent neighbours of other components and compatible length.
+
+    In each gram's rows, by size (first turn) or by length class and a hash of the turn, the NEAR rows before are neighbours:
+    a group of near-duplicates becomes a lattice that a few failing pairs don't break, with pairs in proportion to rows.
+    """
+    order = ["n", "node"] if not turn else [F.floor(F.log("n") * 7), F.xxhash64("node", F.lit(turn)), F.col("node")]
+    side = Window.partitionBy("gram").orderBy(*order)
+    before = [F.struct(*(F.lag(c, j).over(side).alias(f"{c}_2") for c in ("node", "n", "comp"))) for j in range(1, NEAR + 1)]
+    pairs = rows.select("node", "n", "comp", F.array(*before).alias("before")).select("node", "n", "comp", F.inline("before"))
+    pairs = pairs.where(f"comp <> comp_2 and 100 * least(n, n_2) >= {percent} * greatest(n, n_2)")
+    times = pairs.groupBy("node", "node_2").agg(F.count(F.lit(1)).alias("times"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), "node_2"))
+    return times.withColumn("r", best).where(F.col("r") <= NEAR).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
 
 
 def _possible(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -286,30 +296,19 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     nodes = first.where("node is not null").select("node", "n", "parts").dropDuplicates(["node"])
     sketch, bitmap = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(again)
     postings = docs.select("text").mapInArrow(_prefixes(k, percent, sketch, bitmap), "gram long, node long, n int, pos int")
-    chains = work.table(postings.repartition("gram").sortWithinPartitions("gram", "n", "node").mapInArrow(_chains, "gram long, node long, n int, pos int, prev long, prev_n int, prev_pos int"), "chains")
-    def chosen(pairs: DataFrame) -> DataFrame:
-        """Of (node, prev) rows each node's most frequent partner of compatible length."""
-        fit = pairs.where(f"node <> prev and 100 * least(n, prev_n) >= {percent} * greatest(n, prev_n)")
-        times = fit.groupBy("node", "prev").agg(F.count(F.lit(1)).alias("times"))
-        best = times.groupBy("node").agg(F.max(F.struct("times", "prev")).alias("best"))
-        return best.select(F.least("node", "best.prev").alias("a"), F.greatest("node", "best.prev").alias("b")).distinct()
-
-    tried = work.table(chosen(chains), "chosen")
-    links = _verified(work, docs, nodes, tried, k, percent, "chosen")
-    for n in range(1, ROUNDS + 1):
-        label = components(work, links, f"round-{n}")
-        rows = chains.select("gram", "node", "n", "pos").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        side = Window.partitionBy("gram").orderBy("n", "node")
-        rest = rows.select("node", "n", "comp", *(F.lag(c).over(side).alias(to) for c, to in (("node", "prev"), ("n", "prev_n"), ("comp", "prev_comp")))).where("comp <> prev_comp")
-        asked = work.table(chosen(rest).join(tried, ["a", "b"], "left_anti"), f"asked-{n}")
+    sorted_rows = postings.repartition("gram").sortWithinPartitions("gram", "n", "node")
+    chains = work.table(sorted_rows.mapInArrow(_chains, "gram long, node long, n int, pos int"), "chains")
+    rows, links, tried = chains.withColumn("comp", F.col("node")), None, None
+    for n in range(ROUNDS):
+        asked = _neighbours(rows, n, percent)
+        asked = work.table(asked.join(tried, ["a", "b"], "left_anti") if n else asked, f"asked-{n}")
         more = _verified(work, docs, nodes, asked, k, percent, f"asked-{n}")
-        if more.isEmpty():
+        if n and more.isEmpty():
             break
-        links = work.table(links.union(more), f"links-{n}")
-        tried = work.table(tried.union(asked), f"tried-{n}")
-    else:
-        label = components(work, links, "last")
-        rows = chains.select("gram", "node", "n", "pos").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        links = work.table(links.union(more), f"links-{n}") if n else more
+        tried = work.table(tried.union(asked), f"tried-{n}") if n else asked
+        label = components(work, links, f"round-{n}")
+        rows = chains.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rows.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
     rows = work.table(rows.join(mixed, "gram", "left_semi"), "mixed")
     other = rows.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "pos", "comp")))
