@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import arrays, text
 from gristmill.functions.hashing import bucket, call_seed, letter, seed64
-from gristmill.operators import attempts, experiment, relational
+from gristmill.operators import attempts, experiment, protocol, relational
 from gristmill.streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,3 +425,25 @@ def token_batches(spark, sf_dir):
 def event_stream_dedup_counts(spark, sf_dir):
     """Event-time counts by the streaming plan, run here as a batch (an extension)."""
     return streaming.hourly_counts(table(spark, sf_dir, "events")).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+# ---------------------------------------------------------------- protocol
+@query(f"""WITH ids AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS question_id FROM conversations)
+SELECT question_id, 'baseline' AS condition, 0 AS attempt, 'none' AS category FROM ids
+UNION ALL SELECT question_id, c, a, CASE WHEN c = 'clean_repeat' THEN 'none' WHEN a % 2 = 1 THEN 'nonclinical_background' ELSE 'answer_pressure' END FROM ids, (SELECT unnest(['clean_repeat', 'independent', 'adaptive']) AS c), (SELECT unnest(range(1, {K} + 1)) AS a)
+UNION ALL SELECT question_id, 'literal_control', a, 'nonclinical_background' FROM ids, (SELECT unnest([1, 2, 3]) AS a)""")
+def attempt_schedule(spark, sf_dir):
+    q = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("question_id")).distinct()
+    return protocol.schedule(q, K)
+
+
+@query(f"""{ATTEMPTS_SQL}, r AS (SELECT * FROM v WHERE condition <> 'clean_repeat' AND (condition = 'baseline' OR (syntactic_valid AND clinical_review <> 'rejected'))),
+g AS (SELECT question_id, bool_and(ok) AS every FROM r WHERE condition <> 'baseline' GROUP BY question_id)
+SELECT count(*) FILTER (WHERE condition = 'baseline') AS clean_questions, count(*) FILTER (WHERE condition = 'baseline' AND ok) AS clean_correct, count(*) FILTER (WHERE condition <> 'baseline') AS perturbed_cases,
+count(*) FILTER (WHERE condition <> 'baseline' AND ok) AS perturbed_correct, (SELECT count(*) FROM g WHERE every) AS all_perturbations_correct_questions, (SELECT count(*) FROM g) AS questions_with_perturbations,
+count(*) FILTER (WHERE status = 'format_error') AS format_errors, count(*) FILTER (WHERE status = 'refusal') AS refusals, count(*) FILTER (WHERE status = 'error') AS operational_errors,
+count(*) FILTER (WHERE condition = 'baseline' AND ok) / nullif(count(*) FILTER (WHERE condition = 'baseline'), 0) AS clean_accuracy, count(*) FILTER (WHERE condition <> 'baseline' AND ok) / nullif(count(*) FILTER (WHERE condition <> 'baseline'), 0) AS perturbed_accuracy FROM r""")
+def replay_summary(spark, sf_dir):
+    log = attempt_log(spark, sf_dir)
+    rows, _ = attempts.validate(log, budgets(spark))
+    return protocol.replay_summary(protocol.replay_cases(rows, log.select("question_id").distinct()))
