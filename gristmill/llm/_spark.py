@@ -43,10 +43,10 @@ class Work:
         batches(spark)
         _made.append((spark, self.path))
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Writes df and returns it reread."""
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ SPACE = 0x2581
 LITERAL = 0x110000  # what a U+2581 of the text becomes: in no piece
 BUCKETS = [4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64]  # lengths in lockstep; longer segments are streamed
 LOCKSTEP_ROWS = 1 << 13
-CACHE = 1 << 16
+CACHE = 1 << 18
 _SEGMENTS = re.compile("\n| *[^ \n]+| +")
 _C = 0x9E3779B97F4A7C15
 _C_INV = pow(_C, -1, 1 << 64)
@@ -76,7 +76,6 @@ class Model:
         self.length = np.array([len(x) for x in shown], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +106,10 @@ class Model:
         """
         rows, lengths = len(segments), np.array([len(x) for x in segments])
         size = int(lengths.max())
-        cp = np.frombuffer("".join(x.ljust(size, "\0") for x in segments).encode("utf-32-le"), np.uint32).reshape(rows, size).copy()
+        cp = np.zeros(rows * size, np.uint32)
+        begin = np.cumsum(lengths) - lengths
+        cp[np.repeat(np.arange(rows) * size - begin, lengths) + np.arange(int(lengths.sum()))] = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        cp = cp.reshape(rows, size)
         cp[cp == SPACE] = LITERAL
         cp[cp == 32] = SPACE
         _, down = self._powers(size)
@@ -175,33 +177,26 @@ class Model:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of whole texts; null and empty texts have none."""
         cut = [self._cut(t) for t in texts]
-        distinct = set().union(*cut) if cut else set()
-        if len(self.cache) > CACHE:
-            self.older, self.cache = self.cache, {}
-        own: dict[str, bytes] = {}
-        by_size: list[list[str]] = [[] for _ in BUCKETS]
-        for k in distinct:
-            ids = self.cache.get(k)
-            if ids is None and (ids := self.older.get(k)) is not None:
-                self.cache[k] = ids
-            if ids is not None:
-                own[k] = ids
-            elif not k:
-                own[k] = b""
-            elif len(k) <= BUCKETS[-1]:
-                by_size[bisect_left(BUCKETS, len(k))].append(k)
-            else:
-                stream = StreamingViterbi(self)
-                own[k] = np.array([*stream.feed(k), *stream.end()], self.dtype).tobytes()
-        for keys in by_size:
-            for i in range(0, len(keys), LOCKSTEP_ROWS):
-                part = keys[i : i + LOCKSTEP_ROWS]
-                found = dict(zip(part, self.lockstep(part), strict=True))
-                own |= found
-                self.cache |= found
-        return [b"".join(map(own.__getitem__, x)) for x in cut]
-
-    def encode_all(self, texts: list[str | None], chars: int = 1 << 20) -> list[bytes]:
+        distinct = set().union(*cut)
+        cache = self.cache
+        if len(cache) > CACHE:
+            self.cache = cache = {k: cache[k] for k in distinct & cache.keys()}
+        new = sorted(distinct - cache.keys(), key=len)
+        sizes = [len(k) for k in new]
+        start = bisect_left(sizes, 1)
+        cache.update((k, b"") for k in new[:start])
+        for most in BUCKETS:
+            end = bisect_left(sizes, most + 1)
+            for i in range(start, end, LOCKSTEP_ROWS):
+                part = new[i : min(i + LOCKSTEP_ROWS, end)]
+                cache.update(zip(part, self.lockstep(part), strict=True))
+            start = max(start, end)
+        for k in new[start:]:
+            stream = StreamingViterbi(self)
+            cache[k] = np.array([*stream.feed(k), *stream.end()], self.dtype).tobytes()
+        return [b"".join(map(cache.__getitem__, x)) for x in cut]
+
+    def encode_all(self, texts: list[str | None], chars: int = 1 << 21) -> list[bytes]:
         """`encode` of about `chars` characters at a time: what is held at once doesn't grow with the batch."""
         out, part, size = [], [], 0
         for t in texts:

@@ -128,7 +128,7 @@ def materialise(docs: DataFrame, model_path: str, path: str | None = None, *, id
     work = Work(spark, "token_output")
     width = model_of(model_path).dtype.itemsize
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    tokens = work.table(rows.mapInArrow(_tokens(model_path, end, seq_len), "part int, first long, n_seq long, doc long, ids binary"), "tokens")
+    tokens = work.table(rows.mapInArrow(_tokens(model_path, end, seq_len), "part int, first long, n_seq long, doc long, ids binary"), "tokens", "zstd")
     offsets, total = {}, 0
     for part, n in sorted(tokens.groupBy("part").agg(F.sum("n_seq")).collect()):  # a row for each written part
         offsets[part] = total
@@ -142,8 +142,8 @@ def materialise(docs: DataFrame, model_path: str, path: str | None = None, *, id
     dealt = records.repartitionById(tasks, F.expr(f"cast(slot div {shard_slots * each} as int)")).sortWithinPartitions("slot")
     out = dealt.mapInArrow(_shards(shard_slots), "shard long, first_slot long, n_slots int, docs array<long>, seqs array<int>, n_tokens array<int>, payload binary")
     if path is None:
-        return work.table(out, "shards")
-    out.write.parquet(path)
+        return work.table(out, "shards", "zstd")
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
 
