@@ -188,3 +188,9 @@ def exclusion_rule(clean: DataFrame, opinions: DataFrame) -> DataFrame:
     left = F.transform(F.col("clean_p"), lambda x, i: F.when(i + 1 == F.instr(F.lit(LETTERS), F.col("suggested")), F.lit(-1.0)).otherwise(x))
     rows = opinions.join(p, "id").withColumn("ruled", letter(argmax(left)))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == F.col("gold")).alias("correct"), F.count_if(F.col("predicted") == F.col("suggested")).alias("followed"))
+
+
+def arm_status(rows: DataFrame) -> DataFrame:
+    """One row from (arm, status) rows: complete if all arms are, else failed if any is, else running; without arms running."""
+    every, failed = F.bool_and(F.col("status") == "complete"), F.bool_or(F.col("status") == "failed")
+    return rows.agg(F.when(F.coalesce(every, F.lit(False)), "complete").when(F.coalesce(failed, F.lit(False)), "failed").otherwise("running").alias("status"))

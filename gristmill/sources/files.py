@@ -114,3 +114,41 @@ def merge_metadata(*parts: dict) -> dict:
         out |= p.get("config") or {}
         out |= {k: v for k, v in p.items() if k != "config"}
     return out
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def refuse_unknown(spark: SparkSession, path: str, known: set[str]) -> None:
+    """An existing output folder may hold only names that this writer makes; links are refused."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return
+    found = fs.listStatus(p)
+    if strange := sorted(x.getPath().getName() for x in found if x.isSymlink() or x.getPath().getName() not in known):
+        raise ValueError(f"not ours, left alone: {', '.join(strange)}")
+
+
+def swap_directory(spark: SparkSession, staged: str, final: str) -> None:
+    """Puts a staged folder in the place of `final`; if that fails, the old one is put back."""
+    new, fs = _fs(spark, staged)
+    old, _ = _fs(spark, final)
+    backup, _ = _fs(spark, final.rstrip("/") + ".backup")
+    had = fs.exists(old)
+    if had and not fs.rename(old, backup):
+        raise OSError(f"{final} can't be moved aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(backup, old)
+        raise OSError(f"{staged} can't be moved to {final}")
+    if had:
+        fs.delete(backup, True)
+
+
+def markdown_table(rows: list[dict], columns: list[str]) -> str:
+    """A Markdown table of a small result; nulls are n/a, shares have one decimal as per cent."""
+    shown = lambda c, v: "n/a" if v is None else f"{100 * v:.1f}%" if isinstance(v, float) and c.endswith(("rate", "accuracy")) else str(v)
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join([*lines, *("| " + " | ".join(shown(c, r.get(c)) for c in columns) + " |" for r in rows)]) + "\n"

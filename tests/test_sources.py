@@ -71,3 +71,23 @@ def test_stream_and_resume(spark, tmp_path):
     with pytest.raises(Exception):
         events.resume(spark.range(3), done.union(done), ["id"]).collect()
     assert events.progress(done, 1).first()["complete"]
+
+
+def test_swap_and_reports(spark, tmp_path):
+    from gristmill.operators.experiment import arm_status
+
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new/a").write_text("2")
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/a").write_text("1")
+    files.refuse_unknown(spark, str(tmp_path / "out"), {"a"})
+    with pytest.raises(ValueError, match="a"):
+        files.refuse_unknown(spark, str(tmp_path / "out"), {"b"})
+    files.swap_directory(spark, str(tmp_path / "new"), str(tmp_path / "out"))
+    assert (tmp_path / "out/a").read_text() == "2" and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    with pytest.raises(Exception):
+        files.swap_directory(spark, str(tmp_path / "none"), str(tmp_path / "out"))
+    assert (tmp_path / "out/a").read_text() == "2"
+    assert files.markdown_table([{"a": 1, "flip_rate": 0.5}, {"a": None}], ["a", "flip_rate"]) == "| a | flip_rate |\n|---|---|\n| 1 | 50.0% |\n| n/a | n/a |\n"
+    status = lambda *s: arm_status(spark.createDataFrame([(str(i), x) for i, x in enumerate(s)], "arm string, status string")).first()[0]
+    assert [status("complete", "complete"), status("complete", "failed"), status("running", "complete"), status()] == ["complete", "failed", "running", "running"]
