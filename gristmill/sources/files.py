@@ -139,7 +139,11 @@ def swap_directory(spark: SparkSession, staged: str, final: str) -> None:
     had = fs.exists(old)
     if had and not fs.rename(old, backup):
         raise OSError(f"{final} can't be moved aside")
-    if not fs.rename(new, old):
+    try:
+        moved = fs.rename(new, old)
+    except Exception:
+        moved = False
+    if not moved:
         if had:
             fs.rename(backup, old)
         raise OSError(f"{staged} can't be moved to {final}")
