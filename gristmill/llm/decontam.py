@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._spark import Work
+from gristmill.llm._spark import Work, tidy
 from gristmill.llm._text import ALNUM, LOWER, HashSet, chunks, hash_spans, spans
 
 GAP = 64
@@ -43,6 +43,7 @@ def words(texts: pa.Array) -> list[np.ndarray]:
 
 
 def _build(terms):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = HashSet(terms.value) if terms is not None else None
         part, no = TaskContext.get().partitionId(), 0
@@ -134,6 +135,7 @@ def _nearby(at: dict[int, np.ndarray], terms: list[int], span: int) -> np.ndarra
 
 
 def _match(plan, span: int, all_docs: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Plan = plan.value
         for b in batches:

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._spark import Work, components
+from gristmill.llm._spark import Work, components, tidy
 from gristmill.llm._text import LOWER, NOT_SPACE, U64, chunks, hash_spans, mix64, roll, spans
 
 CELL_BITS = 20
 SPACE_BITS, SLICE_BITS, AGAIN_BITS = 32, 10, 27
 SLICE = 1 << 16
-SEEN = 1 << 18
+SEEN = 1 << 16
 GRAM = 0x5851F42D4C957F2D
 PARTS = 64
 ROUNDS, NEAR = 3, 4
@@ -69,6 +69,7 @@ def _digests(k: int):
         packed = [np.diff(low[ends[i] : ends[i + 1]], prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for i in some]
         yield pa.RecordBatch.from_arrays([*nothing(len(some)), pa.array((-1 - some).astype(np.int32)), pa.array(packed, pa.binary())], names=names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, held, n_held, seen = np.zeros(1 << CELL_BITS, np.int64), [], 0, set()
         for b in batches:
@@ -82,7 +83,7 @@ def _digests(k: int):
                         seen.add(node[-1])
                     held.append(g)
                     n_held += len(g)
-                if n_held >= 1 << 21:
+                if n_held >= 1 << 20:
                     yield from statistics(held, cells)
                     held, n_held = [], 0
             n = len(b)
@@ -129,6 +130,7 @@ def _bitmap(s: int, own: np.ndarray) -> pa.RecordBatch:
 
 
 def _prefixes(k: int, percent: int, levels, bitmap):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, again = levels.value, bitmap.value
         seen: set[int] = set()  # copies of a text in one task are one node already
@@ -214,6 +216,7 @@ def _possible(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
 def _sets(k: int, wanted):
     """The whole sets of the wanted nodes; `wanted` is a Bloom filter, so a few others come too."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         mask, seen = len(bits) * 8 - 1, set()

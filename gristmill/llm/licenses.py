@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._spark import batches
+from gristmill.llm._spark import batches, tidy
 from gristmill.llm._text import ALNUM, LOWER, U64, chunks, hash_spans, roll, spans
 
 # Short public licence notices by family.
@@ -146,6 +146,7 @@ class Classifier:
 
 
 def _scan(model, least: float, match: float):
+    @tidy
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = model.value
         for b in parts:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm._spark import Work
+from gristmill.llm._spark import Work, tidy
 from gristmill.llm._text import U64, HashSet
 
 SLICE_BITS = 20
@@ -84,6 +84,7 @@ def _fill(least: int, bits: int):
             part = [x[np.searchsorted(x, s << SLICE_BITS) : np.searchsorted(x, (s + 1) << SLICE_BITS)] - (s << SLICE_BITS) for x in (once, twice)]
             yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "once": [_pack(part[0])], "twice": [_pack(part[1])]})
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
@@ -114,6 +115,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suspects(least: int, bits: int, twice):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = twice.value
         for b in batches:
@@ -133,6 +135,7 @@ def _suspects(least: int, bits: int, twice):
 def _rewrite(least: int, at: int, schema: pa.Schema, table=None):
     """Drops lines by a broadcast table of repeated keys, or by each row's own list of digests in the last column."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if table is not None:
             high, low, keep = table.value

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm._spark import batches
+from gristmill.llm._spark import batches, tidy
 from gristmill.llm._text import LOWER, NOT_SPACE, U64, chunks, hash_spans, mix64, spans
 
 DIMS = 4096
@@ -128,6 +128,7 @@ class Model:
 
 
 def _score(model, k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gristmill.llm._spark import batches
+from gristmill.llm._spark import batches, tidy
 from gristmill.llm._text import U64, HashSet, mix64
 
 SPACE = 0x2581
@@ -292,11 +292,13 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text") -> DataF
     """
     batches(docs.sparkSession)
 
+    @tidy
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model_path)
         for b in parts:
             ids = m.encode_all(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // m.dtype.itemsize for x in ids], pa.int64())], names=[*names, "ids", "n_ids"])
+        m.cache = {}
 
     kept = docs.drop("ids", "n_ids")
     names = kept.columns
@@ -307,6 +309,7 @@ def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids") -> DataFra
     """rows with `decoded`, the text of the packed ids; null ids give the empty text. A column called decoded is replaced."""
     batches(rows.sparkSession)
 
+    @tidy
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model_path)
         for b in parts:

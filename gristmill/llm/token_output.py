@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm._spark import Work
+from gristmill.llm._spark import Work, tidy
 from gristmill.llm._text import U64, mix64
 from gristmill.llm.sentencepiece_codec import model_of
 
@@ -63,6 +63,7 @@ class Feistel:
 def _tokens(model_path: str, end: int, seq_len: int):
     """Rows (part, first, n_seq, doc, ids): sequences are numbered through each written part."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, part, at = model_of(model_path), TaskContext.get().partitionId(), 0
         tail = np.array([end], m.dtype).tobytes()
@@ -72,11 +73,13 @@ def _tokens(model_path: str, end: int, seq_len: int):
             first = at + np.cumsum(n) - n
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first), pa.array(n), b.column(0), pa.array(ids, pa.binary())], names=["part", "first", "n_seq", "doc", "ids"])
+        m.cache = {}
 
     return run
 
 
 def _records(stride: int, width: int, pad: bytes, offsets, order: Feistel):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = offsets.value
         for b in batches:
@@ -102,6 +105,7 @@ def _shards(shard_slots: int):
         one = lambda x, t: pa.array([list(x)], pa.list_(t))
         return pa.RecordBatch.from_arrays([pa.array([slot[0] // shard_slots], pa.int64()), pa.array([slot[0]], pa.int64()), pa.array([len(rows)], pa.int32()), one(doc, pa.int64()), one(seq, pa.int32()), one(n, pa.int32()), pa.array([b"".join(record)], pa.binary())], names=["shard", "first_slot", "n_slots", "docs", "seqs", "n_tokens", "payload"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:

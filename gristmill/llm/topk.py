@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._spark import batches
+from gristmill.llm._spark import batches, tidy
 
 SHARD_ROWS, BLOCK_ROWS, FAN = 4096, 1024, 16
 _PACKED = "dim int, part int, ids binary, matrix binary"
@@ -41,6 +41,7 @@ def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _tile(k: int):
+    @tidy
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for row in b.to_pylist():
