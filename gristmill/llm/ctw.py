@@ -7,8 +7,12 @@ Krichevsky-Trofimov estimates of a path are mixed over all depths with the weigh
 tree's own evidence gives: w = P_kt / (P_kt + product of the children's P_w).
 
 Counting is distributed: each task counts (depth + 1)-byte grams of its texts, the counts are
-summed by gram, and shorter contexts are sums of longer ones.  The tree keeps at most `capacity` grams of a depth (the
-most frequent ones; the rest stays counted in the shorter contexts and in a residual child), so what is broadcast has a fixed bound.
+summed by gram, and shorter contexts are sums of longer ones.  The tree keeps every counted
+gram.  It is cut at contexts of ROOT bytes: the subtrees below are dealt out by those bytes and
+send up their roots' weights; the top (at most 256**ROOT grams) is solved by the driver and
+broadcast; each subtree then gives every gram that any text asks for its log probability.
+Texts look up the most frequent grams in a broadcast table of at most `capacity` of them, and the
+others are joined; none is left out, and where the line between the two lies does not change a score.
 
 The base score is exact add-one unigram over all training words: frequent words' counts are
 broadcast (at most `words` of them), the others are joined by word hash.
@@ -29,6 +33,9 @@ from gristmill.llm._text import LOWER, NOT_SPACE, U64, HashSet, chunks, hash_spa
 
 END = b"\xff"
 HELD = 1 << 22
+ROOT = 3
+#: Grams of one task that solves subtrees.
+TASK_GRAMS = 1 << 19
 
 
 def normal(text: str | None) -> bytes:
@@ -92,27 +99,35 @@ class _Counter:
 
 
 def _count(depth: int):
-    """(kind, key, n): kind 0 grams, 1 words by hash, 2 texts."""
+    """(kind, key, n): kind 0 grams, 1 words by hash, 2 texts. Texts outside the training rows give their grams with n = 0."""
 
-    def out(kind: int, counter: _Counter) -> Iterator[pa.RecordBatch]:
+    def out(kind: int, counter: _Counter, times: int = 1) -> Iterator[pa.RecordBatch]:
         for k, n in counter.take():
+            n = n * times
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
     @tidy
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words, rows = _Counter(), _Counter(), 0
+        own, other, words, rows = _Counter(), _Counter(), _Counter(), 0
         for b in parts:
-            rows += len(b)
+            learn = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            rows += int(learn.sum())
             for a, z, data, offs in chunks(b.column(0)):
                 texts = [normal(t) for t in b.column(0).slice(a, z - a).to_pylist()]
-                own.add(grams(texts, depth)[0])
-                s, e, _ = spans(low := LOWER[data], offs, NOT_SPACE)
-                words.add(hash_spans(low, s, e))
+                keys, n = grams(texts, depth)
+                of = np.repeat(learn[a:z], n)
+                own.add(keys[of])
+                other.add(keys[~of])
+                s, e, first = spans(low := LOWER[data], offs, NOT_SPACE)
+                words.add(hash_spans(low, s, e)[np.repeat(learn[a:z], np.diff(first))])
                 if own.full():
                     yield from out(0, own)
+                if other.full():
+                    yield from out(0, other, 0)
                 if words.full():
                     yield from out(1, words)
         yield from out(0, own)
+        yield from out(0, other, 0)
         yield from out(1, words)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([rows], pa.int64())], names=["kind", "key", "n"])
@@ -138,43 +153,56 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The weighted tree: for each depth and bit position, sorted nodes and the probability of a one where the path ends there."""
+    """The weighted tree: for each depth and bit position, sorted nodes and the probability of a one where the path ends there.
+
+    A part of it has the depths from `first` on.  Without `top`, the part above, it only weighs its roots; `below` are
+    the summed log weights under each of the deepest nodes, for the eight bit positions, where another part goes on.
+    """
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(tables) - 1
-        self.nodes: list[list[np.ndarray]] = [[None] * 8 for _ in tables]
-        self.one: list[list[np.ndarray]] = [[None] * 8 for _ in tables]
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], first: int = 0, top: Tree | None = None, below: list[np.ndarray] | None = None):
+        self.depth = first + len(tables) - 1
+        self.nodes: list[list[np.ndarray]] = [*(top.nodes if top else [[None] * 8] * first), *([None] * 8 for _ in tables)]
+        self.one: list[list[np.ndarray]] = [*(top.one if top else [[None] * 8] * first), *([None] * 8 for _ in tables)]
+        self.roots: list[tuple[np.ndarray, np.ndarray]] = []  # parents and log weights of the nodes of the first depth
+        self.down: list[tuple[np.ndarray, np.ndarray]] = []  # what the deepest nodes hand on: probability so far, weight that is left
         deepest = tables[-1][0]
         total = np.zeros(len(deepest))
+        levels = range(first, self.depth + 1)
         for j in range(8):
-            zeros, ones, lw, stop, up = [], [], [None] * len(tables), [None] * len(tables), [None] * len(tables)
-            for d, (keys, n) in enumerate(tables):
+            zeros, ones, lw, stop, up = {}, {}, {}, {}, {}
+            for d, (keys, n) in zip(levels, tables, strict=True):
                 own = keys >> U64(8 - j)
                 head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
                 self.nodes[d][j] = own[head]
                 bit = ((keys >> U64(7 - j)) & U64(1)).astype(np.int64)
                 total_n = np.add.reduceat(n, head) if len(own) else n
-                ones.append(np.add.reduceat(n * bit, head) if len(own) else n)
-                zeros.append(total_n - ones[d])
+                ones[d] = np.add.reduceat(n * bit, head) if len(own) else n
+                zeros[d] = total_n - ones[d]
                 if d:
-                    up[d] = np.searchsorted(self.nodes[d - 1][j], self.nodes[d][j] & U64((1 << (8 * d - 8 + j)) - 1))
-            for d in range(self.depth, -1, -1):
+                    parents = self.nodes[d][j] & U64((1 << (8 * d - 8 + j)) - 1)
+                    if d > first or top:
+                        up[d] = np.searchsorted(self.nodes[d - 1][j], parents)
+                    else:
+                        self.roots.append((parents, None))
+            for d in reversed(levels):
                 kt = log_kt(zeros[d], ones[d])
                 lw[d], stop[d] = kt, np.ones(len(kt))
-                if d < self.depth and len(kt):
-                    m = len(kt)
-                    some = np.bincount(up[d + 1], minlength=m) > 0
-                    below = np.bincount(up[d + 1], lw[d + 1], m)
-                    rest = [x[d] - np.bincount(up[d + 1], x[d + 1], m).astype(np.int64) for x in (zeros, ones)]
-                    mixed = np.logaddexp(kt, below + log_kt(*(np.maximum(r, 0) for r in rest))) - np.log(2)
-                    lw[d] = np.where(some, mixed, kt)
-                    stop[d] = np.where(some, np.exp(kt - np.log(2) - lw[d]), 1.0)
-            acc, rem = np.zeros(len(zeros[0])), np.ones(len(zeros[0]))
-            for d in range(len(tables)):
-                if d:
-                    acc, rem = (acc + rem * stop[d - 1] * estimate)[up[d]], (rem * (1 - stop[d - 1]))[up[d]]
+                if len(kt) and (d < self.depth or below):
+                    under = np.bincount(up[d + 1], lw[d + 1], len(kt)) if d < self.depth else below[j]
+                    lw[d] = np.logaddexp(kt, under) - np.log(2)
+                    stop[d] = np.exp(kt - np.log(2) - lw[d])
+            if first and not top:
+                self.roots[j] = (self.roots[j][0], lw[first])
+                continue
+            acc, rem = (np.zeros(len(zeros[0])), np.ones(len(zeros[0]))) if not first else (x[up[first]] for x in top.down[j])
+            for d in levels:
                 estimate = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
                 self.one[d][j] = (acc + rem * estimate).astype(np.float32)
+                acc, rem = acc + rem * stop[d] * estimate, rem * (1 - stop[d])
+                if d < self.depth:
+                    acc, rem = acc[up[d + 1]], rem[up[d + 1]]
+            if below:
+                self.down.append((acc, rem))
             if len(deepest):
                 at = np.cumsum(np.concatenate([[0], (deepest >> U64(8 - j))[1:] != (deepest >> U64(8 - j))[:-1]]))
                 total += self._log(self.one[self.depth][j][at], (deepest >> U64(7 - j)) & U64(1))
@@ -222,35 +250,85 @@ class Tree:
         return np.add.reduceat(self.logs(keys), np.cumsum(n) - n)
 
 
-def _score(tree, common):
+def _levels(keys: np.ndarray, n: np.ndarray, depth: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and counts of the depths from `least` to `depth`."""
+    out = [_summed([keys], [n])]
+    for d in range(depth - 1, least - 1, -1):
+        out.insert(0, _summed([out[0][0] & U64((1 << 8 * d + 8) - 1)], [out[0][1]]))
+    return out
+
+
+def _subtrees(depth: int, first: int, top=None):
+    """Of all grams (key, n) of a task: (j, node, lw) of the roots, node being the parent; with the part above, (key, n, value) of every gram."""
+
+    @tidy
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in parts if len(b)]
+        if not got:
+            return
+        keys, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        tree = Tree(_levels(keys[n > 0], n[n > 0], depth, first), first, top and top.value)
+        if top:
+            for i in range(0, len(keys), 1 << 16):
+                own = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n[i : i + (1 << 16)]), pa.array(tree.logs(own).astype(np.float32))], names=["key", "n", "value"])
+            return
+        for j, (parents, lw) in enumerate(tree.roots):
+            for i in range(0, len(lw), 1 << 16):
+                node = parents[i : i + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), j, np.int32)), pa.array(node), pa.array(lw[i : i + (1 << 16)])], names=["j", "node", "lw"])
+
+    return run
+
+
+class Table:
+    """Values by key; the index is made where it is used."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray):
+        self.keys, self.value, self.index = keys, value, None
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if self.index is None:
+            self.index = HashSet(self.keys)
+        return self.index.find(keys)
+
+    def sums(self, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of each run of keys, of which `first` has the first and one more at the end: the sum of the values, how many have one, and the keys without."""
+        at = self.find(keys)
+        got = at >= 0
+        runs = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
+        ends = np.concatenate([[0], np.cumsum(~got)])[first]
+        left = keys[~got].view(np.int64)
+        return runs(np.where(got, self.value[at] if len(self.value) else 0.0, 0.0).astype(np.float64)), runs(got), [left[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)), pa.array(np.concatenate(arrays)))
+
+
+def _score(table, common, depth: int):
     @tidy
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Tree = tree.value
-        hashes, logs = common.value
-        index = HashSet(hashes)
         part, row = TaskContext.get().partitionId() << 40, 0
         for b in parts:
-            score, tokens, partial, known, rare = [], [], [], [], []
+            score, tokens, partial, known, rare, far = [], [], [], [], [], []
             for a, z, data, offs in chunks(b.column(2)):
-                score.append(t.score([normal(x) for x in b.column(2).slice(a, z - a).to_pylist()]))
+                keys, n = grams([normal(x) for x in b.column(2).slice(a, z - a).to_pylist()], depth)
+                sums, _, left = table.value.sums(keys, np.concatenate([[0], np.cumsum(n)]))
+                score.append(sums)
+                far += left
                 s, e, first = spans(low := LOWER[data], offs, NOT_SPACE)
-                h = hash_spans(low, s, e)
-                at = index.find(h)
-                got = at >= 0
-                runs = lambda x, f=first: np.diff(np.concatenate([[0], np.cumsum(x)])[f])
+                sums, got, left = common.value.sums(hash_spans(low, s, e), first)
                 tokens.append(np.diff(first) + 1)
-                partial.append(runs(np.where(got, logs[at] if len(logs) else 0.0, 0.0)))
-                known.append(runs(got))
-                ends = np.concatenate([[0], np.cumsum(~got)])[first]
-                left = h[~got].view(np.int64)
-                rare += [left[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                partial.append(sums)
+                known.append(got)
+                rare += left
             n = len(b)
             if not n:
                 continue
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part + row + np.arange(n)), b.column(0), b.column(1), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(partial)), pa.array(np.concatenate(score)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare)))],
-                names=["row", "doc", "held_out", "n_tokens", "known", "partial", "score", "rare"],
+                [pa.array(part + row + np.arange(n)), b.column(0), b.column(1), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(partial)), pa.array(np.concatenate(score)), _lists(rare), _lists(far)],
+                names=["row", "doc", "held_out", "n_tokens", "known", "partial", "score", "rare", "far"],
             )
             row += n
 
@@ -268,44 +346,51 @@ def _threshold(work: Work, table: DataFrame, most: int) -> int:
     return 1
 
 
-def fit(work: Work, texts: DataFrame, *, depth: int = 5, capacity: int = 1 << 20) -> tuple[Tree, DataFrame, int]:
-    """The tree of the training texts, their words' counts (key, n), and the number of texts."""
+def fit(work: Work, texts: DataFrame, *, depth: int = 5) -> tuple[DataFrame, DataFrame, int]:
+    """From (text, train): log10 probabilities (key, n, value) of the grams of all texts, n being their training counts, the training words' counts (key, n), and the number of training texts."""
+    sc, first = work.spark.sparkContext, min(ROOT, depth)
     counted = work.table(texts.mapInArrow(_count(depth), "kind int, key long, n long"), "counts")
-    sums = counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n"))
-    tables: list[tuple[np.ndarray, np.ndarray]] = []
-    least = 1 << 62
-    for d in range(depth, -1, -1):
-        level = work.table(sums, f"grams-{d}")
-        least = min(least, _threshold(work, level, capacity))
-        got = level.where(F.col("n") >= least).toArrow()  # `capacity` rows at most
-        keys, n = got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
-        order = np.argsort(keys)
-        tables.insert(0, (keys[order], n[order]))
-        sums = level.groupBy(F.expr(f"key & {(1 << 8 * d) - 1}L").alias("key")).agg(F.sum("n").alias("n"))
+    sums = work.table(counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    tasks = max(int(work.spark.conf.get("spark.sql.shuffle.partitions")), 1 + sums.count() // TASK_GRAMS)
+    dealt = sums.repartition(tasks, F.expr(f"shiftright(key, 8) & {(1 << 8 * first) - 1}L"))
+    top = None
+    if first:
+        roots = dealt.mapInArrow(_subtrees(depth, first), "j int, node long, lw double").groupBy("j", "node").agg(F.array_sort(F.collect_list("lw")).alias("lw"))  # 256 at most; sorted, so that sums are the same in each run
+        under = roots.select("j", "node", F.aggregate("lw", F.lit(0.0), lambda a, x: a + x).alias("lw")).orderBy("j", "node").toArrow()
+        level = sums.where("n > 0").groupBy(F.expr(f"key & {(1 << 8 * first) - 1}L").alias("key")).agg(F.sum("n").alias("n")).toArrow()  # 256**ROOT rows at most
+        j, lw = under.column("j").to_numpy(), under.column("lw").to_numpy()
+        top = Tree(_levels(level.column("key").to_numpy().astype(np.int64).view(np.uint64), level.column("n").to_numpy().astype(np.int64), first - 1, 0), below=[lw[j == i] for i in range(8)])
+    whole = _subtrees(depth, first, sc.broadcast(top))
+    values = work.table(dealt.mapInArrow(whole, "key long, n long, value float"), "values")
     words = work.table(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    return Tree(tables), words, counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    return values, words, counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
 
 
 def score(docs: DataFrame, train: Column, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, capacity: int = 1 << 20, words: int = 1 << 19) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
 
     Learns from the rows where `train` is true; a null text is empty and has one token, the end.
+    Up to `capacity` grams and `words` words are broadcast, the others are joined, to the same result.
     Without training rows every bit costs one bit and base scores are 0.  Rows that repeat an id are scored one by one; other columns are not
     read.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     work = Work(spark, "ctw")
-    tree, counts, ends = fit(work, docs.where(train).select(F.col(text_col).alias("text")), depth=depth, capacity=capacity)
+    values, counts, ends = fit(work, docs.select(F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train")), depth=depth)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     least = _threshold(work, counts, words)
     got = counts.where(F.col("n") >= least).toArrow()  # `words` rows at most
-    common = (got.column("key").to_numpy().astype(np.int64).view(np.uint64), np.log10(got.column("n").to_numpy() + 1.0))
+    common = spark.sparkContext.broadcast(Table(got.column("key").to_numpy().astype(np.int64).view(np.uint64), np.log10(got.column("n").to_numpy() + 1.0)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    schema = "row long, doc long, held_out boolean, n_tokens long, known long, partial double, score double, rare array<long>"
-    scored = work.table(rows.mapInArrow(_score(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(common)), schema), "scored")
+    schema = "row long, doc long, held_out boolean, n_tokens long, known long, partial double, score double, rare array<long>, far array<long>"
+    often = _threshold(work, values, capacity)
+    got = values.where(F.col("n") >= often).toArrow()  # `capacity` rows at most
+    table = spark.sparkContext.broadcast(Table(got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("value").to_numpy()))
+    scored = work.table(rows.mapInArrow(_score(table, common, depth), schema), "scored")
+    far = scored.select("row", F.explode("far").alias("key")).join(values.where(F.col("n") < often), "key").groupBy("row").agg(F.sum(F.col("value").cast("double")).alias("further"))
     rare = scored.select("row", F.explode("rare").alias("key")).join(counts.where(F.col("n") < least), "key").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("also"))
     base = F.col("partial") + F.coalesce("more", F.lit(0.0)) + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(total + distinct + 1))
-    return scored.join(rare, "row", "left").select(
-        F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+    return scored.join(rare, "row", "left").join(far, "row", "left").select(
+        F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("further", F.lit(0.0))).alias("score")
     )

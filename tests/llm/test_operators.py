@@ -324,6 +324,18 @@ def test_ctw(spark, docs, capacity, words):
     assert all(r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("capacity", [1 << 20, 50])
+def test_ctw_keeps_every_gram(spark, docs, capacity):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    keys = ctw.grams([ctw.normal(t) for i, t in corpus() if not held(i)], 5)[0]
+    tree = ctw.Tree([np.unique(keys & np.uint64((1 << 8 * d + 8) - 1), return_counts=True) for d in range(6)])
+    rest = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)), F.lit(0))
+    got = ctw.score(docs, rest != 2, rest == 2, capacity=capacity).collect()
+    want = [(str(i), float(tree.score([ctw.normal(t)])[0])) for i, t in corpus()]
+    pairs = list(zip(sorted((str(r["doc_id"]), r["score"]) for r in got), sorted(want), strict=True))
+    assert len(tree.keys) > 50 and all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-5) for a, b in pairs)
+
+
 def test_ctw_without_training(spark):
     docs = frame(spark, [(1, "ab"), (2, None)])
     got = {r["doc_id"]: r for r in ctw.score(docs, F.lit(False), F.lit(True)).collect()}
