@@ -3,7 +3,8 @@
 A softmax regression over hashed word 1- and 2-grams gives each paragraph (line) a licence
 family or `none`.  It is trained here, on perturbed template notices and on other
 paragraphs; its temperature is calibrated on a held-out part, and a paragraph whose best family stays
-under `least` is no licence.  A prediction is confirmed by comparison with the family's
+under `least` is no licence.  A paragraph of more than WINDOW words is also judged by its windows of so many
+words, half overlapping, and its most likely one counts, so text around a notice does not hide it.  A prediction is confirmed by comparison with the family's
 templates: the share of a template's word 3-grams that the paragraph holds.  A confident paragraph
 without a matching template is of the `unknown` family.
 """
@@ -40,6 +41,7 @@ OTHER = [
 ]
 FAMILIES = ["none", *sorted(TEMPLATES)]
 DIM_BITS = 20
+WINDOW = 20
 
 
 def _paragraphs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +129,25 @@ class Classifier:
     def judge(self, data: np.ndarray, offs: np.ndarray, least: float, match: float) -> tuple[np.ndarray, np.ndarray]:
         """For each paragraph a family's number (0 none, -1 unknown) and the calibrated probability of a licence."""
         h, first, f, of = features(data, offs)
-        n = len(offs) - 1
-        size = np.sqrt(np.maximum(np.bincount(of, minlength=n), 1))
-        col = self.column[f]
-        some = np.flatnonzero(col)
-        col, of = col[some], of[some]
-        z = np.stack([np.bincount(of, self.weights[col, c], n) / size for c in range(len(FAMILIES))], axis=1) + self.weights[0]
+        size = np.diff(first)
+        weights = self.weights.astype(np.float64)
+        weights[0] = 0
+        one, two = weights[self.column[f[: len(h)]]], np.zeros((len(h), len(FAMILIES)))
+        two[np.flatnonzero(of[1 : len(h)] == of[: max(len(h) - 1, 0)])] = weights[self.column[f[len(h) :]]]
+        one, two = (np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(x, axis=0)]) for x in (one, two))
+        more = np.where(size > WINDOW, -(-(size - WINDOW) // (WINDOW // 2)) + 1, 0)
+        line = np.repeat(np.arange(len(size)), 1 + more)
+        k = np.arange(len(line)) - np.repeat(np.cumsum(1 + more) - (1 + more), 1 + more)  # 0: the whole line
+        start = first[line] + np.where(k > 0, np.minimum((k - 1) * (WINDOW // 2), size[line] - WINDOW), 0)
+        words = np.where(k > 0, WINDOW, size[line])
+        end, pairs = start + words, np.maximum(words - 1, 0)
+        z = (one[end] - one[start] + two[start + pairs] - two[start]) / np.sqrt(np.maximum(words + pairs, 1))[:, None] + self.weights[0]
         p = self._softmax(z)
-        family, chance = np.argmax(p[:, 1:], axis=1) + 1, 1 - p[:, 0]
+        every = 1 - p[:, 0]
+        chance = np.maximum.reduceat(every, np.flatnonzero(k == 0))
+        best = np.flatnonzero(every == chance[line])
+        best = best[np.unique(line[best], return_index=True)[1]]
+        family = np.argmax(p[best, 1:], axis=1) + 1
         out = np.where((chance >= least) & (np.diff(first) > 0), family, 0)
         for r in np.flatnonzero(out):
             own = h[first[r] : first[r + 1]]
@@ -177,7 +190,7 @@ def scan(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col
     """(id, n_paragraphs, at, families, chance) for each row of docs.
 
     at: indexes of the paragraphs (lines) that hold a licence notice, with their families beside;
-    chance: the largest calibrated licence probability of a paragraph.  A null or empty text is one empty
+    chance: the largest calibrated licence probability of a paragraph or of a window in it.  A null or empty text is one empty
     paragraph without a licence.  Repeated rows are scanned alike; other columns are not read; an
     empty table gives an empty result.
     """

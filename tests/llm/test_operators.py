@@ -169,6 +169,16 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0), model).count() == 0
 
 
+def test_licenses_inside_long_lines(spark):
+    rng = np.random.default_rng(3)
+    plain = [" ".join(f"{'abcdefghij'[i]}{'klmnopqrst'[k]}" for i, k in rng.integers(0, 10, (250, 2))) for _ in range(2)]
+    cases = [(f, t) for f in licenses.FAMILIES[1:] for t in licenses.TEMPLATES[f]]
+    rows = [(i, f"{plain[0]} {t} {plain[1]}") for i, (_, t) in enumerate(cases)] + [(99, " ".join(plain))]
+    model = licenses.fit(frame(spark, [(i, f"{a} {b} {c} text") for i, (a, b, c) in enumerate(zip("abcdefgh" * 4, "ijklmnop" * 4, "qrstuvwx" * 4, strict=True))]))
+    got = {r["doc_id"]: r["families"] for r in licenses.scan(frame(spark, rows), model).collect()}
+    assert got == {i: [f] for i, (f, _) in enumerate(cases)} | {99: []}
+
+
 # ------------------------------------------------------------------ 4 URL filter
 def judged(url, rules):
     tail = url.split("://", 1)[1] if url and "://" in url else ""
