@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import bucket
+from gristmill.operators.protocol import resolve_budget
 
 CONDITIONS = ["baseline", "clean_repeat", "independent", "adaptive", "literal_control"]
 STATUSES = ["ok", "refusal", "format_error", "error"]
@@ -24,6 +25,7 @@ def validate(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
 
     Order: key, duplicates (all rows of the key go), over budget, review value, status, operational error, gold, syntactic flag, answer,
     correct flag; last, rows whose gold differs from their baseline's go.  budgets: (condition, budget).
+    An `answer_labels` column (array of strings, null: A to D) gives a row's own labels.
     """
     issues: list[DataFrame] = []
 
@@ -45,11 +47,18 @@ def validate(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
     issue(good.where(bad_status), "invalid_status")
     good = good.withColumn("status", F.when(bad_status, "error").otherwise(F.col("status")))
     issue(good.where("status = 'error'"), "target_operational_error")
-    bad_gold = ~F.coalesce(F.col("gold").isin(*"ABCD"), F.lit(False))
+    labels, default = F.lit(None).cast("array<string>"), F.array(*map(F.lit, "ABCD"))
+    if "answer_labels" in rows.columns:
+        labels = F.col("answer_labels")
+        bad_labels = F.coalesce((F.size(labels) == 0) | F.exists(labels, lambda x: x.isNull()), F.lit(False))
+        issue(good.where(bad_labels), "invalid_answer_labels")
+        labels = F.when(~bad_labels, labels)
+    labels = F.coalesce(labels, default)
+    bad_gold = ~F.coalesce(F.array_contains(labels, F.col("gold")), F.lit(False))
     issue(good.where(bad_gold), "invalid_gold")
     good = good.where(~bad_gold)
     issue(good.where("syntactic_valid is null"), "missing_syntactic_validity")
-    bad_answer = (F.col("status") == "ok") & ~F.coalesce(F.col("answer").isin(*"ABCD"), F.lit(False))
+    bad_answer = (F.col("status") == "ok") & ~F.coalesce(F.array_contains(labels, F.col("answer")), F.lit(False))
     issue(good.where(bad_answer), "invalid_answer")
     good = good.withColumn("syntactic_valid", F.coalesce("syntactic_valid", F.lit(False))).withColumn("status", F.when(bad_answer, "format_error").otherwise(F.col("status")))
     good = good.withColumn("derived_correct", (F.col("status") == "ok") & (F.col("answer") == F.col("gold")))
@@ -64,6 +73,63 @@ def validate(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
     return good.where("__base_gold is null or __base_gold = gold").drop("__base_gold"), out
 
 
+def run_issues(rows: DataFrame, valid: DataFrame, metadata: dict, k: int | None = None) -> DataFrame:
+    """Issues, as of validate, of a run as a whole: budget, literal controls, planned questions, baselines, missing attempts, cohort, run kind.
+
+    rows: the log as read; valid: the rows that validate keeps.  metadata: the run's own values; k: an explicit budget.
+    `run_kind` is read where rows have it.  Questions are those of the log and those planned.
+    """
+    spark, found = rows.sparkSession, []
+    budget, source = resolve_budget(metadata, rows, k)
+    if source == "observed":
+        found.append(("error", "unknown_planned_budget"))
+    literal = metadata.get("literal_control_count", 3)
+    if type(literal) is not int or literal < 1:
+        found.append(("error", "invalid_literal_control_count"))
+        literal = 3
+    seen = rows.where("question_id is not null").select(F.col("question_id").cast("string").alias("question_id")).distinct()
+    planned = metadata.get("question_ids", metadata.get("expected_question_ids", []))
+    planned = spark.createDataFrame([(str(q),) for q in planned] if isinstance(planned, list) else [], "question_id string").distinct()
+    keyed = lambda df, code, condition="string(null)": df.select(F.lit("error").alias("severity"), F.lit(code).alias("code"), "question_id", F.expr(condition).alias("condition"), F.lit(None).cast("int").alias("attempt"))
+    out = []
+    if not planned.isEmpty():
+        out.append(keyed(seen.join(planned, "question_id", "left_anti"), "unexpected_question_ids"))
+    questions = seen.union(planned).distinct()
+    expected = metadata.get("n_questions", metadata.get("num_questions"))
+    if isinstance(expected, int) and expected != questions.count():
+        found.append(("error", "question_count_mismatch"))
+    conditions = ["clean_repeat", "independent", "adaptive"]
+    if metadata.get("literal_controls") is True or "literal_control" in (metadata.get("conditions") or []) or not rows.where("condition = 'literal_control'").isEmpty():
+        conditions.append("literal_control")
+    budgets = spark.createDataFrame([("baseline", 0), *((c, literal if c == "literal_control" else budget) for c in conditions)], "condition string, budget int")
+    gone = grid(questions, budgets).join(valid.select(*KEY), KEY, "left_anti")
+    out.append(keyed(gone.where("condition = 'baseline'"), "missing_baseline"))
+    out.append(keyed(gone.where("condition <> 'baseline'").select("question_id", "condition").distinct(), "incomplete_budget", "condition"))
+    if cohort(valid).isEmpty():
+        found.append(("warning", "empty_baseline_correct_cohort"))
+    kinds = {r[0] for r in rows.where("run_kind is not null").groupBy("run_kind").agg(F.lit(1)).limit(4).collect()} if "run_kind" in rows.columns else set()  # four kinds have an unknown one
+    kinds |= {metadata["run_kind"]} if metadata.get("run_kind") else set()
+    if not kinds or not kinds <= {"pilot", "evaluation"}:
+        found.append(("error", "unknown_run_kind"))
+    elif len(kinds) > 1:
+        found.append(("error", "mixed_run_kind"))
+    all_ = spark.createDataFrame([(*x, None, None, None) for x in found], "severity string, code string, question_id string, condition string, attempt int")
+    for x in out:
+        all_ = all_.unionByName(x)
+    return all_
+
+
+def review_issues(decisions: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(decisions to merge: of each valid key the first by `order`, issues as of validate) of a saved review (key, clinical_review, ...)."""
+    keyed = decisions.withColumn("__key", key_issue())
+    good = keyed.where("__key is null")
+    bad = ~F.coalesce(F.col("clinical_review").isin("pending", "approved", "rejected"), F.lit(False))
+    ranked = good.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY).orderBy(order)))
+    parts = [(keyed.where("__key is not null"), "invalid_review_key"), (good.where(bad), "invalid_review_decision"), (ranked.where("__n > 1"), "duplicate_review_key")]
+    issues = [df.select(F.lit("error").alias("severity"), F.lit(code).alias("code"), *KEY) for df, code in parts]
+    return ranked.where("__n = 1").drop("__n", "__key"), issues[0].unionByName(issues[1]).unionByName(issues[2])
+
+
 def flagged(rows: DataFrame) -> DataFrame:
     """Adds provisional_wrong and confirmed_wrong to rows with status, answer, gold, syntactic_valid and clinical_review."""
     wrong = (F.col("status") == "ok") & F.col("syntactic_valid") & (F.col("answer") != F.col("gold"))

@@ -165,6 +165,25 @@ def test_duplicate_baseline_and_bad_values(spark):
     assert codes == ["correct_flag_mismatch", "gold_disagreement", "invalid_status", "over_budget", "target_operational_error"]
 
 
+def test_run_review_and_label_issues(spark):
+    df, good, _, _ = run(spark, log())
+    plan = {"k": 2, "question_ids": ["q1", "q2"], "n_questions": 2, "run_kind": "pilot"}
+    codes = lambda x: sorted((r["code"], r["question_id"], r["condition"]) for r in x.collect())
+    assert codes(attempts.run_issues(df, good, plan)) == []
+    cut = lambda r: [] if (r["question_id"], r["condition"], r["attempt"]) in {("q1", "baseline", 0), ("q2", "adaptive", 2)} else [r]
+    df, good, _, _ = run(spark, log(cut))
+    assert codes(attempts.run_issues(df, good, plan)) == [("incomplete_budget", "q2", "adaptive"), ("missing_baseline", "q1", None)]
+    odd = attempts.run_issues(df.withColumn("run_kind", F.lit("evaluation")), good.limit(0), {"question_ids": ["q1"], "n_questions": 3, "literal_control_count": 0, "run_kind": "pilot"})
+    assert {"unexpected_question_ids", "question_count_mismatch", "unknown_planned_budget", "invalid_literal_control_count", "empty_baseline_correct_cohort", "mixed_run_kind"} <= {c[0] for c in codes(odd)}
+    assert "unknown_run_kind" in {c[0] for c in codes(attempts.run_issues(df, good, {}))}
+    saved = [(1, "q1", "adaptive", 1, "approved"), (2, "q1", "adaptive", 1, "rejected"), (3, "q1", "baseline", 4, "approved"), (4, "q2", "adaptive", 1, "maybe")]
+    kept, issues = attempts.review_issues(spark.createDataFrame(saved, "line int, question_id string, condition string, attempt int, clinical_review string"), "line")
+    assert sorted(r["line"] for r in kept.collect()) == [1, 4] and sorted(r["code"] for r in issues.collect()) == ["duplicate_review_key", "invalid_review_decision", "invalid_review_key"]
+    labelled = spark.createDataFrame(log(), LOG).withColumn("answer_labels", F.when(F.col("question_id") == "q1", F.array().cast("array<string>")))
+    _, issues = attempts.validate(labelled, spark.createDataFrame([("adaptive", 2)], "condition string, budget int"))
+    assert {r["code"] for r in issues.collect()} == {"invalid_answer_labels"}
+
+
 def test_empty_cohort_gives_no_rates(spark):
     _, good, _, b = run(spark, log(lambda r: [r | {"answer": "B", "correct": False}] if r["condition"] == "baseline" else [r]))
     assert attempts.cohort(good).isEmpty() and attempts.curves(good, attempts.cohort(good), b).isEmpty()
