@@ -117,6 +117,14 @@ def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix64((h[e] - h[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def value_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of values times powers, one more than values; and the powers' inverses, which scale a difference of two sums to what stands between, wherever that is."""
+    up, down = _pow(len(values))
+    h = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * up[:-1], out=h[1:])
+    return h, down
+
+
 def roll(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k consecutive hashes: len(h) - k + 1 of them."""
     m = len(h) - k + 1

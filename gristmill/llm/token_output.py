@@ -1,7 +1,8 @@
 """Training-order materialisation of token sequences (operator 1).
 
 Documents' token ids, each followed by an end id, are cut into sequences of `seq_len` ids (the
-last one padded).  A keyed Feistel permutation with cycle-walking sends the running number of
+last one padded) and numbered in the order of a hash of their rows, so numbers do not depend on
+how the table is dealt to tasks.  A keyed Feistel permutation with cycle-walking sends the running number of
 every sequence to a global slot, so the training order is a fixed pseudo-random permutation
 that needs no sort key, no sampling and no shuffle buffer.  Slots are dealt in ranges: each task
 writes whole shards of `shard_slots` fixed-stride records, so slot s is record s % shard_slots
@@ -10,19 +11,21 @@ of shard s // shard_slots, and a reader can resume at any slot.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm._spark import Work, tidy
 from gristmill.llm._text import U64, mix64
-from gristmill.llm.sentencepiece_codec import model_of
+from gristmill.llm.sentencepiece_codec import binary, model_of, shipped
 
 ROUNDS = 6
+#: Of the hash that numbers the rows, the leading bits whose ranges get their offsets from the driver.
+BUCKET_BITS = 16
 
 
 class Feistel:
@@ -60,50 +63,62 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def _tokens(model_path: str, end: int, seq_len: int):
-    """Rows (part, first, n_seq, doc, ids): sequences are numbered through each written part."""
+def _tokens(model, end: int, seq_len: int):
+    """Rows (bucket, first, n_seq, doc, ids) of rows sorted by bucket: sequences are numbered through each bucket."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, part, at = model_of(model_path), TaskContext.get().partitionId(), 0
-        tail = np.array([end], m.dtype).tobytes()
+        m, last, at = model_of(model.value), -1, 0
         for b in batches:
-            ids = [x + tail if x else b"" for x in m.encode_all(b.column(1).to_pylist())]
-            n = np.array([-(-len(x) // (m.dtype.itemsize * seq_len)) for x in ids], np.int64)
-            first = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first), pa.array(n), b.column(0), pa.array(ids, pa.binary())], names=["part", "first", "n_seq", "doc", "ids"])
-        m.cache = {}
+            if not len(b):
+                continue
+            bucket = b.column(0).to_numpy()
+            ids, count = m.encode_all(b.column(2).to_pylist())
+            some = count > 0
+            ids, count = np.insert(ids, np.cumsum(count)[some], end), count + some
+            n = -(-count // seq_len)
+            if bucket[0] != last:
+                at = 0
+            head = np.append(True, bucket[1:] != bucket[:-1])
+            upto = np.cumsum(n) - n
+            first = upto - upto[head][np.cumsum(head) - 1] + np.where(np.cumsum(head) == 1, at, 0)
+            last, at = bucket[-1], int(first[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first), pa.array(n), b.column(1), binary(ids, count)], names=["bucket", "first", "n_seq", "doc", "ids"])
 
     return run
 
 
-def _records(stride: int, width: int, pad: bytes, offsets, order: Feistel):
+def _records(stride: int, offsets, order: Feistel):
+    """Rows (slot, doc, seq, ids) of sequences, ids deflated: they go through a shuffle."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = offsets.value
         for b in batches:
-            part, first, n_seq, doc, ids = (c.to_pylist() for c in b.columns)
-            n = np.array(n_seq, np.int64)
+            bucket, first, n = (b.column(i).to_numpy() for i in range(3))
             seq = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            number = np.repeat(np.array([start[p] + f for p, f in zip(part, first, strict=True)], np.int64), n) + seq
-            cut = [x[i : i + stride] for x in ids for i in range(0, len(x), stride)]
-            length = [len(x) // width for x in cut]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order.slots(number)), pa.array([d for d, k in zip(doc, n_seq, strict=True) for _ in range(k)], pa.int64()), pa.array(seq.astype(np.int32)), pa.array(length, pa.int32()), pa.array([x + pad * (stride // width - k) for x, k in zip(cut, length, strict=True)], pa.binary())],
-                names=["slot", "doc", "seq", "n_tokens", "record"],
-            )
+            number = np.repeat(start[bucket] + first, n) + seq
+            cut = [deflated(x[i : i + stride]) for x in b.column(4).to_pylist() for i in range(0, len(x), stride)]
+            yield pa.RecordBatch.from_arrays([pa.array(order.slots(number)), b.column(3).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(seq.astype(np.int32)), pa.array(cut, pa.binary())], names=["slot", "doc", "seq", "ids"])
 
     return run
 
 
-def _shards(shard_slots: int):
+def deflated(raw: bytes) -> bytes:
+    c = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return c.compress(raw) + c.flush()
+
+
+def _shards(shard_slots: int, stride: int, width: int, pad: bytes):
     """Joins the sorted records of each shard into one payload."""
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        slot, doc, seq, n, record = zip(*rows, strict=True)
+        slot, doc, seq, ids = zip(*rows, strict=True)
+        ids = [zlib.decompress(x, -15) for x in ids]
+        n = [len(x) // width for x in ids]
+        payload = b"".join([x + pad * (stride // width - k) for x, k in zip(ids, n, strict=True)])
         one = lambda x, t: pa.array([list(x)], pa.list_(t))
-        return pa.RecordBatch.from_arrays([pa.array([slot[0] // shard_slots], pa.int64()), pa.array([slot[0]], pa.int64()), pa.array([len(rows)], pa.int32()), one(doc, pa.int64()), one(seq, pa.int32()), one(n, pa.int32()), pa.array([b"".join(record)], pa.binary())], names=["shard", "first_slot", "n_slots", "docs", "seqs", "n_tokens", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([slot[0] // shard_slots], pa.int64()), pa.array([slot[0]], pa.int64()), pa.array([len(rows)], pa.int32()), one(doc, pa.int64()), one(seq, pa.int32()), one(n, pa.int32()), pa.array([payload], pa.binary())], names=["shard", "first_slot", "n_slots", "docs", "seqs", "n_tokens", "payload"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,27 +139,33 @@ def materialise(docs: DataFrame, model_path: str, path: str | None = None, *, id
     """Writes the shards as Parquet to `path` (default: the shared folder) and returns them reread.
 
     Shards: (shard, first_slot, n_slots, docs, seqs, n_tokens, payload); payload holds n_slots
-    records of seq_len little-endian ids, in slot order.  Null and empty texts have no sequence; rows
-    that repeat an id or text are sequences of their own; null ids stay null.  An empty table
-    gives no shards; other columns are not read.
+    records of seq_len little-endian ids, in slot order.  The order follows from the rows and the key alone: rows are
+    numbered by a hash of id and text (ties by id, then text), however the table is split into files and tasks.
+    Null and empty texts have no sequence; rows
+    that repeat an id or text are sequences of their own; null ids stay null; a very long text is as many sequences as it
+    needs.  An empty table gives no shards; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     work = Work(spark, "token_output")
+    model = shipped(spark, model_path)
     width = model_of(model_path).dtype.itemsize
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    tokens = work.table(rows.mapInArrow(_tokens(model_path, end, seq_len), "part int, first long, n_seq long, doc long, ids binary"), "tokens", "zstd")
-    offsets, total = {}, 0
-    for part, n in sorted(tokens.groupBy("part").agg(F.sum("n_seq")).collect()):  # a row for each written part
-        offsets[part] = total
-        total += n
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text <> ''").withColumn("hash", F.xxhash64("doc", "text"))
+    rows = rows.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(hash, {64 - BUCKET_BITS}) as int)"))
+    dealt = rows.repartitionById(tasks, F.expr(f"cast(bucket * {tasks}L div {1 << BUCKET_BITS} as int)")).sortWithinPartitions("bucket", "hash", "doc", "text").select("bucket", "doc", "text")
+    tokens = work.table(dealt.mapInArrow(_tokens(model, end, seq_len), "bucket int, first long, n_seq long, doc long, ids binary"), "tokens", "zstd")
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for bucket, n in tokens.groupBy("bucket").agg(F.sum("n_seq")).collect():  # 2**BUCKET_BITS rows at most
+        counts[bucket] = n
+    total = int(counts.sum())
     order = Feistel(total, key)
-    given = spark.sparkContext.broadcast(offsets)
-    records = tokens.where("n_seq > 0").mapInArrow(_records(seq_len * width, width, pad.to_bytes(width, "little"), given, order), "slot long, doc long, seq int, n_tokens int, record binary")
+    given = spark.sparkContext.broadcast(np.cumsum(counts) - counts)
+    records = tokens.mapInArrow(_records(seq_len * width, given, order), "slot long, doc long, seq int, ids binary")
     shards = max(1, -(-total // shard_slots))
-    tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * seq_len * width >> 27)))
+    tasks = max(1, min(shards, max(tasks, total * seq_len * width >> 27)))
     each = -(-shards // tasks)
     dealt = records.repartitionById(tasks, F.expr(f"cast(slot div {shard_slots * each} as int)")).sortWithinPartitions("slot")
-    out = dealt.mapInArrow(_shards(shard_slots), "shard long, first_slot long, n_slots int, docs array<long>, seqs array<int>, n_tokens array<int>, payload binary")
+    out = dealt.mapInArrow(_shards(shard_slots, seq_len * width, width, pad.to_bytes(width, "little")), "shard long, first_slot long, n_slots int, docs array<long>, seqs array<int>, n_tokens array<int>, payload binary")
     if path is None:
         return work.table(out, "shards", "zstd")
     out.write.option("compression", "zstd").parquet(path)
@@ -158,7 +179,7 @@ def sequences(shards: DataFrame) -> DataFrame:
     return each.select((F.col("first_slot") + F.col("at")).alias("slot"), "shard", F.col("x.docs").alias("doc"), F.col("x.seqs").alias("seq"), F.col("x.n_tokens").alias("n_tokens"), F.expr("substring(payload, at * stride + 1, stride)").alias("record"))
 
 
-def read_slots(spark: SparkSession, path: str, start: int, count: int) -> DataFrame:
-    """The records of slots start .. start + count - 1, in order; only their shards are read."""
-    shards = spark.read.parquet(path).where(f"first_slot < {start + count} and first_slot + n_slots > {start}")
+def read_slots(spark: SparkSession, path: str, start: int, count: int, *, shard_slots: int = 512) -> DataFrame:
+    """The records of slots start .. start + count - 1, in order. The filter on `shard` is pushed to the files' statistics: files hold slot ranges, so only those of the asked shards are read."""
+    shards = spark.read.parquet(path).where(F.col("shard").between(start // shard_slots, (start + count - 1) // shard_slots))
     return sequences(shards).where(f"slot >= {start} and slot < {start + count}").orderBy("slot")

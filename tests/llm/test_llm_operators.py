@@ -117,7 +117,7 @@ def test_token_output(spark, docs, tmp_path):
     m = sentencepiece_codec.model_of(queries.PIECES)
     want = Counter()
     for i, t in corpus():
-        ids = np.frombuffer(m.encode([t])[0], m.dtype).tolist()
+        ids = m.encode([t])[0].tolist()
         ids += [2] if ids else []
         for k in range(0, len(ids), 16):
             want[i, k // 16, len(ids[k : k + 16]), tuple(ids[k : k + 16] + [0] * (16 - len(ids[k : k + 16])))] += 1
@@ -126,9 +126,18 @@ def test_token_output(spark, docs, tmp_path):
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
     assert all(r["first_slot"] == 8 * r["shard"] and len(r["payload"]) == r["n_slots"] * 32 for r in shards.collect())
     by = {r["slot"]: bytes(r["record"]) for r in got}
-    part = token_output.read_slots(spark, path, 5, 9).collect()
+    part = token_output.read_slots(spark, path, 5, 9, shard_slots=8).collect()
     assert [(r["slot"], bytes(r["record"])) for r in part] == [(s, by[s]) for s in range(5, 14)]
     assert token_output.materialise(docs.limit(0), queries.PIECES).count() == 0
+    # the order follows from the rows and the key, not from partitions
+    slots = lambda df: sorted((r["slot"], str(r["doc"]), r["seq"], bytes(r["record"])) for r in token_output.sequences(token_output.materialise(df, queries.PIECES, seq_len=16, shard_slots=8)).collect())
+    want = slots(docs)
+    assert want == sorted((r["slot"], str(r["doc"]), r["seq"], bytes(r["record"])) for r in got)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert slots(docs.repartition(7)) == want and slots(docs.orderBy(F.rand(3)).coalesce(1)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 # ------------------------------------------------------------------ 2 quality
@@ -154,6 +163,12 @@ def test_quality(spark):
     assert np.allclose(model.score(c, 5), want, atol=1e-4)
     assert {r["score"] for r in quality.classify(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert quality.classify(docs.limit(0), model).count() == 0
+    # labels of ids that docs lacks take no place in the sample; held-out labels move no score
+    strangers = spark.createDataFrame([(i, 1) for i in range(5000, 6000)], "doc_id long, quality int")
+    turned = labels.where("crc32(cast(doc_id as string)) % 5 <> 0").union(labels.where("crc32(cast(doc_id as string)) % 5 = 0").selectExpr("doc_id", "1 - quality"))
+    for other in (labels.union(strangers), turned):
+        again = quality.classify(docs, quality.fit(docs.repartition(3), other, n_fit=200, rank=16)).collect()
+        assert sorted((str(r["doc_id"]), str(r["text"]), round(r["score"], 4)) for r in again) == sorted((str(r["doc_id"]), str(r["text"]), round(r["score"], 4)) for r in got)
 
 
 # ------------------------------------------------------------------ 3 licences
@@ -217,26 +232,59 @@ def viterbi(m, text):
     ids, at = [], len(cp)
     while at:
         i, k = back[at]
-        ids = ([int(k)] if k is not None else m._char_bytes(0x110000 if cp[i] == "\0lit" else ord(cp[i]))) + ids
+        ids = ([int(k)] if k is not None else [int(m.bytes[b]) for b in ("▁" if cp[i] == "\0lit" else cp[i]).encode()]) + ids
         at = i
     return best[-1], ids
 
 
+def packed(m, texts, **more):
+    ids, n = m.encode_all(texts, **more)
+    return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 @needs_pieces
-def test_sentencepiece(spark, docs):
+@pytest.mark.parametrize("chars", [1 << 20, 50])
+def test_sentencepiece(spark, docs, chars):
     m = sentencepiece_codec.model_of(queries.PIECES)
     rng = random.Random(2)
-    texts = ["", None, " ", "   ", " a  b ", "Hello world.\n\nNext line", "▁x▁ y ▁", "日本語 テキスト🙂", "\0\0 a", "x" * 300, "a\r\n\tb", "ion" * 50] + ["".join(rng.choice("ab  \nthe▁é🙂") for _ in range(rng.randint(1, 80))) for _ in range(60)]
-    got = m.encode(texts)
-    for t, packed in zip(texts, got, strict=True):
-        ids = np.frombuffer(packed, m.dtype).tolist()
-        assert ids == viterbi(m, t)[1] and m.decode(packed).decode() == (t or "")
+    texts = ["", None, " ", "   ", " a  b ", "Hello world.\n\nNext line", "▁x▁ y ▁", "日本語 テキスト🙂", "\0\0 a", "\0", "x" * 300, "a\r\n\tb", "ion" * 50, "Hello", "Hello"] + ["".join(rng.choice("ab  \nthe▁é🙂") for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    got = packed(m, texts, chars=chars)
+    for t, p in zip(texts, got, strict=True):
+        ids = np.frombuffer(p, m.dtype).tolist()
+        assert ids == viterbi(m, t)[1]
         stream = sentencepiece_codec.StreamingViterbi(m)
         out = [x for c in (t or "") and " " + t for x in stream.feed(c)] + stream.end()
-        assert out == ids and stream.widest <= 5 * m.longest
+        assert out == ids
+    assert m.decode(got) == [t or "" for t in texts]
     rows = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, queries.PIECES), queries.PIECES).collect()
     assert len(rows) == len(corpus()) and all(r["decoded"] == (r["text"] or "") for r in rows)
     assert sentencepiece_codec.encode(docs.limit(0), queries.PIECES).count() == 0
+    assert {r["decoded"] for r in sentencepiece_codec.decode(spark.createDataFrame([(None,), (b"",)], "ids binary"), queries.PIECES).collect()} == {""}
+
+
+@needs_pieces
+def test_streaming_window():
+    """Unbroken text: the window stays small where paths meet, ids come out before the end, and they are those of the whole text."""
+    m = sentencepiece_codec.model_of(queries.PIECES)
+    rng = random.Random(6)
+    text = " " + "".join(rng.choice("etaoinshrdlucmfw") for _ in range(4000))
+    stream, out, early = sentencepiece_codec.StreamingViterbi(m), [], 0
+    for i in range(0, len(text), 7):
+        out += stream.feed(text[i : i + 7])
+        early = max(early, len(stream.cp))
+    assert stream.widest <= 8 * m.longest and early <= 12 * m.longest and len(out) > 1000
+    assert out + stream.end() == viterbi(m, text[1:])[1] == np.frombuffer(packed(m, [text[1:]])[0], m.dtype).tolist()
+    endless = "x" * 20000  # paths that do not meet
+    assert sum(m.length[np.frombuffer(packed(m, [endless])[0], m.dtype)]) == 20001
+
+
+@needs_pieces
+def test_sentencepiece_equal_hashes(monkeypatch):
+    """Stretches whose hashes collide are told apart."""
+    m, texts = sentencepiece_codec.model_of(queries.PIECES), ["the quick fox", "and the other", None]
+    want = packed(m, texts)
+    monkeypatch.setattr(sentencepiece_codec, "mix64", lambda x: x * np.uint64(0))
+    assert packed(m, texts) == want
 
 
 @needs_pieces
@@ -253,7 +301,7 @@ def test_sentencepiece_library_score():
     lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     m = sentencepiece_codec.model_of(queries.PIECES)
     for t in ["the quick brown fox", "Einheit und Recht", "thstion onanly erhe the"]:
-        ours = np.frombuffer(m.encode([t])[0], m.dtype)
+        ours = np.frombuffer(packed(m, [t])[0], m.dtype)
         assert sum(m.score[ours]) == sum(m.score[lib.encode(t)])
 
 
@@ -403,11 +451,34 @@ def test_decontamination(spark, docs, block):
     assert all(not r["items"] for r in decontam.find_matches(docs, bench.limit(0)).collect())
 
 
-def test_proximity(spark):
-    docs = frame(spark, [(1, "aa x x bb x cc"), (2, "aa " + "x " * 10 + "bb cc"), (3, "cc bb aa"), (4, "aa bb"), (5, None)])
+def near_in(rows, items, rare_terms, span):
+    word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    count = Counter(w for _, t in rows for w in word(t))
+    out = Counter()
+    for d, t in rows:
+        w = word(t)
+        spans = [set(w[i : i + span]) for i in range(max(1, len(w) - span + 1))]
+        out[d, tuple(sorted({i for i, x in items if word(x) and any(set(sorted(set(word(x)), key=lambda v: (count[v], v))[:rare_terms]) <= s for s in spans)}))] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_proximity(spark, docs, block):
+    small = frame(spark, [(1, "aa x x bb x cc"), (2, "aa " + "x " * 10 + "bb cc"), (3, "cc bb aa"), (4, "aa bb"), (5, None)])
     bench = spark.createDataFrame([(7, "aa bb cc")], "item_id long, text string")
-    got = {r["doc_id"]: r["near"] for r in decontam.find_matches(docs, bench, span=6).collect()}
+    got = {r["doc_id"]: r["near"] for r in decontam.find_matches(small, bench, span=6, size=6).collect()}
     assert got == {1: [7], 2: [], 3: [7], 4: [], 5: []}
+    rows, items = corpus(), [(i, " ".join((corpus()[i][1] or "").split()[:30])) for i in (0, 2, 3, 8, 9)] + [(50, "a"), (51, "never a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], tuple(r["near"])) for r in decontam.find_matches(docs, bench, size=6, span=8, block_chars=block).collect())
+    assert got == near_in(rows, items, 3, 8) and sum(len(k[1]) for k in got) > 10
+
+
+def test_text_ids(spark):
+    """Ids that are text pass through."""
+    bench = spark.createDataFrame([(7, "aa bb")], "item_id long, text string")
+    got = decontam.find_matches(spark.createDataFrame([("k", "x aa bb"), (None, "bb")], "id string, text string"), bench, id_col="id").collect()
+    assert sorted((str(r["id"]), r["hits"]) for r in got) == [("None", []), ("k", [1, 2])]
 
 
 # ------------------------------------------------------------------ 10 Jaccard
@@ -432,11 +503,19 @@ def groups_of(rows):
     return Counter((d, len(s), least.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard(spark, seed):
+@pytest.mark.parametrize(("seed", "bits"), [(1, 64), (2, 4)])
+def test_jaccard(spark, seed, bits):
+    """With ids of 4 bits many sets share one; the second id tells them apart."""
     rows = corpus(seed, 90)
     docs = frame(spark, rows).withColumn("node", F.lit("clash")).repartition(5)
-    assert Counter(tuple(r) for r in jaccard.jaccard_groups(docs).collect()) == groups_of(rows)
+    assert Counter(tuple(r) for r in jaccard.jaccard_groups(docs, node_bits=bits).collect()) == groups_of(rows)
+
+
+def test_gram_sets():
+    texts = ["a b c d e f a b c d e", "A  b", None, "", "x", "a b C d e", "w " * 3000]
+    got = [g[i:j].tolist() for _, _, g, offs in jaccard.gram_sets(pa.array(texts), 5) for i, j in zip(offs, offs[1:], strict=False)]
+    assert [len(x) for x in got] == [len(shingles(t)) for t in texts] and all(x == sorted(set(x)) for x in got)
+    assert set(got[5]) < set(got[0]) and not set(got[1]) & set(got[0])
 
 
 def test_jaccard_large_group(spark):
