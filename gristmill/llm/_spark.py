@@ -9,10 +9,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm._text import U64, mix64
+
 #: Bytes of one Arrow batch; with it a Python worker's memory is bounded whatever the texts' lengths.
 BATCH_BYTES = 4 << 20
 _own: dict[str, str] = {}
@@ -51,7 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Work:
-    """A folder of one call's intermediate tables in the shared folder. The tables cut lineage and outlive executors; they go when the driver's Python ends."""
+    """A folder of one call's intermediate tables in the shared folder. The tables cut lineage and outlive executors; they go by `drop`, else when the driver's Python ends.
+
+    As a context it drops its tables at the end: for callers that have written what they need of them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -64,6 +70,18 @@ class Work:
         df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Removes the named tables that are there, or all of them."""
+        for path in [f"{self.path}/{n}" for n in names] or [self.path]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
 
 @atexit.register
 def _clean() -> None:
@@ -73,6 +91,37 @@ def _clean() -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Least and most bits of a Bloom filter, as powers of two; most is 64 MB.
+BLOOM_BITS = (16, 29)
+
+
+def _places(keys: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix64(keys.view(U64))
+    return (h & U64(mask)).astype(np.int64), (h >> U64(32) & U64(mask)).astype(np.int64)
+
+
+def bloom(spark: SparkSession, keys: DataFrame):
+    """A broadcast Bloom filter of the 64-bit keys of a written table's only column, 8 bits for each up to the most; fuller ones let more through."""
+    bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (8 * max(keys.count(), 1) - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pos = np.concatenate(_places(b.column(0).to_numpy(), (1 << bits) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pos >> 3), pa.array((1 << (pos & 7)).astype(np.int32))], names=["at", "bit"])
+
+    got = keys.mapInArrow(run, "at long, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # a row for each byte at most, and two for each key
+    held = np.zeros(1 << (bits - 3), np.uint8)
+    held[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+    return spark.sparkContext.broadcast(held)
+
+
+def in_bloom(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for p in _places(keys, len(held) * 8 - 1):
+        out &= (held[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 #: Edges (16 bytes each) that one task solves by itself.
 LOCAL_EDGES = 1 << 18
 
