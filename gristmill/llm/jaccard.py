@@ -40,7 +40,7 @@ SLICE = 1 << 16
 SEEN = 1 << 16
 GRAM, OTHER = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 PARTS = 64
-ROUNDS, NEAR = 3, 4
+ROUNDS, NEAR, BEFORE = 3, 4, 32
 
 
 def gram_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -301,6 +301,11 @@ def _possible(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
     return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and (100 + {percent}) * {most} >= {percent} * ({n1} + {n2})")
 
 
+def _before() -> Column:
+    """The BEFORE n-grams before a row's own in its node's prefix. Two rows with one of them in common are not at their nodes' first common n-gram, where the pair is made."""
+    return F.collect_list("gram").over(Window.partitionBy("node").orderBy("pos").rowsBetween(-BEFORE, -1))
+
+
 def _sets(k: int, bits: int, wanted, clash: np.ndarray):
     """The whole sets of the wanted nodes; `wanted` is a Bloom filter, so a few others come too."""
 
@@ -392,9 +397,9 @@ def classes(work: Work, docs: DataFrame, *, text_col: str = "text", carry: list[
         label = components(work, links, f"round-{n}")
         rungs = chains.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rungs.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    rungs = work.table(rungs.join(mixed, "gram", "left_semi"), "mixed")
-    other = rungs.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "pos", "comp")))
-    cross = rungs.join(other, "gram").where("comp < comp_2").where(_possible(percent, "n", "pos", "n_2", "pos_2"))
+    rungs = work.table(rungs.join(mixed, "gram", "left_semi").withColumn("before", _before()), "mixed")
+    other = rungs.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "pos", "comp", "before")))
+    cross = rungs.join(other, "gram").where("comp < comp_2").where(_possible(percent, "n", "pos", "n_2", "pos_2")).where("not arrays_overlap(before, before_2)")
     more = _verified(work, sets, nodes, cross.select(F.col("node").alias("a"), F.col("node_2").alias("b")), percent, "cross")
     if not more.isEmpty():
         label = components(work, links.union(more), "all")
