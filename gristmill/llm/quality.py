@@ -86,9 +86,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Non-zero counts of the sampled rows: term and count pairs."""
     for b in batches:
-        for a, z, c in counts(b.column(1)):
+        for a, z, c in counts(b.column(3)):
             packed = [np.stack([t := np.flatnonzero(x), np.minimum(x[t], 0x7FFFFFFF)]).astype(np.int32).tobytes() for x in c]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(packed, pa.binary())], names=["label", "terms"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, z - a) for i in range(3)), pa.array(packed, pa.binary())], names=["id", "hash", "label", "terms"])
 
 
 class Model:
@@ -127,14 +127,13 @@ class Model:
         return (w * self.label[near]).sum(axis=1) / w.sum(axis=1)
 
 
-def _score(model, k: int):
+def _score(model, k: int, at: int, names: list[str]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            at = b.num_columns - 1
             score = [m.score(c, k) for _, _, c in counts(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*b.schema.names[:at], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(score) if score else [], pa.float64())], names=names)
 
     return run
 
@@ -145,30 +144,34 @@ def remainder(id_col: str, mod: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 5, n_fit: int = 4096, rank: int = 64) -> Model:
-    """A model of at most `n_fit` labelled rows whose crc32 remainder isn't 0, those of the smallest id hashes; idf comes from all documents.
+    """A model of at most `n_fit` labelled rows of docs whose crc32 remainder isn't 0, those of the smallest hashes of id and text; idf comes from all documents.
 
-    Null labels and ids count as unlabelled; of several labels of one id the largest holds; of several rows of one id each is a row.
+    Null labels and ids count as unlabelled; labels of ids that docs lacks are not used; of several labels of one id the largest holds;
+    of several rows of one id each is a row, and rows that repeat both id and text are one.  Other columns are not read.
     """
     batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
     sums = dict(texts.mapInArrow(_document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
     n = sums.get(-1, 0)
     idf = np.array([np.log((n + 1) / (sums.get(t, 0) + 1)) + 0.1 for t in range(DIMS)], np.float32)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").where(remainder("id", mod) != 0)
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    drawn = labelled.where(remainder("id", mod) != 0).orderBy(F.xxhash64("id"), "id").limit(n_fit)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("label", "text").limit(4 * n_fit)
-    got = sorted((r["label"], bytes(r["terms"])) for r in rows.mapInArrow(_sparse, "label int, terms binary").collect())
-    return Model(idf, got[:n_fit] if len(got) <= n_fit else [got[i * len(got) // n_fit] for i in range(n_fit)], rank)
+    drawn = rows.select("id", F.xxhash64("id", "text").alias("hash")).distinct().join(labelled, "id").orderBy("hash", "id").limit(n_fit)  # n_fit rows of 24 bytes
+    drawn = docs.sparkSession.createDataFrame([tuple(r) for r in drawn.collect()], "id long, hash long, label int")
+    sample = rows.withColumn("hash", F.xxhash64("id", "text")).join(F.broadcast(drawn), ["id", "hash"]).select("id", "hash", "label", "text")
+    got = {(r["id"], r["hash"]): (r["label"], bytes(r["terms"])) for r in sample.mapInArrow(_sparse, "id long, hash long, label int, terms binary").collect()}  # n_fit rows, and their repeats
+    return Model(idf, [got[k] for k in sorted(got)], rank)
 
 
-def classify(docs: DataFrame, model: Model, *, text_col: str = "text", k: int = 15) -> DataFrame:
-    """docs with `score` (0 to 1, higher: label 1 likelier).
+def classify(docs: DataFrame, model: Model, *, text_col: str = "text", k: int = 15, score_col: str = "score") -> DataFrame:
+    """docs with `score_col` (0 to 1, higher: label 1 likelier).
 
-    Null and empty texts are scored like any text.  Without labelled rows every score is 0.5.  Other
-    columns pass through, but a column called score is replaced.
+    Null and empty texts are scored like any text, very long ones as a whole.  Without labelled rows every score is 0.5.  Repeated
+    rows score alike; of labelled vectors equally near the k-th place any may vote.  Other columns pass through, whatever their
+    names, but one called `score_col` is replaced.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     batches(spark)
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.select("*", F.col(text_col).alias("__text")).mapInArrow(_score(spark.sparkContext.broadcast(model), k), schema)
+    docs = docs.drop(score_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return docs.mapInArrow(_score(spark.sparkContext.broadcast(model), k, docs.columns.index(text_col), schema.names), schema)
