@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import bucket
+from gristmill.functions.text import blank
 from gristmill.operators.protocol import resolve_budget
 
 CONDITIONS = ["baseline", "clean_repeat", "independent", "adaptive", "literal_control"]
@@ -16,7 +17,7 @@ KEY = ["question_id", "condition", "attempt"]
 def key_issue() -> Column:
     """missing_key, invalid_key, or null."""
     missing = F.col("question_id").isNull() | F.col("condition").isNull() | F.col("attempt").isNull()
-    invalid = (F.trim("question_id") == "") | ~F.col("condition").isin(CONDITIONS) | F.when(F.col("condition") == "baseline", F.col("attempt") != 0).otherwise(F.col("attempt") < 1)
+    invalid = blank(F.col("question_id")) | ~F.col("condition").isin(CONDITIONS) | F.when(F.col("condition") == "baseline", F.col("attempt") != 0).otherwise(F.col("attempt") < 1)
     return F.when(missing, "missing_key").when(invalid, "invalid_key")
 
 
@@ -38,8 +39,8 @@ def validate(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
     counts = good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
     issue(counts.where("__n > 1"), "duplicate_key")
     good = good.join(counts.where("__n = 1").select(*KEY), KEY, "left_semi").join(F.broadcast(budgets), "condition", "left")
-    issue(good.where("attempt > budget"), "over_budget")
-    good = good.where("budget is null or attempt <= budget").drop("budget")
+    issue(good.where("attempt > coalesce(budget, 0)"), "over_budget")  # a condition without a declared budget has none
+    good = good.where("attempt <= coalesce(budget, 0)").drop("budget")
     bad_review = ~F.coalesce(F.col("clinical_review").isin("pending", "approved", "rejected"), F.lit(False))
     issue(good.where(bad_review), "invalid_clinical_review")
     good = good.withColumn("clinical_review", F.when(bad_review, "pending").otherwise(F.col("clinical_review")))

@@ -11,12 +11,14 @@ from gristmill.functions.hashing import digest
 def dedup_with_conflicts(df: DataFrame, key: Column, content: Column, order: str) -> DataFrame:
     """df with role: `kept` (first of its key), `duplicate`, or `conflict` where rows of one key differ in content.
 
+    Null is a key like any other, and null content differs from other content.
     Groups are judged by partial aggregates and joined back, so a hot key is never gathered.
     """
     rows = df.withColumn("__key", key).withColumn("__content", content)
-    groups = rows.groupBy("__key").agg(F.min(order).alias("__first"), F.min("__content").alias("__lo"), F.max("__content").alias("__hi"))
-    role = F.when(F.col("__lo") != F.col("__hi"), "conflict").when(F.col(order) == F.col("__first"), "kept").otherwise("duplicate")
-    return rows.join(groups, "__key").withColumn("role", role).drop("__key", "__content", "__first", "__lo", "__hi")
+    groups = rows.groupBy(F.col("__key").alias("__of")).agg(F.min(order).alias("__first"), F.min("__content").alias("__lo"), F.max("__content").alias("__hi"), F.count_if(F.col("__content").isNull()).alias("__gaps"))
+    differ = (F.col("__lo") != F.col("__hi")) | ((F.col("__gaps") > 0) & F.col("__lo").isNotNull())
+    role = F.when(differ, "conflict").when(F.col(order) == F.col("__first"), "kept").otherwise("duplicate")
+    return rows.join(groups, F.col("__key").eqNullSafe(F.col("__of"))).withColumn("role", role).drop("__key", "__of", "__content", "__first", "__lo", "__hi", "__gaps")
 
 
 def quarantine(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,8 +45,13 @@ def leakage_free(train: DataFrame, test: DataFrame, key: str, content: str) -> t
     return train.join(test.select(key).distinct(), key, "left_anti"), pairs.where("left <> right").select(key).distinct()
 
 
-def split_by_hash(df: DataFrame, id_col: str, seed: int, namespace: str, sizes: list[tuple[str, int]]) -> DataFrame:
-    """Assigns the first ranks by sha256(seed|namespace|id) to the named parts in turn; others get a null part. A part is fixed when a later one grows."""
+def split_by_hash(df: DataFrame, id_col: str, seed: int, namespace: str, sizes: list[tuple[str, int]], short: str = "error") -> DataFrame:
+    """Assigns the first ranks by sha256(seed|namespace|id) to the named parts in turn; others get a null part. A part is fixed when a later one grows.
+
+    Fewer rows than the parts ask for are an error (a count of its own), unless `short` is "keep".
+    """
+    if short == "error" and (n := df.count()) < sum(size for _, size in sizes):
+        raise ValueError(f"{n} rows can't fill parts of {sum(size for _, size in sizes)}")
     rows = ranked(df.withColumn("__hash", digest(seed, namespace, F.col(id_col))), "__hash", id_col, "__rank")
     part, start = F.lit(None).cast("string"), 0
     for name, size in sizes:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import arrays, text
 from gristmill.functions.hashing import bucket, call_seed, letter, seed64
-from gristmill.operators import attempts, experiment, protocol, relational
+from gristmill.operators import attempts, experiment, protocol, relational, reports
 from gristmill.streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,7 @@ def train_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query("""
 WITH d AS (SELECT doc_id, sha256(text) AS h, coalesce(lang, '') || '|' || coalesce(source, '') AS c FROM documents),
 g AS (SELECT h, min(doc_id) AS first, count(DISTINCT c) AS n FROM d GROUP BY h)
-SELECT doc_id, h AS text_sha256, CASE WHEN n > 1 THEN 'conflict' WHEN doc_id = first THEN 'kept' ELSE 'duplicate' END AS role FROM d JOIN g USING (h)
+SELECT doc_id, d.h AS text_sha256, CASE WHEN n > 1 THEN 'conflict' WHEN doc_id = first THEN 'kept' ELSE 'duplicate' END AS role FROM d JOIN g ON d.h IS NOT DISTINCT FROM g.h
 """)
 def exact_dedup_conflicts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("source", F.lit(""))).alias("c"))
@@ -138,7 +138,7 @@ def leakage_free_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     test = bucket("side", F.col("doc_id")) % 5 == 0
     train, _ = relational.leakage_free(d.where(~test), d.where(test), "h", "h")
-    return relational.split_by_hash(train, "doc_id", 7, "train-dev", [("dev", 200), ("train", 400)]).select("doc_id", "part")
+    return relational.split_by_hash(train, "doc_id", 7, "train-dev", [("dev", 200), ("train", 400)], short="keep").select("doc_id", "part")
 
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
@@ -150,8 +150,9 @@ def contamination_join(spark, sf_dir):
     keyed = items.withColumn("key", F.when(F.size(cut) >= 6, F.xxhash64(F.concat_ws(" ", inner))))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.filter(F.split("text", "[^a-zA-Z]+"), lambda x: x != "")
-    grams = docs.withColumn("w", words).withColumn("key", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(concat_ws(' ', slice(w, i, 4)))))"))).select("doc_id", "key", "text")
-    long = grams.join(keyed.where("key is not null"), "key").where("contains(text, passage)").select("doc_id", "item_id")
+    grams = docs.withColumn("w", words).withColumn("key", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(concat_ws(' ', slice(w, i, 4)))))"))).select("doc_id", "key")
+    met = grams.join(keyed.where("key is not null"), "key").select("doc_id", "item_id", "passage").distinct()
+    long = met.join(docs, "doc_id").where("contains(text, passage)").select("doc_id", "item_id")
     short = docs.join(keyed.where("key is null"), F.expr("contains(text, passage)")).select("doc_id", "item_id")
     return long.union(short).distinct()
 
@@ -374,12 +375,17 @@ def shard_coverage(spark, sf_dir):
     return each.groupBy("shard").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("orders"))
 
 
-@query("SELECT count(*) AS expected, count(*) AS rows, count(*) AS keys, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected, true AS exact FROM orders")
+@query("""
+WITH p AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0), d AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+j AS (SELECT p.o_orderkey AS a, d.o_orderkey AS b, n FROM p FULL JOIN d USING (o_orderkey))
+SELECT count(a) AS expected, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, count(b) AS keys, count(*) FILTER (WHERE b IS NULL) AS missing, count(*) FILTER (WHERE a IS NULL) AS unexpected,
+       missing = 0 AND unexpected = 0 AND rows = expected AS exact FROM j
+""")
 def exactly_once(spark, sf_dir):
-    keys = table(spark, sf_dir, "orders").select("o_orderkey")
-    shards = [keys.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(4)) == i) for i in range(4)]
-    done = shards[0].unionByName(shards[1]).unionByName(shards[2]).unionByName(shards[3])
-    return relational.coverage(keys, done, "o_orderkey")
+    """Orders but every seventh as a plan, the first two lines of each order as results: some are unexpected, some come twice."""
+    planned = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey")
+    done = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    return relational.coverage(planned, done, "o_orderkey")
 
 
 @query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {sha("'11'", "doc_id")}, doc_id) AS n FROM documents) SELECT doc_id, CAST(floor((n - 1) / 16) AS BIGINT) AS epoch_group FROM r""")
@@ -447,3 +453,77 @@ def replay_summary(spark, sf_dir):
     log = attempt_log(spark, sf_dir)
     rows, _ = attempts.validate(log, budgets(spark))
     return protocol.replay_summary(protocol.replay_cases(rows, log.select("question_id").distinct()))
+
+
+# ---------------------------------------------------------------- reports
+@query(f"""{ATTEMPTS_SQL} SELECT condition, count(*) AS candidates, count(*) FILTER (WHERE clinical_review = 'approved') AS approved, count(*) FILTER (WHERE clinical_review = 'rejected') AS rejected,
+count(*) FILTER (WHERE clinical_review = 'pending') AS pending, count(*) FILTER (WHERE clinical_review <> 'pending') / count(*) AS coverage FROM v WHERE wrong GROUP BY condition""")
+def review_coverage(spark, sf_dir):
+    rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    return reports.review_coverage(rows.where("provisional_wrong"), ["condition"])
+
+
+@query(f"""{ATTEMPTS_SQL}, m AS (SELECT question_id, avg(ok::INT) FILTER (WHERE condition = 'independent') AS x, avg(ok::INT) FILTER (WHERE condition = 'adaptive') AS y FROM v GROUP BY question_id)
+SELECT question_id, round(y - x, 9) AS difference FROM m WHERE x IS NOT NULL AND y IS NOT NULL""")
+def question_mean_differences(spark, sf_dir):
+    rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    out = reports.question_differences(rows.withColumn("ok", F.col("derived_correct").cast("int")), "question_id", "condition", "ok", "independent", "adaptive")
+    return out.withColumn("difference", F.round("difference", 9))
+
+
+@query("SELECT lang, count(*) AS total, count(DISTINCT source) AS styles, count(DISTINCT text) AS notes FROM documents GROUP BY lang")
+def pool_statistics(spark, sf_dir):
+    return reports.pool_statistics(table(spark, sf_dir, "documents"), "source", "text", ["lang"])
+
+
+@query("SELECT role, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_sum, min(coalesce(n, 0)) AS n_min, max(coalesce(n, 0)) AS n_max FROM (SELECT role, TRY_CAST(CASE WHEN turn % 5 = 0 THEN 'none' ELSE CAST(length(text) AS VARCHAR) END AS BIGINT) AS n FROM conversations) GROUP BY role")
+def token_totals(spark, sf_dir):
+    """Lengths of turns as token counts, every fifth turn's being no number."""
+    n = F.when(F.col("turn") % 5 == 0, "none").otherwise(F.length("text").cast("string"))
+    return reports.token_totals(table(spark, sf_dir, "conversations").withColumn("n", n), ["role"], ["n"])
+
+
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def membership_flags(spark, sf_dir):
+    return reports.flag_members(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", table(spark, sf_dir, "labels"), "labelled")
+
+
+@query("SELECT o_custkey AS id FROM orders WHERE o_custkey IS NOT NULL UNION SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL")
+def expected_ids(spark, sf_dir):
+    return reports.expected_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
+
+
+@query("SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0")
+def set_overlap(spark, sf_dir):
+    a, b = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    return reports.overlap(a.select(F.col("o_orderkey").alias("id")), b.select(F.col("l_orderkey").alias("id")), "id")
+
+
+@query("""
+WITH l AS (SELECT doc_id, length(text) AS n, lang FROM documents WHERE doc_id % 9 <> 0), r AS (SELECT doc_id, n_chars AS n, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id, CAST(NULL AS VARCHAR) AS field FROM l ANTI JOIN r USING (doc_id) UNION SELECT doc_id, 'n' FROM l JOIN r USING (doc_id) WHERE l.n IS DISTINCT FROM r.n UNION SELECT doc_id, 'lang' FROM l JOIN r USING (doc_id) WHERE l.lang IS DISTINCT FROM r.lang
+""")
+def input_cross_check(spark, sf_dir):
+    """Documents against themselves with rows left out and a changed field: missing partners and fields that differ."""
+    d = table(spark, sf_dir, "documents")
+    left = d.where("doc_id % 9 <> 0").select("doc_id", F.length("text").cast("long").alias("n"), "lang")
+    right = d.where("doc_id % 7 <> 0").select("doc_id", F.col("n_chars").cast("long").alias("n"), F.when(F.col("doc_id") % 10 == 0, "xx").otherwise(F.col("lang")).alias("lang"))
+    return reports.cross_check(left, right, "doc_id", ["n", "lang"])
+
+
+@query("""
+WITH p AS (SELECT doc_id AS i, sha256(text) AS h FROM documents), d AS (SELECT doc_id AS i, CASE WHEN doc_id % 11 = 0 THEN 'other' ELSE sha256(text) END AS h FROM documents WHERE doc_id <= 60 AND doc_id <> 31)
+SELECT i, 'mismatch' AS reason FROM d JOIN p USING (i) WHERE d.h IS DISTINCT FROM p.h UNION ALL SELECT min(i), 'gap' FROM p ANTI JOIN d USING (i) WHERE i <= (SELECT max(i) FROM d) HAVING min(i) IS NOT NULL
+""")
+def resume_order(spark, sf_dir):
+    """A run broken off after row 60 that lacks row 31 and has some rows of another content."""
+    plan = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.sha2("text", 256).alias("h"))
+    done = plan.where("i <= 60 and i <> 31").withColumn("h", F.when(F.col("i") % 11 == 0, "other").otherwise(F.col("h")))
+    return reports.resume_violations(plan, done, "i", "h")
+
+
+@query(f"""{ATTEMPTS_SQL} SELECT question_id FROM v GROUP BY question_id HAVING bool_or(condition = 'independent' AND ok) AND bool_or(condition = 'adaptive' AND wrong) ORDER BY question_id LIMIT 3""")
+def example_questions(spark, sf_dir):
+    """The first three questions that the independent arm answers right and the adaptive arm wrong (the limit is the feature)."""
+    rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
+    return reports.examples(rows, "question_id", "condition", {"independent": F.col("derived_correct"), "adaptive": F.col("provisional_wrong")})

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.functions.text import blank
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, source_line from 1, value) of whole text files; blank lines count but are left out."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    return text.where(F.trim("value") != "").select("source_file", (F.col("at") + 1).alias("source_line"), "value")
+    return text.where(~blank(F.col("value"))).select("source_file", (F.col("at") + 1).alias("source_line"), "value")
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -58,9 +59,9 @@ def raw_questions(spark: SparkSession, path: str, split: str) -> DataFrame:
     right = F.element_at(options, F.instr(F.lit("ABCD"), F.col("row.answer_idx")))
     violation = (
         F.when(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "not_an_object")
-        .when(F.coalesce(F.trim("row.question"), F.lit("")) == "", "blank_question")
+        .when(blank(F.coalesce("row.question", F.lit(""))), "blank_question")
         .when(~F.coalesce(keys == F.array(*map(F.lit, "ABCD")), F.lit(False)), "options_not_a_to_d")
-        .when(F.exists(options, lambda x: F.coalesce(F.trim(x), F.lit("")) == ""), "blank_option")
+        .when(F.exists(options, lambda x: blank(F.coalesce(x, F.lit("")))), "blank_option")
         .when(~F.coalesce(F.col("row.answer_idx").isin(*"ABCD"), F.lit(False)), "invalid_answer_label")
         .when(F.col("row.answer").isNotNull() & (F.col("row.answer") != right), "answer_text_mismatch")
     )

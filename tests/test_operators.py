@@ -180,7 +180,7 @@ def test_run_review_and_label_issues(spark):
     kept, issues = attempts.review_issues(spark.createDataFrame(saved, "line int, question_id string, condition string, attempt int, clinical_review string"), "line")
     assert sorted(r["line"] for r in kept.collect()) == [1, 4] and sorted(r["code"] for r in issues.collect()) == ["duplicate_review_key", "invalid_review_decision", "invalid_review_key"]
     labelled = spark.createDataFrame(log(), LOG).withColumn("answer_labels", F.when(F.col("question_id") == "q1", F.array().cast("array<string>")))
-    _, issues = attempts.validate(labelled, spark.createDataFrame([("adaptive", 2)], "condition string, budget int"))
+    _, issues = attempts.validate(labelled, spark.createDataFrame([("clean_repeat", 2), ("independent", 2), ("adaptive", 2)], "condition string, budget int"))
     assert {r["code"] for r in issues.collect()} == {"invalid_answer_labels"}
 
 
