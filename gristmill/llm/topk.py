@@ -1,8 +1,9 @@
 """Exact top-k search by tiled matrix products (operator 8).
 
-Vectors are packed into shards (candidates) and blocks (queries) of a bounded number of rows.
-Every tile, one shard with one block, is one matrix product; each query keeps its best k of
-the tile by partial selection, and the lists are merged as a tree, `FAN` shards at a time.
+Queries come in groups of a bounded number of bytes, each broadcast; candidates are read as
+they lie, an Arrow batch being a shard.  Every tile, a block of queries with one shard, is one
+matrix product; partial selection keeps what can still be among a query's best k, a task merges
+its tiles' lists, and the tasks' lists are merged as a tree, `FAN` of them first.  Only the lists are shuffled.
 """
 
 from __future__ import annotations
@@ -11,87 +12,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm._spark import batches, tidy
 
-SHARD_ROWS, BLOCK_ROWS, FAN = 4096, 1024, 16
-_PACKED = "dim int, part int, ids binary, matrix binary"
-
-
-def _pack(t: pa.Table) -> pa.Table:
-    """One row: ids in order and the matrix of floor(scale * x), of a group of rows (dim, part, id, vector)."""
-    t = t.combine_chunks().sort_by("id")
-    dim = t.column("dim")[0].as_py()
-    m = np.array(t.column("vector").combine_chunks().flatten(), np.float64).reshape(len(t), dim)
-    return pa.table({"dim": pa.array([dim], pa.int32()), "part": t.column("part").slice(0, 1), "ids": pa.array([t.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "matrix": pa.array([m.tobytes()], pa.binary())})
+BLOCK_ROWS, FAN = 256, 64
+#: Bytes of queries (8 for each component) that are broadcast at once.
+GROUP_BYTES = 16 << 20
+LONG = (-(2**63), 2**63 - 1)
 
 
 def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while every sum fits 53 bits, else in whole numbers."""
-    top = lambda m: float(np.abs(m).max(initial=0))
-    if top(q) * top(c) * q.shape[1] < 2**53:
-        return q @ c.T
-    whole = [np.array([[int(x) for x in row] for row in m], object) for m in (q, c)]
-    out = whole[0] @ whole[1].T
-    if max((abs(x) for x in out.ravel()), default=0) >= 2**63:
-        raise OverflowError("an inner product doesn't fit 64 bits")
-    return out.astype(np.int64)
-
-
-def _tile(k: int):
+    """Exact integer inner products: in doubles while every sum fits 53 bits, else in whole numbers, and then held within 64 bits."""
+    most = lambda m: np.abs(m).max(axis=1, initial=0)
+    far = most(c) * most(q).max(initial=0) * q.shape[1] >= 2**53
+    if not far.any():
+        return (q @ c.T).astype(np.int64)
+    out = np.zeros((len(q), len(c)), np.int64)
+    out[:, ~far] = (q @ c[~far].T).astype(np.int64)
+    whole = [[[int(x) for x in row] for row in m] for m in (q, c[far])]
+    out[:, far] = np.array([[min(max(sum(a * b for a, b in zip(x, y, strict=True)), LONG[0]), LONG[1]) for y in whole[1]] for x in whole[0]], np.int64)
+    return out
+
+
+def matrices(ids: pa.Array, vectors: pa.Array, scale: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, ids, floor(scale * x)) of the rows of each length; rows with a component that is not finite then are left out."""
+    size = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    begin, number = np.cumsum(size) - size, ids.to_numpy()
+    for dim in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == dim)
+        with np.errstate(over="ignore"):
+            m = np.floor(flat[begin[rows][:, None] + np.arange(dim)] * scale)
+        sound = np.isfinite(m).all(axis=1)
+        yield dim, number[rows][sound], m[sound]
+
+
+def _best(row: np.ndarray, score: np.ndarray, number: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest scores of each row, ties to the smaller number."""
+    order = np.lexsort((number, -score.astype(np.float64), row)) if not len(score) or np.abs(score).max() < 2**53 else np.array(sorted(range(len(row)), key=lambda i: (row[i], -int(score[i]), number[i])))
+    row, score, number = row[order], score[order], number[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], score[keep], number[keep]
+
+
+def _tiles(queries, k: int, scale: float):
     @tidy
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, asked = TaskContext.get().partitionId(), queries.value
+        lists = {(dim, at): (np.zeros(0, np.int64),) * 3 for dim, (qid, _) in asked.items() for at in range(0, len(qid), BLOCK_ROWS)}
         for b in parts:
-            for row in b.to_pylist():
-                qid, cid = (np.frombuffer(row[x], np.int64) for x in ("qids", "ids"))
-                q, c = (np.frombuffer(row[x], np.float64).reshape(-1, row["dim"]) for x in ("queries", "matrix"))
-                s = product(q, c)
-                own = np.searchsorted(cid, qid)
-                here = np.flatnonzero((own < len(cid)) & (cid[np.minimum(own, len(cid) - 1)] == qid))
-                last = max(0, len(cid) - k - 1)
-                least = np.partition(s, last, axis=1)[:, last]
-                own_of = dict(zip(here.tolist(), own[here].tolist(), strict=True))
-                out: list[tuple[np.ndarray, ...]] = []
-                for r in range(len(qid)):
-                    at = np.flatnonzero(s[r] >= least[r])
-                    if r in own_of:
-                        at = at[at != own_of[r]]
-                    at = at[np.argsort(-s[r][at], kind="stable")[:k]]
-                    out.append((np.full(len(at), qid[r]), cid[at], s[r][at].astype(np.int64)))
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.full(len(cols[0]), row["part"], np.int32)), pa.array(cols[1]), pa.array(cols[2])], names=["query_id", "part", "vec_id", "score"])
+            for dim, cid, c in matrices(b.column(0), b.column(1), scale):
+                if dim not in asked or not len(cid):
+                    continue
+                for at in range(0, len(asked[dim][0]), BLOCK_ROWS):
+                    qid, q = (x[at : at + BLOCK_ROWS] for x in asked[dim])
+                    s = product(q, c)
+                    row, score, number = lists[dim, at]
+                    full = np.bincount(row, minlength=len(qid)) >= k
+                    worst = np.full(len(qid), LONG[0], np.int64)
+                    ends = np.searchsorted(row, np.arange(len(qid)), "right") - 1
+                    worst[full] = score[ends[full]]
+                    last = len(cid) - min(len(cid), k + int(np.isin(cid, qid).sum()))
+                    worst = np.maximum(worst, np.partition(s, last, axis=1)[:, last])
+                    r, x = np.nonzero(s >= worst[:, None])
+                    other = qid[r] != cid[x]
+                    r, x = r[other], x[other]
+                    lists[dim, at] = _best(np.concatenate([row, r]), np.concatenate([score, s[r, x]]), np.concatenate([number, cid[x]]), k)
+        for (dim, at), (row, score, number) in lists.items():
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(asked[dim][0][at + row]), pa.array(np.full(len(row), part, np.int32)), pa.array(number), pa.array(score)], names=["query_id", "part", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products of floor(scale * x), ties to the smaller id.
 
-    Candidates are all rows but those with the query's own id; all of them, if fewer than k.  Rows whose
-    id or vector is null, or whose vector holds a null or non-finite component, take no part, nor do
-    empty vectors; rows that repeat an id count once, with the smallest vector; vectors of another length than the query's aren't
-    its candidates.  Inner products are exact; one beyond 64 bits is an error.  Empty tables give empty results.
+    Candidates are all rows but those with the query's own id; all of them, if fewer than k; rows that repeat an id are candidates
+    of their own, also where their vectors are equal.  Queries that repeat both id and vector count once; vectors of one query id
+    share a list.  Rows whose id or vector is null, or whose vector holds a null or a component that is not finite (before or after
+    the scaling), take no part, nor do empty vectors; vectors of another length than the query's aren't its candidates.  Inner products are
+    exact; one beyond 64 bits counts as the nearest 64-bit number.  Empty tables give empty results; other columns are not read.
     """
     spark = vectors.sparkSession
     batches(spark)
-    sound = f"id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and {scale} > 0"
-
-    def packed(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
-        v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("vector is not null").where(sound).groupBy("id").agg(F.min("vector").alias("vector"))
-        v = v.select("id", F.transform("vector", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vector"))
-        parts = max(1, -(-df.count() // rows))
-        v = v.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "vector")
-        return v.groupBy("dim", "part").applyInArrow(_pack, _PACKED), parts
-
-    shards, n = packed(vectors, shard_rows)
-    blocks, _ = packed(queries, block_rows)
-    asked = blocks.select("dim", F.col("ids").alias("qids"), F.col("matrix").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
-    lists = asked.join(shards, ["dim", "part"]).select("dim", "part", "qids", "queries", "ids", "matrix").mapInArrow(_tile(k), "query_id long, part int, vec_id long, score long")
+    sound = "id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("vector is not null").where(sound)
+
+    asked = whole(queries).distinct()
+    groups = max(1, -(-8 * (asked.agg(F.sum(F.size("vector"))).first()[0] or 0) // group_bytes))
+    lists = None
+    for g in range(groups):
+        got = asked.where(F.pmod(F.xxhash64("id", "vector"), F.lit(groups)) == g).toArrow().combine_chunks()  # about group_bytes
+        held = {dim: tuple(x[np.argsort(np.abs(m).max(axis=1), kind="stable")] for x in (ids, m)) for b in got.to_batches() for dim, ids, m in matrices(b.column(0), b.column(1), scale)}
+        one = whole(vectors).mapInArrow(_tiles(spark.sparkContext.broadcast(held), k, scale), "query_id long, part int, vec_id long, score long")
+        lists = one if lists is None else lists.unionByName(one)
     best = [F.desc("score"), F.asc("vec_id")]
-    while n > FAN:
-        n = -(-n // FAN)
-        lists = lists.withColumn("part", F.expr(f"part div {FAN}").cast("int"))
-        lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*best))).where(F.col("rank") <= k).drop("rank")
+    lists = lists.withColumn("part", F.expr(f"part div {FAN}").cast("int"))
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*best))).where(F.col("rank") <= k).drop("rank")
     return lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
