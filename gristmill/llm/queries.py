@@ -99,10 +99,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH whole AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(64 * CAST(x AS DOUBLE)))) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    FROM (SELECT DISTINCT * FROM whole WHERE vec_id % 20 = 0) q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), ranked AS (
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
@@ -119,11 +119,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Without n_near, which the query adds to the contract's columns: the rarest terms' tie rule is a hash.
-def op9_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_decontamination(spark, sf_dir).drop("n_near")
-
-
 OP9_SQL = r"""
 WITH docs AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -141,10 +136,24 @@ WITH docs AS (
     SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
 ), listed AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+), places AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs
+), rare AS (
+    SELECT item_id, word FROM (
+        SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), word) AS r
+        FROM (SELECT DISTINCT item_id, unnest(w) AS word FROM items) LEFT JOIN (SELECT word, count(*) AS n FROM places GROUP BY word) USING (word)
+    ) WHERE r <= 3
+), seen AS (
+    SELECT item_id, doc_id, word, p FROM rare JOIN places USING (word)
+), close AS (
+    SELECT a.doc_id, a.item_id FROM seen a JOIN seen b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p AND a.p + 25
+    GROUP BY a.doc_id, a.item_id, a.p HAVING count(DISTINCT b.word) = (SELECT count(*) FROM rare r WHERE r.item_id = a.item_id)
+), near AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
@@ -162,7 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_ctw": op7_ctw,
         "op8_top_k": op8_top_k,
-        "op9_decontamination": op9_contract,
+        "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
