@@ -3,7 +3,7 @@
 Pass 1 fills two Bloom filters over all lines: hashes seen once and hashes seen at least
 twice.  Pass 2 shuffles only the lines that hit the twice-seen filter, as 16-byte digests,
 and confirms them exactly: how many documents hold the key, and which document keeps it.
-Pass 3 rewrites the texts.  The filters have a fixed size (`filter_bits`), so their
+Pass 3 rewrites the texts.  The filters' size follows the texts' length up to 2**29 bits (64 MB), so their
 broadcast is bounded; a fuller filter only sends more lines to the exact confirmation.
 """
 
@@ -15,7 +15,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from gristmill.llm._spark import Work, tidy
 from gristmill.llm._text import U64, HashSet
 
 SLICE_BITS = 20
+#: Least and most bits of the number of a filter's bits.
+FILTER_BITS = (20, 29)
 FLUSH = 1 << 21
 
 
@@ -119,15 +121,16 @@ def _suspects(least: int, bits: int, twice):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = twice.value
         for b in batches:
-            ids, found = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows, found = [], []
+            for r, t in enumerate(b.column(2).to_pylist()):
                 own = [digest(k) for k in {k for k in keys_of(t)[1] if long_enough(k, least)}]
                 found += own
-                ids += [i] * len(own)
+                rows += [r] * len(own)
             if found:
                 p = _positions(np.frombuffer(b"".join(found), ">u8")[::2].astype(U64), bits)
                 hit = np.flatnonzero((seen[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).all(axis=0))
-                yield pa.RecordBatch.from_pydict({"doc": pa.array([ids[x] for x in hit], pa.int64()), "digest": pa.array([found[x] for x in hit], pa.binary())})
+                at = pa.array([rows[x] for x in hit], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([found[x] for x in hit], pa.binary())], names=["key", "doc", "digest"])
 
     return run
 
@@ -153,8 +156,9 @@ def _rewrite(least: int, at: int, schema: pa.Schema, table=None):
             drop: dict[int, set[int]] = {}
             if table is None:
                 own_drop = cols.pop().to_pylist()
+                own_drop = [frozenset(x or ()) for x in own_drop]
                 for (r, j), d in zip(where, dig, strict=True):
-                    if own_drop[r] and d in own_drop[r]:
+                    if d in own_drop[r]:
                         drop.setdefault(r, set()).add(j)
             elif dig:
                 h = np.frombuffer(b"".join(dig), ">u8").astype(U64)
@@ -171,17 +175,17 @@ def _rewrite(least: int, at: int, schema: pa.Schema, table=None):
     return run
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, filter_bits: int = 27, max_broadcast: int = 1 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, filter_bits: int | None = None, max_broadcast: int = 1 << 20) -> DataFrame:
     """docs with repeated lines removed from `text_col`, plus n_lines (before) and n_dropped.
 
     A key of at least `min_chars` code points found in at least `min_docs` documents loses all
     its lines but those in the largest id holding it.  Null and empty texts are one empty line
     and come back empty.  Rows that repeat an id count as one document; a null id counts as one
     document that never keeps a line.  Input columns called n_lines or n_dropped are replaced;
-    all other columns stay.  An empty table gives an empty table.
+    all other columns stay, whatever their names.  Very long texts are taken whole.  An empty table gives an empty table.
 
     The repeated keys are broadcast while they are at most `max_broadcast` (32 bytes each); beyond
-    that the drops are joined to the documents by id.
+    that each row's drops are joined to it by a 128-bit hash of its id and text, to the same result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -189,23 +193,30 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = Work(spark, "line_dedup")
     docs = docs.drop("n_lines", "n_dropped")
     bare = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    if filter_bits is None:  # 8 bits for each line that could be long enough
+        chars = bare.agg(F.sum(F.length("text"))).first()[0] or 0
+        filter_bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * chars // max(min_chars, 1)).bit_length()))
     slices = work.table(bare.select("text").mapInArrow(_fill(min_chars, filter_bits), _SLICES).repartition("slice").mapInArrow(_merge, _SLICES), "filter")
     seen = np.zeros(1 << (filter_bits - 3), np.uint8)
     for s, t in slices.select("slice", "twice").collect():  # at most 2**filter_bits bits
         seen[s << (SLICE_BITS - 3) : (s + 1) << (SLICE_BITS - 3)] = np.packbits(_unpack(bytes(t)))
     twice = spark.sparkContext.broadcast(seen)
-    suspects = bare.mapInArrow(_suspects(min_chars, filter_bits, twice), "doc long, digest binary")
-    found = suspects.groupBy("digest", "doc").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("n"), F.max("doc").alias("keep"))
+
+    def suspects(key: Column) -> DataFrame:
+        return bare.select(key.alias("key"), "doc", "text").mapInArrow(_suspects(min_chars, filter_bits, twice), "key string, doc long, digest binary")
+
+    found = suspects(F.lit("")).groupBy("digest", "doc").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("n"), F.max("doc").alias("keep"))
     repeated = work.table(found.where(F.col("n") >= min_docs).select("digest", "keep"), "repeated")
     out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     arrow = to_arrow_schema(out)
     at = docs.columns.index(text_col) + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("__doc"), *docs.columns)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     if repeated.count() <= max_broadcast:
         got = repeated.toArrow()
         h = np.frombuffer(b"".join(got.column("digest").to_pylist()), ">u8").astype(U64)
         table = spark.sparkContext.broadcast((h[::2].copy(), h[1::2].copy(), got.column("keep").to_numpy().astype(np.int64)))
         return rows.mapInArrow(_rewrite(min_chars, at, arrow, table), out)
-    drops = suspects.join(repeated, "digest").where("doc is null or doc < keep").groupBy("doc").agg(F.collect_set("digest").alias("__drop"))
-    joined = rows.join(drops, F.col("__doc").eqNullSafe(F.col("doc")), "left").select("__doc", *docs.columns, "__drop")
+    key = lambda text: F.md5(F.concat(F.coalesce(F.col("doc").cast("string"), F.lit("null")), F.lit(" "), F.coalesce(F.col(text), F.lit(""))))
+    drops = suspects(key("text")).join(repeated, "digest").where("doc is null or doc < keep").groupBy("key").agg(F.collect_set("digest").alias("drop"))  # a set for each row's text
+    joined = rows.withColumn("key", key(f"c{at - 1}")).join(drops, "key", "left").select(*rows.columns, "drop")
     return joined.mapInArrow(_rewrite(min_chars, at, arrow), out)
