@@ -311,11 +311,12 @@ def _score(table, common, depth: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId() << 40, 0
         for b in parts:
-            score, tokens, partial, known, rare, far = [], [], [], [], [], []
+            score, tokens, partial, known, rare, far, size = [], [], [], [], [], [], []
             for a, z, data, offs in chunks(b.column(2)):
                 keys, n = grams([normal(x) for x in b.column(2).slice(a, z - a).to_pylist()], depth)
                 sums, _, left = table.value.sums(keys, np.concatenate([[0], np.cumsum(n)]))
                 score.append(sums)
+                size.append(n)
                 far += left
                 s, e, first = spans(low := LOWER[data], offs, NOT_SPACE)
                 sums, got, left = common.value.sums(hash_spans(low, s, e), first)
@@ -327,8 +328,8 @@ def _score(table, common, depth: int):
             if not n:
                 continue
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part + row + np.arange(n)), b.column(0), b.column(1), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(partial)), pa.array(np.concatenate(score)), _lists(rare), _lists(far)],
-                names=["row", "doc", "held_out", "n_tokens", "known", "partial", "score", "rare", "far"],
+                [pa.array(part + row + np.arange(n)), b.column(0), b.column(1), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(partial)), pa.array(np.concatenate(score)), pa.array(np.concatenate(size)), _lists(rare), _lists(far)],
+                names=["row", "doc", "held_out", "n_tokens", "known", "partial", "score", "n_bytes", "rare", "far"],
             )
             row += n
 
@@ -367,7 +368,9 @@ def fit(work: Work, texts: DataFrame, *, depth: int = 5) -> tuple[DataFrame, Dat
 
 
 def score(docs: DataFrame, train: Column, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, capacity: int = 1 << 20, words: int = 1 << 19) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte), one row for each row of docs.
+
+    bits_per_byte is the code length of the text over its n_bytes coded bytes, the end among them.
 
     Learns from the rows where `train` is true; a null text is empty and has one token, the end.
     Up to `capacity` grams and `words` words are broadcast, the others are joined, to the same result.
@@ -383,7 +386,7 @@ def score(docs: DataFrame, train: Column, held_out: Column, *, id_col: str = "do
     got = counts.where(F.col("n") >= least).toArrow()  # `words` rows at most
     common = spark.sparkContext.broadcast(Table(got.column("key").to_numpy().astype(np.int64).view(np.uint64), np.log10(got.column("n").to_numpy() + 1.0)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    schema = "row long, doc long, held_out boolean, n_tokens long, known long, partial double, score double, rare array<long>, far array<long>"
+    schema = "row long, doc long, held_out boolean, n_tokens long, known long, partial double, score double, n_bytes long, rare array<long>, far array<long>"
     often = _threshold(work, values, capacity)
     got = values.where(F.col("n") >= often).toArrow()  # `capacity` rows at most
     table = spark.sparkContext.broadcast(Table(got.column("key").to_numpy().astype(np.int64).view(np.uint64), got.column("value").to_numpy()))
@@ -391,6 +394,7 @@ def score(docs: DataFrame, train: Column, held_out: Column, *, id_col: str = "do
     far = scored.select("row", F.explode("far").alias("key")).join(values.where(F.col("n") < often), "key").groupBy("row").agg(F.sum(F.col("value").cast("double")).alias("further"))
     rare = scored.select("row", F.explode("rare").alias("key")).join(counts.where(F.col("n") < least), "key").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count(F.lit(1)).alias("also"))
     base = F.col("partial") + F.coalesce("more", F.lit(0.0)) + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(total + distinct + 1))
+    whole = F.col("score") + F.coalesce("further", F.lit(0.0))
     return scored.join(rare, "row", "left").join(far, "row", "left").select(
-        F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("further", F.lit(0.0))).alias("score")
+        F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"), "n_bytes", (whole * float(-np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte")
     )
