@@ -23,11 +23,12 @@ def test_rows(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in pipeline.STAGES:
-        out = stage(spark, docs, SF)
+        stage(spark, docs, SF).write.parquet(path := f"{tmp_path}/{name}")
+        out = spark.read.parquet(path)
         assert 0 < out.count() <= docs.count()
         if name != "sentencepiece":
             assert out.columns == docs.columns
