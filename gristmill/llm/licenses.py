@@ -226,7 +226,7 @@ def _scan(model, least: float, match: float):
 
 def fit(docs: DataFrame, *, text_col: str = "text", n_negatives: int = 400, sample_chars: int = 500) -> Classifier:
     """Trains on the templates and, as other text, on a sample: the first paragraphs, up to `sample_chars` characters, of at most `n_negatives` documents (those of the smallest hashes of them) that share no 3-gram with a template."""
-    first = docs.select(F.substring(F.regexp_extract(F.col(text_col), r"(?s)\A\s*(.*?)(?:\n\s*\n|\z)", 1), 1, sample_chars).alias("t")).where("t <> ''").withColumn("h", F.xxhash64("t"))
+    first = docs.select(F.regexp_extract(F.substring(F.col(text_col), 1, sample_chars), r"(?s)\A\s*(.*?)(?:\n\s*\n|\z)", 1).alias("t")).where("t <> ''").withColumn("h", F.xxhash64("t"))
     drawn = first.select("h").distinct().orderBy("h").limit(n_negatives)
     texts = first.join(F.broadcast(drawn), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h")
     templates = frozenset().union(*(Classifier.grams(t) for ts in TEMPLATES.values() for t in ts))
