@@ -335,16 +335,21 @@ def _candidate_sets(work: Work, docs: DataFrame, chains: DataFrame, k: int, bits
     return work.table(found.dropDuplicates(["node"]), "sets")
 
 
-def _verified(work: Work, sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
-    """Links (a, b) among the pairs: suffix filter, then the whole sets.
+def _suffix(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
+    """Suffix filter: both sets are split by hash into 64 parts, and the overlap is at most the sum of the smaller sizes. Sizes saturate at 32767, where the pair passes."""
+    most = F.expr(f"aggregate(zip_with({p1}, {p2}, (x, y) -> if(x = 32767 and y = 32767, 1000000000L, cast(least(x, y) as bigint))), 0L, (s, x) -> s + x)")
+    return (100 + percent) * most >= percent * (F.col(n1) + F.col(n2))
 
-    The suffix filter splits both sets by hash into 64 parts; the overlap is at most the sum of
-    the smaller sizes.  Sizes saturate at 32767, where the filter lets the pair through.
-    """
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _filtered(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
     one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}")) for x in "ab")
-    most = F.expr("aggregate(zip_with(pa, pb, (x, y) -> if(x = 32767 and y = 32767, 1000000000L, cast(least(x, y) as bigint))), 0L, (s, x) -> s + x)")
-    pairs = work.table(pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), f"{name}-pairs")
+    return pairs.join(one, "a").join(two, "b").where(_suffix(percent, "na", "pa", "nb", "pb")).select("a", "b")
+
+
+def _verified(work: Work, sets: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links (a, b), a < b, among the pairs, by their whole sets."""
+    pairs = work.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-pairs")
     left, right = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     link = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ga") + F.size("gb") - both))
@@ -389,7 +394,7 @@ def classes(work: Work, docs: DataFrame, *, text_col: str = "text", carry: list[
     for n in range(ROUNDS):
         asked = _neighbours(rungs, n, percent)
         asked = work.table(asked.join(tried, ["a", "b"], "left_anti") if n else asked, f"asked-{n}")
-        more = _verified(work, sets, nodes, asked, percent, f"round-{n}")
+        more = _verified(work, sets, _filtered(nodes, asked, percent), percent, f"round-{n}")
         if n and more.isEmpty():
             break
         links = work.table(links.union(more), f"links-{n}") if n else more
@@ -397,10 +402,12 @@ def classes(work: Work, docs: DataFrame, *, text_col: str = "text", carry: list[
         label = components(work, links, f"round-{n}")
         rungs = chains.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rungs.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    rungs = work.table(rungs.join(mixed, "gram", "left_semi").withColumn("before", _before()), "mixed")
-    other = rungs.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "pos", "comp", "before")))
+    rungs = rungs.join(mixed, "gram", "left_semi").withColumn("before", _before()).join(nodes.select("node", "parts"), "node")
+    rungs = work.table(rungs, "mixed")
+    other = rungs.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "pos", "comp", "before", "parts")))
     cross = rungs.join(other, "gram").where("comp < comp_2").where(_possible(percent, "n", "pos", "n_2", "pos_2")).where("not arrays_overlap(before, before_2)")
-    more = _verified(work, sets, nodes, cross.select(F.col("node").alias("a"), F.col("node_2").alias("b")), percent, "cross")
+    cross = cross.where(_suffix(percent, "n", "parts", "n_2", "parts_2"))
+    more = _verified(work, sets, cross.select(F.col("node").alias("a"), F.col("node_2").alias("b")), percent, "cross")
     if not more.isEmpty():
         label = components(work, links.union(more), "all")
     out = rows.join(label, "node", "left")
