@@ -96,25 +96,42 @@ def judged(df: DataFrame) -> DataFrame:
     return df.withColumn("correct", F.col("predicted") == F.col("gold")).withColumn("gold_probability", F.element_at("probabilities", F.instr(F.lit(LETTERS), F.col("gold"))))
 
 
-def score_with(df: DataFrame, scorer: Callable[[list[dict]], list[list[float]]], inputs: list[str], batch: int = 256) -> DataFrame:
-    """Probabilities from a black-box scorer, `batch` cases at a time; a MemoryError halves the batch, one that doesn't fit alone is raised."""
+def score_with(df: DataFrame, scorer: Callable[[list[dict]], list[list[float]]], inputs: list[str], batch: int = 256, *, length: str | None = None, tokens: int = 8192, limit: int | None = None) -> DataFrame:
+    """Probabilities from a black-box scorer, `batch` cases at a time; a MemoryError halves the batch, one that doesn't fit alone is raised.
+
+    With a `length` column (tokens of a case), a batch padded to its longest case has at most `tokens`, or one case; a case over `limit`
+    is an error, as nothing is cut.
+    """
     import pandas as pd
     from pyspark.sql import types as T
 
-    def scored(rows: list[dict], n: int) -> list[list[float]]:
+    def fitting(sizes: list[int], n: int) -> int:
+        """How many of the first n cases go together."""
+        widest = 0
+        for i, size in enumerate(sizes[:n]):
+            widest = max(widest, size)
+            if i and widest * (i + 1) > tokens:
+                return i
+        return len(sizes[:n])
+
+    def scored(rows: list[dict], sizes: list[int], n: int) -> list[list[float]]:
         out: list[list[float]] = []
         while len(out) < len(rows):
+            m = fitting(sizes[len(out) : len(out) + n], n)
             try:
-                out += scorer(rows[len(out) : len(out) + n])
+                out += scorer(rows[len(out) : len(out) + m])
             except MemoryError:
-                if n == 1:
+                if m == 1:
                     raise
-                n = max(1, n // 2)
+                n = max(1, m // 2)
         return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p.assign(probabilities=scored(p[inputs].to_dict("records"), batch))
+            sizes = [int(x) for x in p[length]] if length else [0] * len(p)
+            if limit is not None and max(sizes, default=0) > limit:
+                raise ValueError(f"a case of {max(sizes)} tokens is over the limit of {limit}")
+            yield p.assign(probabilities=scored(p[inputs].to_dict("records"), sizes, batch))
 
     return judged(df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("probabilities", T.ArrayType(T.DoubleType()))])))
 
@@ -142,6 +159,22 @@ def select_candidates(clean: DataFrame, scored: DataFrame, seed: int = SEED) ->
     return each.select("id", F.inline(F.array(*rows)))
 
 
+def selection_diagnostics(clean: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row: questions, those answered correctly without a note, and by which of flip and near_miss had a candidate of their own: both, one, neither."""
+    has = [F.max(F.coalesce((F.col("policy") == p) & ~F.col("fallback"), F.lit(False))).alias(p) for p in ("flip", "near_miss")]
+    each = clean.select("id", "correct").join(chosen.groupBy("id").agg(*has), "id")
+    flip, near = F.col("flip"), F.col("near_miss")
+    counts = {"base_correct": F.col("correct"), "both_eligible": flip & near, "flip_only": flip & ~near, "near_miss_only": near & ~flip, "neither_eligible": ~flip & ~near}
+    return each.agg(F.count(F.lit(1)).alias("questions"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+def changed_candidates(questions: DataFrame, scored: DataFrame, split: str, seed: int = SEED) -> DataFrame:
+    """(id, candidate_index) of scored notes that are not those the questions give anew: changed, missing or too many."""
+    again = candidates(questions, split, seed).select("id", "candidate_index", F.col("note").alias("__note"))
+    both = scored.select("id", "candidate_index", "note").join(again, ["id", "candidate_index"], "full")
+    return both.where(~F.col("note").eqNullSafe(F.col("__note"))).select("id", "candidate_index")
+
+
 def assemble_arms(questions: DataFrame, notes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Two rows for each question and arm: the original, and a repeat (clean) or the selected opinion; no question is dropped."""
     picked = chosen.join(notes, ["id", "candidate_index"]).select("id", F.col("policy").alias("arm"), F.lit(1).alias("row"), "note", "candidate_index", "fallback")

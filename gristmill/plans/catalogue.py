@@ -217,6 +217,14 @@ def arm_assembly_check(spark, sf_dir):
     return out.join(bad, "arm", "left").select("arm", "opinions", "differs", "fallbacks", F.coalesce("v", F.lit(0)).cast("long").alias("violations"))
 
 
+@query(f"""{TRAIN_SQL}, e AS (SELECT id, c.correct, r.flip IS NOT NULL AS f, r.near IS NOT NULL AS n FROM clean c JOIN each r USING (id))
+SELECT CAST(count(*) AS BIGINT) AS questions, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS base_correct, CAST(count(*) FILTER (WHERE f AND n) AS BIGINT) AS both_eligible,
+       CAST(count(*) FILTER (WHERE f AND NOT n) AS BIGINT) AS flip_only, CAST(count(*) FILTER (WHERE n AND NOT f) AS BIGINT) AS near_miss_only, CAST(count(*) FILTER (WHERE NOT f AND NOT n) AS BIGINT) AS neither_eligible FROM e""")
+def selection_diagnostics(spark, sf_dir):
+    _, scored, clean = train_scores(spark, sf_dir)
+    return experiment.selection_diagnostics(clean, experiment.select_candidates(clean, scored))
+
+
 # ---------------------------------------------------------------- evaluation
 @query(f"""{PREDICTIONS_SQL}, c AS (SELECT id, defended, correct AS cc FROM predictions WHERE kind = 'clean'),
 m AS (SELECT p.*, kind <> 'clean' AND cc AS matched, kind <> 'clean' AND cc AND NOT correct AS flip FROM predictions p LEFT JOIN c USING (id, defended)),
