@@ -44,6 +44,20 @@ def _runs(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(_starts(n), n)
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + n[0] - 1, start[1] .. start[1] + n[1] - 1 and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct key, and for every key the number of its place; by hashing, without a sort."""
+    of = pa.array(keys).dictionary_encode().indices.to_numpy().astype(np.int64)
+    place = np.empty(int(of.max()) + 1, np.int64)
+    place[of] = np.arange(len(of))
+    return place, of
+
+
 class Model:
     """Pieces of a SentencePiece model: their trie, scores, byte fallback, and bytes for decoding."""
 
@@ -71,6 +85,7 @@ class Model:
         self.flat = np.frombuffer(b"".join(shown), np.uint8)
         self.length = np.array([len(x) for x in shown], np.int64)
         self.start = _starts(self.length)
+        self.mixed = mix64(np.arange(1, 0x110001, dtype=U64))  # a hash of each code point
         self._trie()
 
     def _trie(self) -> None:
@@ -92,6 +107,8 @@ class Model:
             self.piece[i] = self.pieces.get(p, -1)
             if len(p) == 1:
                 self.first[order[p]] = i
+        self.one = self.piece[self.first]  # by class: the piece that is this character alone, and its score
+        self.one_score = np.where(self.one >= 0, self.score[self.one], self.unknown)
         above = sorted({a for a, _, _ in steps})
         self.row[above] = np.arange(1, len(above) + 1)
         self.table = np.zeros((len(above) + 1) * LOW, np.int32)
@@ -106,9 +123,9 @@ class Model:
         x, y = beside >> 21, beside & ((1 << 21) - 1)
         self.beside_low[(x * (LOW + 1) + y)[(x < LOW) & (y < LOW)]] = True
 
-    def step(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """The trie's nodes one character further; 0: none."""
-        out = self.table[self.row[node] * LOW + np.minimum(kind, LOW - 1)]
+    def step(self, node: np.ndarray, row: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The trie's nodes one character further, given the nodes' rows; 0: none."""
+        out = self.table[row * LOW + np.minimum(kind, LOW - 1)]
         if len(high := np.flatnonzero(kind >= LOW)):
             key = node[high].astype(np.int64) << 21 | kind[high]
             at = np.searchsorted(self.far, key)
@@ -152,13 +169,15 @@ class Model:
         text = np.searchsorted(between, start)  # among the texts that are not empty
         keep = start != between[text]
         start, length, text = start[keep], length[keep], text[keep]
-        sums, down = value_sums(mix64(flat.astype(U64) + U64(1)))
+        sums, down = value_sums(self.mixed[flat])
         stretch = mix64((sums[start + length] - sums[start]) * down[start] + length.astype(U64) * U64(0xD6E8FEB86659FD93))
-        _, first, of = np.unique(stretch, return_index=True, return_inverse=True)
-        within = _runs(length)
-        if (length[first][of] != length).any() or (flat[np.repeat(start[first][of], length) + within] != flat[np.repeat(start, length) + within]).any():
+        first, of = _distinct(stretch)
+        body = np.ones(len(flat), bool)  # stretches are all but the separators
+        body[between] = False
+        if (length[first][of] != length).any() or (flat[_spread(start[first][of], length)] != flat[body]).any():
             first = of = np.arange(len(start))  # a hash stands for two stretches
-        order = np.argsort(-length[first], kind="stable")
+        longest = int(length.max())
+        order = np.argsort((longest - length[first]).astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")  # two bytes are sorted by radix
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         first, of = first[order], back[of]
@@ -175,7 +194,7 @@ class Model:
         many = n[of]
         counts = np.zeros(len(texts), np.int64)
         counts[size > 0] = np.bincount(text, many, len(between)).astype(np.int64)
-        return ids[np.repeat(_starts(n)[of], many) + _runs(many)], counts
+        return ids[_spread(_starts(n)[of], many)], counts
 
     def encode_all(self, texts: list[str | None], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
         """`encode` of about `chars` characters at a time: what is held at once doesn't grow with the batch."""
@@ -221,23 +240,23 @@ class Lanes:
         first = np.append(_starts(lanes), lanes.sum())
         lane = _runs(lanes)
         pos = self.start[lane] + np.repeat(np.arange(self.at, end), lanes)
-        node = m.first[self.kind[pos]]
-        one = m.piece[node]
-        longer, at = {}, np.arange(len(pos))
+        kind = self.kind[pos]
+        longer, at, node = {}, np.arange(len(pos)), m.first[kind]
         for n in range(2, m.longest + 1):
-            on = m.row[node] > 0
-            at, node = at[on], node[on]
-            if not len(at):
+            row = m.row[node]
+            on = np.flatnonzero(row)
+            if not len(on):
                 break
-            node = m.step(node, self.kind[pos[at] + (n - 1)])
-            on = node > 0
-            at, node = at[on], node[on]
+            at, pos = at[on], pos[on] + 1
+            node = m.step(node[on], row[on], self.kind[pos])
+            on = np.flatnonzero(node)
+            at, pos, node = at[on], pos[on], node[on]
             ids = m.piece[node]
             known = ids >= 0
             if known.any():
                 ids = ids[known]
                 longer[n] = (np.searchsorted(at[known], first).tolist(), lane[at[known]], ids, m.score[ids])
-        return first.tolist(), one, np.where(one >= 0, m.score[one], m.unknown), longer
+        return first.tolist(), m.one[kind], m.one_score[kind], longer
 
     def block(self, end: int) -> None:
         """Takes the pieces that begin before `end`; commits what is certain then."""
