@@ -36,10 +36,16 @@ def supervised(labels: Column, ignored: int = -100) -> Column:
     return F.size(F.filter(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x != ignored))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda's variable isn't expanded where it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(z: Column) -> Column:
-    top = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(z, lambda own: let(let(F.array_max(own), lambda top: F.transform(own, lambda x: F.exp(x - top))), shares))
 
 
 def argmax(values: Column) -> Column:

@@ -28,50 +28,39 @@ def validate(rows: DataFrame, budgets: DataFrame) -> tuple[DataFrame, DataFrame]
     correct flag; last, rows whose gold differs from their baseline's go.  budgets: (condition, budget).
     An `answer_labels` column (array of strings, null: A to D) gives a row's own labels.
     """
-    issues: list[DataFrame] = []
-
-    def issue(df: DataFrame, code: str | Column, severity: str = "error") -> None:
-        issues.append(df.select(F.lit(severity).alias("severity"), (F.lit(code) if isinstance(code, str) else code).alias("code"), *KEY))
-
     keyed = rows.withColumn("__key", key_issue())
-    issue(keyed.where("__key is not null"), F.col("__key"))
     good = keyed.where("__key is null").drop("__key")
     counts = good.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
-    issue(counts.where("__n > 1"), "duplicate_key")
-    good = good.join(counts.where("__n = 1").select(*KEY), KEY, "left_semi").join(F.broadcast(budgets), "condition", "left")
-    issue(good.where("attempt > coalesce(budget, 0)"), "over_budget")  # a condition without a declared budget has none
-    good = good.where("attempt <= coalesce(budget, 0)").drop("budget")
-    bad_review = ~F.coalesce(F.col("clinical_review").isin("pending", "approved", "rejected"), F.lit(False))
-    issue(good.where(bad_review), "invalid_clinical_review")
-    good = good.withColumn("clinical_review", F.when(bad_review, "pending").otherwise(F.col("clinical_review")))
-    bad_status = ~F.coalesce(F.col("status").isin(STATUSES), F.lit(False))
-    issue(good.where(bad_status), "invalid_status")
-    good = good.withColumn("status", F.when(bad_status, "error").otherwise(F.col("status")))
-    issue(good.where("status = 'error'"), "target_operational_error")
-    labels, default = F.lit(None).cast("array<string>"), F.array(*map(F.lit, "ABCD"))
-    if "answer_labels" in rows.columns:
-        labels = F.col("answer_labels")
-        bad_labels = F.coalesce((F.size(labels) == 0) | F.exists(labels, lambda x: x.isNull()), F.lit(False))
-        issue(good.where(bad_labels), "invalid_answer_labels")
-        labels = F.when(~bad_labels, labels)
-    labels = F.coalesce(labels, default)
-    bad_gold = ~F.coalesce(F.array_contains(labels, F.col("gold")), F.lit(False))
-    issue(good.where(bad_gold), "invalid_gold")
-    good = good.where(~bad_gold)
-    issue(good.where("syntactic_valid is null"), "missing_syntactic_validity")
-    bad_answer = (F.col("status") == "ok") & ~F.coalesce(F.array_contains(labels, F.col("answer")), F.lit(False))
-    issue(good.where(bad_answer), "invalid_answer")
-    good = good.withColumn("syntactic_valid", F.coalesce("syntactic_valid", F.lit(False))).withColumn("status", F.when(bad_answer, "format_error").otherwise(F.col("status")))
-    good = good.withColumn("derived_correct", (F.col("status") == "ok") & (F.col("answer") == F.col("gold")))
-    issue(good.where("correct is distinct from derived_correct"), "correct_flag_mismatch")
-    good = flagged(good)
-    base = good.where("condition = 'baseline'").select("question_id", F.col("gold").alias("__base_gold"))
-    good = good.join(base, "question_id", "left")
-    issue(good.where("__base_gold <> gold"), "gold_disagreement")
-    out = issues[0]
-    for x in issues[1:]:
-        out = out.unionByName(x)
-    return good.where("__base_gold is null or __base_gold = gold").drop("__base_gold"), out
+    good = good.join(counts.where("__n = 1").select(*KEY), KEY, "left_semi").join(F.broadcast(budgets.withColumnRenamed("budget", "__budget")), "condition", "left")
+    among = lambda c, values: F.coalesce(c.isin(values), F.lit(False))
+    given = F.col("answer_labels") if "answer_labels" in rows.columns else F.lit(None).cast("array<string>")
+    bad_labels = F.coalesce((F.size(given) == 0) | F.exists(given, lambda x: x.isNull()), F.lit(False))
+    # a condition without a declared budget has none
+    good = good.withColumns({
+        "__within": F.col("attempt") <= F.coalesce("__budget", F.lit(0)), "__review": among(F.col("clinical_review"), ["pending", "approved", "rejected"]), "__known": among(F.col("status"), STATUSES),
+        "__bad_labels": bad_labels, "__labels": F.coalesce(F.when(~bad_labels, given), F.array(*map(F.lit, "ABCD"))), "__flag": F.col("syntactic_valid").isNotNull(),
+    })
+    holds = lambda c: F.coalesce(F.array_contains("__labels", F.col(c)), F.lit(False))
+    good = good.withColumns({
+        "clinical_review": F.when(F.col("__review"), F.col("clinical_review")).otherwise("pending"), "status": F.when(F.col("__known"), F.col("status")).otherwise("error"),
+        "syntactic_valid": F.coalesce("syntactic_valid", F.lit(False)), "__gold": holds("gold"),
+    })
+    good = good.withColumn("__bad_answer", (F.col("status") == "ok") & ~holds("answer")).withColumn("status", F.when(F.col("__bad_answer"), "format_error").otherwise(F.col("status")))
+    good = flagged(good.withColumn("derived_correct", (F.col("status") == "ok") & (F.col("answer") == F.col("gold"))).withColumn("__kept", F.col("__within") & F.col("__gold")))
+    # a question has no more rows than its budgets allow, as keys are unique now; rows beyond a budget stay out of its window
+    group = Window.partitionBy("question_id", F.when(~F.col("__within"), F.xxhash64("condition", "attempt")))
+    good = good.withColumn("__base", F.max(F.when(F.col("__kept") & (F.col("condition") == "baseline"), F.col("gold"))).over(group))
+    good = good.withColumn("__differs", F.col("__kept") & F.coalesce(F.col("__base") != F.col("gold"), F.lit(False)))
+    rules = [
+        (~F.col("__review"), "invalid_clinical_review"), (~F.col("__known"), "invalid_status"), (F.col("status") == "error", "target_operational_error"), (F.col("__bad_labels"), "invalid_answer_labels"), (~F.col("__gold"), "invalid_gold"),
+        (F.col("__gold") & ~F.col("__flag"), "missing_syntactic_validity"), (F.col("__gold") & F.col("__bad_answer"), "invalid_answer"),
+        (F.col("__gold") & ~F.col("correct").eqNullSafe(F.col("derived_correct")), "correct_flag_mismatch"), (F.col("__differs"), "gold_disagreement"),
+    ]
+    codes = F.when(~F.col("__within"), F.array(F.lit("over_budget"))).otherwise(F.array_compact(F.array(*(F.when(c, F.lit(code)) for c, code in rules))))
+    shown = lambda df, code: df.select(F.lit("error").alias("severity"), code.alias("code"), *KEY)
+    issues = shown(keyed.where("__key is not null"), F.col("__key")).unionByName(shown(counts.where("__n > 1"), F.lit("duplicate_key"))).unionByName(shown(good, F.explode(codes)))
+    valid = good.where("__kept and not __differs")
+    return valid.drop(*(c for c in valid.columns if c.startswith("__") and c not in rows.columns)), issues
 
 
 def run_issues(rows: DataFrame, valid: DataFrame, metadata: dict, k: int | None = None) -> DataFrame:
@@ -184,6 +173,10 @@ def common_cohort(picks: DataFrame, arms: int) -> DataFrame:
     return picks.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == arms).select("question_id")
 
 
+#: Picks of a draw that are generated as one array.
+PICKS = 1 << 14
+
+
 def paired_bootstrap(differences: DataFrame, value: str, draws: int, seed: int) -> DataFrame:
     """One row: n, mean, and the 95 % interval (linear interpolation) of the mean of resampled differences.
 
@@ -195,7 +188,8 @@ def paired_bootstrap(differences: DataFrame, value: str, draws: int, seed: int)
     bands = counts.withColumn("hi", F.sum("c").over(upto)).withColumn("lo", F.col("hi") - F.col("c"))
     total = bands.agg(F.sum("c").alias("n"), F.sum(F.col(value) * F.col("c")).alias("s"), F.array_sort(F.collect_list(F.struct("hi", F.col(value).cast("double").alias("v")))).alias("bands"))
     spark = differences.sparkSession
-    picks = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total)).where("n > 0").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    picks = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total)).where("n > 0")
+    picks = picks.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {PICKS}L)"))).withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {PICKS}, n) - 1)")))
     at = F.pmod(bucket(seed, F.col("draw"), F.col("i")), F.col("n"))
     v = F.element_at(F.filter("bands", lambda b: b["hi"] > at), 1)["v"]
     means = picks.withColumn("v", v).groupBy("draw").agg(F.avg("v").alias("m"))

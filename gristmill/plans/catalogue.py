@@ -309,7 +309,7 @@ def any_within_k_curve(spark, sf_dir):
     return attempts.curves(rows, attempts.cohort(rows), budgets(spark))
 
 
-DRAWS = 200
+DRAWS = 2000
 
 
 @query(f"""{ATTEMPTS_SQL}, d AS (SELECT question_id, (bool_or(wrong) FILTER (WHERE condition = 'adaptive'))::INT AS x, (bool_or(wrong) FILTER (WHERE condition = 'independent'))::INT AS y FROM cohort LEFT JOIN v USING (question_id) GROUP BY question_id),

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.text import blank
 
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, source_line from 1, value) of whole text files; blank lines count but are left out."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    return text.where(~blank(F.col("value"))).select("source_file", (F.col("at") + 1).alias("source_line"), "value")
+    """(source_file, source_line from 1, value) of text files; blank lines count but are left out.
+
+    Files are read in blocks, so one may be larger than a task: a line's number is its place in its block plus the lines of the blocks before.
+    """
+    place = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block")]
+    text = spark.read.option("lineSep", "\n").text(path).select(*place, F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    blocks = text.groupBy("__path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("__path", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = text.where(~blank(F.col("value"))).join(blocks, ["__path", "__block"])
+    return numbered.select("source_file", (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("int").alias("source_line"), "value")
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

@@ -56,6 +56,11 @@ ANSWERS = [
     ("I cannot answer this.", None, "refusal"),
     ("{I cannot answer this.", None, "format_error"),
     ("The answer is B", None, "format_error"),
+    ('{"answer": ["A"], "explanation": "x"}', None, "format_error"),
+    ('{"answer": "A", "explanation": 1}', None, "format_error"),
+    ('{"answer": "null", "explanation": "x"}', None, "format_error"),
+    (" \n[I cannot answer this.", None, "format_error"),
+    ("", None, "format_error"),
     (None, None, "format_error"),
 ]
 
@@ -66,6 +71,13 @@ def test_answers(spark):
     assert got == {i: (a, s) for i, (_, a, s) in enumerate(ANSWERS)}
 
 
+def test_explanations(spark):
+    raws = ['{"answer": "B", "explanation": " x"}', '{"answer": "B", "explanation": 2}', " I refuse \n", None]
+    rows = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
+    got = {r["i"]: r["e"] for r in rows.select("i", text.answer_of(F.col("raw"))["explanation"].alias("e")).collect()}
+    assert [got[i] for i in range(4)] == [" x", "", "I refuse", ""]
+
+
 def test_note_and_digest(spark):
     rows = spark.createDataFrame([('{"note": " hi "}', '{"b": 1, "a": 2}'), ("[1]", "x")], "n string, j string")
     got = rows.select(text.note_of("n"), text.canonical_digest("j")).collect()

@@ -45,7 +45,7 @@ def test_sinks_and_audit(spark, tmp_path):
     df = spark.createDataFrame([("k", 1, ["x", "y"])], "b string, a int, c array<string>")
     files.write_jsonl(df, str(tmp_path / "out"))
     assert files.is_complete(spark, str(tmp_path / "out"))
-    assert next((tmp_path / "out").glob("*.json")).read_text() == '{"a":1,"b":"k","c":["x","y"]}\n'
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.json"))) == '{"a":1,"b":"k","c":["x","y"]}\n'
     files.write_csv(df, str(tmp_path / "csv"), ["b", "c"])
     got = files.review_csv(spark, str(tmp_path / "csv"), ["b"]).first()
     assert (got["b"], got["c"]) == ("k", '["x","y"]')
@@ -91,3 +91,20 @@ def test_swap_and_reports(spark, tmp_path):
     assert files.markdown_table([{"a": 1, "flip_rate": 0.5}, {"a": None}], ["a", "flip_rate"]) == "| a | flip_rate |\n|---|---|\n| 1 | 50.0% |\n| n/a | n/a |\n"
     status = lambda *s: arm_status(spark.createDataFrame([(str(i), x) for i, x in enumerate(s)], "arm string, status string")).first()[0]
     assert [status("complete", "complete"), status("complete", "failed"), status("running", "complete"), status()] == ["complete", "failed", "running", "running"]
+
+
+def test_lines_across_blocks(spark, tmp_path):
+    """Files larger than a block, with blank lines and carriage returns; line numbers are those of the whole file."""
+    made = {}
+    for name in ("a.txt", "b.txt"):
+        rows = ["" if i % 7 == 3 else f"{name} {i} " + "x" * (i % 50) for i in range(2000)]
+        (tmp_path / name).write_bytes("".join(r + ("\r\n" if i % 2 else "\n") for i, r in enumerate(rows)).encode())
+        made |= {(name, i + 1): r for i, r in enumerate(rows) if r}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = files.lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert {(r["source_file"], r["source_line"]): r["value"] for r in got.collect()} == made
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
