@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrays import let
 from gristmill.functions.hashing import bucket
 from gristmill.functions.text import blank
 from gristmill.operators.protocol import resolve_budget
@@ -191,7 +192,7 @@ def paired_bootstrap(differences: DataFrame, value: str, draws: int, seed: int)
     picks = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total)).where("n > 0")
     picks = picks.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {PICKS}L)"))).withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {PICKS}, n) - 1)")))
     at = F.pmod(bucket(seed, F.col("draw"), F.col("i")), F.col("n"))
-    v = F.element_at(F.filter("bands", lambda b: b["hi"] > at), 1)["v"]
+    v = let(at, lambda pick: F.element_at(F.filter("bands", lambda b: b["hi"] > pick), 1)["v"])
     means = picks.withColumn("v", v).groupBy("draw").agg(F.avg("v").alias("m"))
     bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     return total.join(F.broadcast(bounds)).select(F.coalesce("n", F.lit(0)).alias("n"), (F.col("s") / F.col("n")).alias("mean"), F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
