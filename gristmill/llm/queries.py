@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import ctw, decontam, jaccard, licenses, line_dedup, quality, sentencepiece_codec, token_output, topk, url_filter
+from gristmill.functions.arrays import let
+from gristmill.llm import ctw, decontam, jaccard, licenses, line_dedup, quality, resample, runs, sentencepiece_codec, token_output, topk, url_filter
 
 #: Where the public tokenizers' files are; a parameter of every operator that reads one.
 PIECES = os.environ.get("GRISTMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -160,6 +161,104 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
+def looped(text: Column, doc_id: Column) -> Column:
+    """A text of which the words from a = g % n on repeat with period 1 + (n - a) div (3 + g % 8), if the id's CRC-32 ends in 0 (g: its tenth); other texts, wordless ones too, as they are."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        def from_(a: Column) -> Column:
+            return let(1 + F.floor((F.size(words) - a) / (3 + g % 8)), lambda p: F.transform(words, lambda w, i: F.when(i >= a, F.element_at(words, (a + (i - a) % p + 1).cast("int"))).otherwise(w)))
+
+        return F.when(F.size(words) > 0, F.array_join(let(g % F.size(words), from_), " ")).otherwise("")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, let(words, repeat)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.find_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    found = found.withColumns({"best": best, "period": -best["period"]})
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), "period", F.expr("1000 * best.length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: The CRC-32 of the words in a list column `b` of byte values, as a CTE `crcs` from a CTE `bytes(word, b)`.
+_CRC_SQL = """tab AS (
+    SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(i))
+), crcs AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS crc FROM bytes, tab
+)"""
+
+OP11_SQL = rf"""
+WITH bytes AS (
+    SELECT DISTINCT doc_id AS word, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM documents
+), {_CRC_SQL}, plain AS (
+    SELECT doc_id, crc AS h, crc // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents JOIN crcs ON doc_id = word
+), planned AS (
+    SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM plain
+), shaped AS (
+    SELECT doc_id, len(w) AS n, CASE WHEN a IS NULL THEN w ELSE list_transform(w, lambda x, i: CASE WHEN i > a THEN w[a + (i - 1 - a) % p + 1] ELSE x END) END AS w
+    FROM (SELECT *, 1 + (len(w) - a) // (3 + g % 8) AS p FROM planned)
+), words AS (
+    SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM shaped
+), met AS (
+    SELECT a.doc_id, a.i, b.i - a.i AS p FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i WHERE 4 * (b.i - a.i) <= a.n
+), stretches AS (
+    SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS same FROM met) GROUP BY doc_id, p, same
+), runs AS (
+    SELECT doc_id, start, length, min(p) AS period FROM stretches WHERE length >= greatest(6, 4 * p) GROUP BY doc_id, start, length
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+           min(struct_pack(l := -length, s := start, p := period)) AS best FROM runs GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words w
+    WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.p AS period, 1000 * -best.l // best.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM plain LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = rf"""
+WITH texts AS (
+    SELECT doc_id, text, false AS aim FROM documents UNION ALL SELECT NULL, text, true FROM benchmark
+), words AS (
+    SELECT doc_id, aim, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), counted AS (
+    SELECT doc_id, aim, word, count(*) AS n FROM words GROUP BY ALL
+), bytes AS (
+    SELECT word, list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT)) AS b FROM (SELECT DISTINCT word, hex(encode(word)) AS x FROM counted)
+), {_CRC_SQL}, hashed AS (
+    SELECT doc_id, aim, n, crc % 10000 AS bucket FROM counted JOIN crcs USING (word)
+), sums AS (
+    SELECT CAST(coalesce(sum(n) FILTER (WHERE NOT aim), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (WHERE aim), 0) AS DOUBLE) AS t FROM hashed
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(sum(n) FILTER (WHERE aim), 0) + 1) * (any_value(s) + 10000) / ((coalesce(sum(n) FILTER (WHERE NOT aim), 0) + 1) * (any_value(t) + 10000)))) AS BIGINT) AS gain
+    FROM hashed, sums GROUP BY bucket
+), weights AS (
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM hashed JOIN gains USING (bucket) WHERE NOT aim GROUP BY doc_id
+), scored AS (
+    SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+    FROM documents LEFT JOIN weights USING (doc_id)
+), ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * (SELECT count(*) FROM ranked) // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -173,8 +272,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k": op8_top_k,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_top_k": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op13_importance_resampling": OP13_SQL}
