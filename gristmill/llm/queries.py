@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.arrays import let
-from gristmill.llm import ctw, decontam, jaccard, licenses, line_dedup, quality, resample, runs, sentencepiece_codec, token_output, topk, url_filter
+from gristmill.llm import ctw, decontam, html_text, jaccard, licenses, line_dedup, quality, resample, runs, sentencepiece_codec, token_output, topk, url_filter
 
 #: Where the public tokenizers' files are; a parameter of every operator that reads one.
 PIECES = os.environ.get("GRISTMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -226,6 +226,10 @@ FROM plain LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -273,6 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_html_extraction": op12_html_extraction,
         "op13_importance_resampling": op13_importance_resampling,
     }
 
