@@ -21,8 +21,14 @@ def attention(ids: Column, width: Column, left: bool = True) -> Column:
 
 
 def positions(mask: Column) -> Column:
-    """Position ids of an attention mask: running count of ones less one, at least 0."""
-    return F.transform(mask, lambda _, i: F.greatest(F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) - 1, F.lit(0)))
+    """Position ids of an attention mask of ones and zeros: running count of ones less one, at least 0. Each one is followed by its own number until the next, so the work is linear."""
+    ones = F.filter(F.transform(mask, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+
+    def spread(at: Column) -> Column:
+        each = F.flatten(F.transform(at, lambda p, j: F.array_repeat(j, F.coalesce(F.get(at, j + 1), F.size(mask)) - p)))
+        return F.concat(F.array_repeat(F.lit(0), F.coalesce(F.get(at, F.lit(0)), F.size(mask))), each)
+
+    return let(ones, spread)
 
 
 def label_mask(prompt: Column, full: Column, ignored: int = -100) -> Column:

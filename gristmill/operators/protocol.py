@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.experiment import CONTROLS
+from gristmill.sources.held import held
 
 # Names of the protocol.
 CATEGORIES = ["nonclinical_background", "answer_pressure"]
@@ -57,8 +58,9 @@ def gold_label(fields: list[Column], options: dict[str, Column]) -> Column:
 def replay_cases(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows to replay: no repeats of the clean prompt, and beyond baselines only valid, not rejected notes.
 
-    An unknown question, an operational error (outside the repeats) or a repeated key is an error; each is checked by a job of its own.
+    An unknown question, an operational error (outside the repeats) or a repeated key is an error; the rows are computed once, for the checks and the result.
     """
+    rows = held(rows)
     if bad := rows.join(expected, "question_id", "left_anti").head():
         raise ValueError(f"unexpected question {bad['question_id']}")
     kept = rows.where("condition <> 'clean_repeat'")
@@ -90,7 +92,7 @@ def replay_summary(rows: DataFrame) -> DataFrame:
     return out.withColumn("clean_accuracy", F.try_divide("clean_correct", "clean_questions")).withColumn("perturbed_accuracy", F.try_divide("perturbed_correct", "perturbed_cases"))
 
 
-def resolve_budget(metadata: dict, rows: DataFrame, explicit: int | None = None) -> tuple[int, str]:
+def resolve_budget(metadata: dict, observed: int | None, explicit: int | None = None) -> tuple[int, str]:
     """(K, where it comes from): explicit, else the first positive whole number among the metadata's names, else the largest observed attempt."""
     if explicit is not None:
         if explicit < 1:
@@ -100,8 +102,12 @@ def resolve_budget(metadata: dict, rows: DataFrame, explicit: int | None = None)
         value = metadata.get(name)
         if type(value) is int and value > 0:
             return value, f"metadata.{name}"
-    most = rows.where("condition <> 'baseline'").agg(F.max("attempt")).first()[0]
-    return max(1, most or 1), "observed"
+    return max(1, observed or 1), "observed"
+
+
+def percent_text(share: float | None) -> str:
+    """A share as per cent with one decimal; n/a for none."""
+    return "n/a" if share is None else f"{100 * share:.1f}%"
 
 
 def check_run(config: dict) -> None:

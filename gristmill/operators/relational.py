@@ -103,3 +103,34 @@ def epoch_groups(df: DataFrame, id_col: str, seed: int, epoch: int, batch: int)
     """df with the 0-based group of an epoch's hash order; the last group may be smaller."""
     rows = ranked(df.withColumn("__hash", digest(seed + epoch, F.col(id_col))), "__hash", id_col, "__rank")
     return rows.withColumn("epoch_group", F.floor((F.col("__rank") - 1) / batch)).drop("__hash", "__rank")
+
+
+#: Neighbouring words, or characters of texts with fewer, that two texts meet on.
+_PART = {"w": 4, "c": 5}
+
+
+def containing(texts: DataFrame, passages: DataFrame, id_col: str, text_col: str, item_col: str, passage_col: str) -> DataFrame:
+    """Distinct (id, item) of texts that hold a whole passage.
+
+    They meet by equi-joins on part of the passage: its inner words (up to four; the outermost may go on in a text), or the first of its characters (up to five) where it has no inner
+    word.  The texts give the parts of those kinds only that a passage has; the exact test follows.  Null texts hold nothing, an empty passage stands in none.
+    """
+    spark = texts.sparkSession
+    cut = lambda c: F.filter(F.split(F.col(c), r"(?U)[^\w]+"), lambda x: x != "")
+    letters = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
+    items = passages.where(F.col(passage_col) != "").select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage")).withColumns({"w": cut(passage_col), "c": letters(passage_col)})
+    kind = F.when(F.size("w") >= 3, F.lit("w")).otherwise("c")
+    inner = F.slice("w", 2, F.least(F.size("w") - 2, F.lit(_PART["w"])))
+    first = F.slice("c", 1, _PART["c"])
+    items = items.withColumns({"kind": kind, "key": F.when(kind == "w", inner).otherwise(first)})
+    items = items.withColumns({"k": F.size("key"), "key": F.xxhash64("kind", F.array_join("key", " "))})
+    there = [(r["kind"], r["k"]) for r in items.select("kind", "k").distinct().collect()]  # nine at most
+    if not there:
+        return spark.createDataFrame([], texts.select(F.col(id_col)).schema).join(passages.select(item_col).limit(0))
+    bare = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = [f"""transform(if(size({kind}) >= {k}, sequence(1, size({kind}) - {k - 1}), array()), i -> xxhash64('{kind}', array_join(slice({kind}, i, {k}), ' ')))""" for kind, k in there]
+    cuts = {x: f("text") for x, f in (("w", cut), ("c", letters)) if any(kind == x for kind, _ in there)}
+    grams = bare.withColumns(cuts).select("id", F.explode(F.expr(f"array_distinct(concat({', '.join(parts)}))")).alias("key"))
+    met = grams.join(items.select("item", "key"), "key").select("id", "item").distinct()
+    found = met.join(bare, "id").join(items.select("item", "passage"), "item").where("contains(text, passage)")
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col)).distinct()

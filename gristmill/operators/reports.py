@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.attempts import token_count
+
 
 def review_coverage(candidates: DataFrame, by: list[str]) -> DataFrame:
     """Per group of candidates: their number, decisions by kind, and the share that is decided (null without candidates)."""
@@ -17,19 +19,10 @@ def review_coverage(candidates: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("coverage", F.try_divide(F.col("approved") + F.col("rejected"), "candidates"))
 
 
-def number_or_zero(c: str) -> Column:
-    """A count as text or number; what is no number is 0."""
-    return F.coalesce(F.expr(f"try_cast(`{c}` as bigint)"), F.lit(0).cast("long"))
-
-
 def token_totals(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Per group: the sum, least and most of each token column (non-numeric counts as 0)."""
-    return rows.groupBy(*by).agg(*(f(number_or_zero(c)).alias(f"{c}_{n}") for c in columns for n, f in (("sum", F.sum), ("min", F.min), ("max", F.max))))
-
-
-def completeness(stats: DataFrame) -> DataFrame:
-    """Slot statistics with `complete`: no planned slot is missing and none ended in an operational error."""
-    return stats.withColumn("complete", (F.col("missing") == 0) & (F.col("error") == 0))
+    """Per group: the sum, least and most of each token column, in doubles; text counts as 0, also where it reads like a number (see attempts.token_count)."""
+    counted = rows.select(*by, *(token_count(rows, c).alias(c) for c in columns))
+    return counted.groupBy(*by).agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("sum", F.sum), ("min", F.min), ("max", F.max))))
 
 
 def question_differences(rows: DataFrame, question: str, arm: str, value: str, first: str, second: str) -> DataFrame:
@@ -38,6 +31,21 @@ def question_differences(rows: DataFrame, question: str, arm: str, value: str, f
     return means.where("a is not null and b is not null").select(question, (F.col("b") - F.col("a")).alias("difference"))
 
 
+def comparison_differences(rows: DataFrame, comparisons: list[tuple[str, str, str]], seen: str) -> DataFrame:
+    """(subset, comparison, id, difference): per question the mean correctness of a comparison's left arm less that of its right one, on cases of its kind (`perturbed`: any kind with a note).
+
+    Each row is read once whatever the number of comparisons; a question counts where both arms have such cases.  Subsets: all, and previously_unseen.
+    """
+    kinds = F.when(F.col("kind") == "clean", F.array(F.lit("clean"))).otherwise(F.array(F.lit("perturbed"), F.col("kind")))
+    wanted = sorted({(arm, kind) for left, right, kind in comparisons for arm in (left, right)})
+    each = rows.select("id", seen, "arm", F.explode(kinds).alias("kind"), F.col("correct").cast("int").alias("v"))
+    means = each.where(F.struct("arm", "kind").isin([F.struct(F.lit(a).alias("arm"), F.lit(k).alias("kind")) for a, k in wanted])).groupBy("id", seen, "arm", "kind").agg(F.avg("v").alias("m"))
+    sides = [F.when((F.col("arm") == arm) & (F.col("kind") == kind), F.struct(F.lit(f"{left}-minus-{right}/{kind}").alias("comparison"), F.lit(sign).alias("sign"))) for left, right, kind in comparisons for arm, sign in ((left, 1), (right, -1))]
+    both = means.select("id", seen, "m", F.inline(F.array_compact(F.array(*sides)))).groupBy("id", seen, "comparison").agg(F.sum(F.col("sign") * F.col("m")).alias("difference"), F.count(F.lit(1)).alias("n")).where("n = 2")
+    subsets = F.when(F.col(seen), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("previously_unseen")))
+    return both.select(F.explode(subsets).alias("subset"), "comparison", "id", "difference")
+
+
 def pool_statistics(pool: DataFrame, style: str, note: str, by: list[str]) -> DataFrame:
     """Per group: entries, distinct styles, distinct notes."""
     return pool.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_distinct(style).alias("styles"), F.count_distinct(note).alias("notes"))

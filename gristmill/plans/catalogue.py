@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import arrays, text
 from gristmill.functions.hashing import bucket, call_seed, letter, seed64
-from gristmill.operators import attempts, experiment, protocol, relational, reports
+from gristmill.operators import attempts, bootstrap, experiment, protocol, relational, reports, reviews
 from gristmill.streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,18 +143,9 @@ def leakage_free_split(spark, sf_dir):
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
 def contamination_join(spark, sf_dir):
-    """Documents that hold a whole benchmark text: an equi-join on its inner words, then the exact test; shorter ones are tested directly."""
+    """Documents that hold a whole benchmark text: equi-joins on a part of it, then the exact test."""
     items = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"))
-    cut = F.filter(F.split("passage", "[^a-zA-Z]+"), lambda x: x != "")
-    inner = F.slice(cut, 2, 4)  # the first and last word may go on in a document
-    keyed = items.withColumn("key", F.when(F.size(cut) >= 6, F.xxhash64(F.concat_ws(" ", inner))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.filter(F.split("text", "[^a-zA-Z]+"), lambda x: x != "")
-    grams = docs.withColumn("w", words).withColumn("key", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(concat_ws(' ', slice(w, i, 4)))))"))).select("doc_id", "key")
-    met = grams.join(keyed.where("key is not null"), "key").select("doc_id", "item_id", "passage").distinct()
-    long = met.join(docs, "doc_id").where("contains(text, passage)").select("doc_id", "item_id")
-    short = docs.join(keyed.where("key is null"), F.expr("contains(text, passage)")).select("doc_id", "item_id")
-    return long.union(short).distinct()
+    return relational.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), items, "doc_id", "text", "item_id", "passage")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) <> 1")
@@ -203,14 +194,16 @@ def selection_policies(spark, sf_dir):
     return experiment.select_candidates(clean, scored)
 
 
-@query(f"""{TRAIN_SQL} SELECT policy AS arm, CAST(count(*) AS BIGINT) AS opinions, count(*) FILTER (WHERE c.candidate_index <> r.candidate_index) AS differs, count(*) FILTER (WHERE c.fallback) AS fallbacks, CAST(0 AS BIGINT) AS violations
+@query(f"""{TRAIN_SQL} SELECT policy AS arm, CAST(count(*) AS BIGINT) AS opinions, count(*) FILTER (WHERE c.candidate_index <> r.candidate_index) AS differs, count(*) FILTER (WHERE c.fallback) AS fallbacks, count(*) FILTER (WHERE (policy = 'flip' AND {b32("'broken'", "id")} % 20 = 0) OR (policy = 'random' AND {b32("'broken'", "id")} % 20 = 1)) AS violations
 FROM chosen c JOIN (SELECT id, candidate_index FROM chosen WHERE policy = 'random') r USING (id) GROUP BY policy""")
 def arm_assembly_check(spark, sf_dir):
-    """Training statistics per arm, and the pair check over all arms."""
+    """Training statistics per arm, and the pair check over all arms of a copy that lacks some rows of one arm and some notes of another."""
     q, scored, clean = train_scores(spark, sf_dir)
     chosen = experiment.select_candidates(clean, scored)
     rows = experiment.assemble_arms(q, scored, chosen)
-    bad = experiment.arm_violations(rows).groupBy("arm").agg(F.count(F.lit(1)).alias("v"))
+    broken = bucket("broken", F.col("id")) % 20
+    copy = rows.where(~((F.col("arm") == "flip") & (F.col("row") == 1) & (broken == 0))).withColumn("note", F.when((F.col("arm") == "random") & (broken == 1), "").otherwise(F.col("note")))
+    bad = experiment.arm_violations(copy).groupBy("arm").agg(F.count(F.lit(1)).alias("v"))
     pick = rows.where("note <> ''")
     same = pick.where("arm = 'random'").select("id", F.col("candidate_index").alias("r"))
     out = pick.join(same, "id").groupBy("arm").agg(F.count(F.lit(1)).alias("opinions"), F.count_if(F.col("candidate_index") != F.col("r")).alias("differs"), F.count_if("fallback").alias("fallbacks"))
@@ -293,7 +286,7 @@ def validation_issues(spark, sf_dir):
 
 @query(f"""{ATTEMPTS_SQL}, g AS (SELECT question_id, condition, attempt FROM ids, plan)
 SELECT condition, count(*) AS denominator, count(status) AS observed, count(*) - count(status) AS missing, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE ok) / count(*) AS accuracy, count(*) FILTER (WHERE status = 'ok') AS ok,
-count(*) FILTER (WHERE status = 'refusal') AS refusal, count(*) FILTER (WHERE status = 'format_error') AS format_error, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE NOT syntactic_valid) AS syntactic_invalid
+count(*) FILTER (WHERE status = 'refusal') AS refusal, count(*) FILTER (WHERE status = 'format_error') AS format_error, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE NOT syntactic_valid) AS syntactic_invalid, count(*) = count(status) AS complete
 FROM g LEFT JOIN v USING (question_id, condition, attempt) GROUP BY condition""")
 def planned_slot_stats(spark, sf_dir):
     log = attempt_log(spark, sf_dir)
@@ -331,12 +324,14 @@ def attempt_history(spark, sf_dir):
     return attempts.history(rows).select("question_id", "condition", "attempt", past.alias("past"))
 
 
-@query(f"""{ATTEMPTS_SQL}, p AS (SELECT question_id, condition, coalesce(min(attempt) FILTER (WHERE status = 'ok' AND answer <> gold), min(attempt)) AS attempt, coalesce(bool_or(status = 'ok' AND answer <> gold), false) AS wrong
-FROM v WHERE syntactic_valid AND clinical_review <> 'rejected' AND condition IN ('independent', 'adaptive', 'literal_control') GROUP BY question_id, condition)
+@query(f"""{ATTEMPTS_SQL}, able AS (SELECT * FROM v WHERE syntactic_valid AND clinical_review <> 'rejected'),
+p AS (SELECT question_id, condition, coalesce(min(attempt) FILTER (WHERE status = 'ok' AND answer <> gold), min(attempt)) AS attempt, coalesce(bool_or(status = 'ok' AND answer <> gold), false) AS wrong
+FROM able WHERE condition IN ('independent', 'adaptive') GROUP BY question_id, condition
+UNION ALL SELECT question_id, condition, attempt, NULL FROM able WHERE condition = 'literal_control' AND attempt = 1 + CAST('0x' || substr({sha("'20260921'", "question_id", "'random'")}, 1, 16) AS HUGEINT) % 3)
 SELECT * FROM p WHERE question_id IN (SELECT question_id FROM p GROUP BY question_id HAVING count(*) = 3)""")
 def attempt_policy(spark, sf_dir):
     rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
-    picks = attempts.policy_pick(rows.where("condition in ('independent', 'adaptive', 'literal_control')"))
+    picks = attempts.policy_pick(rows.where("condition in ('independent', 'adaptive', 'literal_control')"), 20260921, 3)
     return picks.join(attempts.common_cohort(picks, 3), "question_id", "left_semi")
 
 
@@ -465,10 +460,10 @@ def replay_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- reports
 @query(f"""{ATTEMPTS_SQL} SELECT condition, count(*) AS candidates, count(*) FILTER (WHERE clinical_review = 'approved') AS approved, count(*) FILTER (WHERE clinical_review = 'rejected') AS rejected,
-count(*) FILTER (WHERE clinical_review = 'pending') AS pending, count(*) FILTER (WHERE clinical_review <> 'pending') / count(*) AS coverage FROM v WHERE wrong GROUP BY condition""")
+count(*) FILTER (WHERE clinical_review = 'pending') AS pending, count(*) FILTER (WHERE clinical_review <> 'pending') / count(*) AS coverage FROM v WHERE condition IN ('independent', 'adaptive', 'literal_control') GROUP BY condition""")
 def review_coverage(spark, sf_dir):
     rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
-    return reports.review_coverage(rows.where("provisional_wrong"), ["condition"])
+    return reports.review_coverage(rows.where(F.col("condition").isin(reviews.REVIEWED)), ["condition"])
 
 
 @query(f"""{ATTEMPTS_SQL}, m AS (SELECT question_id, avg(ok::INT) FILTER (WHERE condition = 'independent') AS x, avg(ok::INT) FILTER (WHERE condition = 'adaptive') AS y FROM v GROUP BY question_id)
@@ -484,11 +479,13 @@ def pool_statistics(spark, sf_dir):
     return reports.pool_statistics(table(spark, sf_dir, "documents"), "source", "text", ["lang"])
 
 
-@query("SELECT role, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_sum, min(coalesce(n, 0)) AS n_min, max(coalesce(n, 0)) AS n_max FROM (SELECT role, TRY_CAST(CASE WHEN turn % 5 = 0 THEN 'none' ELSE CAST(length(text) AS VARCHAR) END AS BIGINT) AS n FROM conversations) GROUP BY role")
+@query("""SELECT role, sum(n) AS n_sum, min(n) AS n_min, max(n) AS n_max
+FROM (SELECT role, CASE WHEN turn % 5 IN (0, 1) THEN 0 WHEN turn % 5 = 2 THEN length(text) + 0.5 WHEN turn % 5 = 3 THEN 1 ELSE length(text) END::DOUBLE AS n FROM conversations) GROUP BY role""")
 def token_totals(spark, sf_dir):
-    """Lengths of turns as token counts, every fifth turn's being no number."""
-    n = F.when(F.col("turn") % 5 == 0, "none").otherwise(F.length("text").cast("string"))
-    return reports.token_totals(table(spark, sf_dir, "conversations").withColumn("n", n), ["role"], ["n"])
+    """Lengths of turns as raw token counts, some of another type: texts and nulls are 0, fractions stay, true is 1."""
+    n, turn = F.length("text").cast("string"), F.col("turn") % 5
+    raw = F.when(turn == 0, F.concat(F.lit('"'), n, F.lit('"'))).when(turn == 1, "null").when(turn == 2, F.concat(n, F.lit(".5"))).when(turn == 3, "true").otherwise(n)
+    return reports.token_totals(table(spark, sf_dir, "conversations").withColumn("n", F.parse_json(raw)), ["role"], ["n"])
 
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
@@ -535,3 +532,39 @@ def example_questions(spark, sf_dir):
     """The first three questions that the independent arm answers right and the adaptive arm wrong (the limit is the feature)."""
     rows, _ = attempts.validate(attempt_log(spark, sf_dir), budgets(spark))
     return reports.examples(rows, "question_id", "condition", {"independent": F.col("derived_correct"), "adaptive": F.col("provisional_wrong")})
+
+
+# ---------------------------------------------------------------- paired comparisons
+ARMS = ["base", "clean", "random", "flip", "near_miss"]
+COMPARISONS = [
+    ("clean", "base", "clean"), ("random", "clean", "supports_wrong"), ("random", "clean", "supports_correct"), ("near_miss", "random", "supports_wrong"),
+    ("near_miss", "flip", "supports_wrong"), ("near_miss", "random", "supports_correct"), ("near_miss", "clean", "perturbed"),
+]
+COMPARED = 10_000
+_M31 = 2147483647
+
+
+def _mixed(x: str, out: str, frm: str) -> str:
+    """SELECT * and the 31-bit mix of x as out."""
+    return f"""SELECT * EXCLUDE (m0, m1, m2), xor(m2, m2 >> 16) AS {out} FROM (SELECT *, (xor(m1, m1 >> 15) * 739982445) & {_M31} AS m2 FROM (SELECT *, (xor(m0, m0 >> 16) * 73244475) & {_M31} AS m1 FROM (SELECT *, ({x}) & {_M31} AS m0 FROM ({frm}))))"""
+
+
+_PICKS_SQL = _mixed("pa + pb", "pc", _mixed("i + a", "pa", f"SELECT n, draw, a, pb, i FROM ({_mixed('a + draw', 'pb', _mixed('20260922 + 2 * draw + 1', 'a', f'SELECT n, unnest(range({COMPARED})) AS draw FROM (SELECT DISTINCT n FROM sizes)'))}), LATERAL (SELECT unnest(range(n)) AS i)"))
+_SIDES = ", ".join(f"('{left}-minus-{right}/{kind}', '{arm}', '{kind}', {sign})" for left, right, kind in COMPARISONS for arm, sign in ((left, 1), (right, -1)))
+
+
+@query(f"""{CASES_SQL}, armed AS (SELECT *, unnest({listed(ARMS)}) AS arm FROM cases WHERE NOT defended), {_scored_sql('predictions', 'armed', 'arm', 'case_id')},
+kinds AS (SELECT id, seen, arm, correct, unnest(CASE WHEN kind = 'clean' THEN ['clean'] ELSE ['perturbed', kind] END) AS kind FROM predictions),
+means AS (SELECT id, seen, arm, kind, avg(correct::INT) AS m FROM kinds GROUP BY ALL), sides(comparison, arm, kind, sign) AS (VALUES {_SIDES}),
+diffs AS (SELECT comparison, id, seen, sum(sign * m) AS d FROM means JOIN sides USING (arm, kind) GROUP BY ALL),
+sub AS (SELECT comparison, unnest(CASE WHEN seen THEN ['all'] ELSE ['all', 'previously_unseen'] END) AS subset, d FROM diffs),
+groups AS (SELECT comparison, subset, list(d ORDER BY d) AS v, count(*) AS n, avg(d) AS mean FROM sub GROUP BY ALL), sizes AS (SELECT DISTINCT n FROM groups),
+picks AS MATERIALIZED (SELECT n, draw, pc % n AS pick FROM ({_PICKS_SQL})),
+draws AS (SELECT comparison, subset, draw, avg(v[pick + 1]) AS m FROM groups JOIN picks USING (n) GROUP BY ALL)
+SELECT subset, comparison, any_value(n) AS n, round(any_value(mean), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM draws JOIN groups USING (comparison, subset) GROUP BY subset, comparison""")
+def paired_comparisons(spark, sf_dir):
+    """Seven comparisons of arms on the neutral cases, over all questions and those not seen before, each with the interval of 10,000 resamplings of its questions."""
+    cases = experiment.cases(questions(spark, sf_dir)).where("not defended").withColumn("arm", F.explode(F.array(*map(F.lit, ARMS))))
+    diffs = reports.comparison_differences(experiment.stand_in(cases, "arm", "case_id"), COMPARISONS, "seen")
+    out = bootstrap.bootstrap_means(diffs, "difference", COMPARED, experiment.SEED, ["subset", "comparison"])
+    return out.select("subset", "comparison", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))

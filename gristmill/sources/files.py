@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.functions.canonical import parse_whole
 from gristmill.functions.text import blank
 
 
@@ -36,7 +39,7 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -
 def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows with provenance, malformed_jsonl issues with file and line)."""
     rows = lines(spark, path)
-    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    whole = F.coalesce(F.schema_of_variant(parse_whole(F.col("value"))).startswith("OBJECT"), F.lit(False))
     parsed = rows.withColumn("row", F.when(whole, F.from_json("value", schema)))
     good = parsed.where("row is not null").select("row.*", "source_file", "source_line")
     return good, parsed.where("row is null").select(F.lit("error").alias("severity"), F.lit("malformed_jsonl").alias("code"), "source_file", "source_line")
@@ -46,7 +49,7 @@ def torn_tail(spark: SparkSession, path: str, schema: str, id_col: str) -> DataF
     """Rows of an append-only log: only an unparsable last line of a file is dropped; an earlier one, or a repeated id, is an error."""
     rows = lines(spark, path)
     last = rows.groupBy("source_file").agg(F.max("source_line").alias("last"))
-    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    whole = F.coalesce(F.schema_of_variant(parse_whole(F.col("value"))).startswith("OBJECT"), F.lit(False))
     rows = rows.join(last, "source_file").withColumn("whole", whole)
     # checked by jobs of their own: inside one plan the optimiser may drop a bad row before it is seen
     if bad := rows.where("not whole and source_line < last").select("source_file", "source_line").head():
@@ -62,7 +65,7 @@ QUESTION = "question string, options struct<A: string, B: string, C: string, D:
 
 def raw_questions(spark: SparkSession, path: str, split: str) -> DataFrame:
     """Curated questions of a JSONL file with `violation`: null, or the first of the record rules that the line breaks."""
-    rows = lines(spark, path).withColumn("v", F.try_parse_json("value")).withColumn("row", F.from_json("value", QUESTION))
+    rows = lines(spark, path).withColumn("v", parse_whole(F.col("value"))).withColumn("row", F.from_json("value", QUESTION))
     keys = F.array_sort(F.json_object_keys(F.get_json_object("value", "$.options")))
     options = F.array(*(F.col(f"row.options.{x}") for x in "ABCD"))
     right = F.element_at(options, F.instr(F.lit("ABCD"), F.col("row.answer_idx")))
@@ -79,13 +82,15 @@ def raw_questions(spark: SparkSession, path: str, split: str) -> DataFrame:
     return out
 
 
-def review_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """A CSV with header (BOM tolerated) whose required columns exist; all strings."""
+def review_csv(spark: SparkSession, path: str, required: list[str], place: str | None = None) -> DataFrame:
+    """A CSV with header (BOM tolerated) whose required columns exist; all strings. `place` names a column that sorts the lines as they stand, file by file."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    df = df.toDF(*(c.removeprefix("﻿") for c in df.columns))
-    if missing := [c for c in required if c not in df.columns]:
+    names = [c.removeprefix("﻿") for c in df.columns]
+    if missing := [c for c in required if c not in names]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df
+    if place is None:
+        return df.toDF(*names)
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))).toDF(*names, place)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -107,10 +112,32 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """CSV of the given columns; nested values as JSON text."""
-    shown = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in columns]
+    shown = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)) else F.col(c) for c in columns]
     df.select(*shown).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any store, in the place of an older one: written aside, then renamed."""
+    target, fs = _fs(spark, path)
+    aside, _ = _fs(spark, path + ".tmp")
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(aside, target):
+        raise OSError(f"{path} can't be written")
+
+
+def replace_csv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """write_csv to a folder aside, which then takes the place of `path`, a folder or a single file."""
+    staged = f"{path}.{uuid.uuid4().hex[:12]}"
+    write_csv(df, staged, columns)
+    swap_directory(df.sparkSession, staged, path)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a written folder has its completion marker."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")

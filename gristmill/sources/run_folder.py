@@ -10,6 +10,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.canonical import parse_whole, raw_text
+from gristmill.operators.attempts import raw_key_issue
 from gristmill.sources.files import _fs, lenient_jsonl, lines, merge_metadata, review_csv
 
 ISSUE = "severity string, code string, source_file string, source_line int"
@@ -50,12 +52,52 @@ def worker_rows(spark: SparkSession, folder: str, schema: str) -> tuple[DataFram
     return spark.createDataFrame([], f"{schema}, source_file string, source_line int"), _issue(spark, ("missing_worker_files", None))
 
 
+#: Fields of a worker's log line by type.
+TEXTS = ["condition", "gold", "answer", "status", "clinical_review", "run_kind", "category", "note", "candidate_note", "question_sha256", "distractor", "modified_question"]
+FLAGS = ["correct", "syntactic_valid"]
+NUMBERS = ["input_tokens", "output_tokens", "generator_input_tokens", "generator_output_tokens", "latency_s"]
+
+
+def typed_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed_jsonl issues) of log lines (source_file, source_line, value): every field in its type or null, numbers as VARIANT, and the `key_issue` that the raw types make.
+
+    A value of another type than its field's is null, not converted; ids of any type become text.  An absent clinical_review is pending.  answer_labels that are no list are an empty one, an
+    element that is no text is null.  target_messages are JSON text.  Attempts beyond 32 bits count as the largest.
+    """
+    raw = lines.select("source_file", "source_line", parse_whole(F.col("value")).alias("raw")).withColumn("whole", F.coalesce(F.schema_of_variant("raw").startswith("OBJECT"), F.lit(False)))
+    fields = ["question_id", "attempt", *TEXTS, *FLAGS, *NUMBERS, "answer_labels", "target_messages"]
+    parts = raw.where("whole").selectExpr("raw", "source_file", "source_line", *(f"try_variant_get(raw, '$.{c}', 'variant') as {c}" for c in fields))
+
+    def when(c: str, kind: str, then: str) -> str:
+        return f"when regexp_extract(schema_of_variant({c}), '^[A-Z]+', 0) = '{kind}' then {then}"
+
+    text = lambda c: when(c, "STRING", f"try_variant_get({c}, '$', 'string')")
+    labels = f"transform(try_variant_get(answer_labels, '$', 'array<variant>'), x -> case {text('x')} end)"
+    typed = parts.select(
+        "source_file", "source_line", raw_key_issue(F.col("raw")).alias("key_issue"), raw_text(F.col("question_id")).alias("question_id"), F.expr("cast(least(try_variant_get(attempt, '$', 'long'), 2147483647) as int) as attempt"),
+        *(F.expr(f"case {text(c)} end as {c}") for c in TEXTS if c != "clinical_review"), F.expr(f"case when clinical_review is null then 'pending' {text('clinical_review')} end as clinical_review"),
+        *(F.expr("case " + when(c, "BOOLEAN", f"try_variant_get({c}, '$', 'boolean')") + f" end as {c}") for c in FLAGS), *NUMBERS,
+        F.expr("case when answer_labels is not null then case " + when("answer_labels", "ARRAY", labels) + " else cast(array() as array<string>) end end as answer_labels"), F.expr(f"coalesce(case {text('target_messages')} end, to_json(target_messages)) as target_messages"),
+    )
+    bad = raw.where("not whole").select(F.lit("error").alias("severity"), F.lit("malformed_jsonl").alias("code"), "source_file", "source_line")
+    return typed, bad
+
+
+def worker_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """typed_rows of all worker logs; without any log no rows, and missing_worker_files."""
+    path = f"{folder}/worker_*.jsonl"
+    if _matches(spark, path):
+        return typed_rows(lines(spark, path))
+    typed, _ = typed_rows(spark.createDataFrame([], "source_file string, source_line int, value string"))
+    return typed, _issue(spark, ("missing_worker_files", None))
+
+
 def generation_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Of the generation logs: lines that are no JSON object, and recorded errors. An error that is null, empty, false or zero is none."""
     path = f"{folder}/generations_*.jsonl"
     if not _matches(spark, path):
         return _issue(spark)
-    rows = lines(spark, path).withColumn("v", F.try_parse_json("value"))
+    rows = lines(spark, path).withColumn("v", parse_whole(F.col("value")))
     whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     error = F.to_json(F.try_variant_get("v", "$.error", "variant"))
     failed = F.coalesce(~error.isin("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"), F.lit(False))
@@ -63,11 +105,11 @@ def generation_issues(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.lit("error").alias("severity"), code.alias("code"), "source_file", "source_line").where("code is not null")
 
 
-def saved_review(spark: SparkSession, path: str, required: list[str]) -> tuple[DataFrame | None, DataFrame]:
+def saved_review(spark: SparkSession, path: str, required: list[str], place: str | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(rows of the review, issues); no rows without a file, nor from one that lacks a required column, which is unreadable_review."""
     if not _matches(spark, path):
         return None, _issue(spark)
     try:
-        return review_csv(spark, path, required), _issue(spark)
+        return review_csv(spark, path, required, place), _issue(spark)
     except ValueError:
         return None, _issue(spark, ("unreadable_review", path.rsplit("/", 1)[-1]))

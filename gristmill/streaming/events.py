@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.sources.held import shared_dir
+
 
 def hourly_counts(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Distinct events (by id and time) per hour and type; events later than the watermark are dropped in a stream."""
@@ -14,13 +18,12 @@ def hourly_counts(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def run_once(spark: SparkSession, path: str, schema, build, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a streaming query over all files now present (availableNow) into a memory table and returns it."""
-    stream = spark.readStream.schema(schema).parquet(path)
-    writer = build(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.table(name)
+    """Runs a streaming aggregation over all files now present (availableNow) and returns its result, a table in the shared folder that each batch replaces; the driver holds no rows."""
+    out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    result = build(spark.readStream.schema(schema).parquet(path))
+    writer = result.writeStream.outputMode("complete").trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out))
+    writer.option("checkpointLocation", checkpoint or f"{out}-checkpoint").start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
 
 
 def resume(schedule: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

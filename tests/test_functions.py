@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import arrays, hashing, text
+from gristmill.functions import arrays, canonical, hashing, text
 
 
 def one(spark, *columns):
@@ -80,7 +80,7 @@ def test_explanations(spark):
 
 def test_note_and_digest(spark):
     rows = spark.createDataFrame([('{"note": " hi "}', '{"b": 1, "a": 2}'), ("[1]", "x")], "n string, j string")
-    got = rows.select(text.note_of("n"), text.canonical_digest("j")).collect()
+    got = rows.select(text.note_of("n"), canonical.canonical_digest(F.col("j"))).collect()
     assert got[0][0] == "hi" and got[0][1] == hashlib.sha256(b'{"a":2,"b":1}').hexdigest() and got[1] == (None, None)
 
 

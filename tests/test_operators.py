@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from gristmill.operators import attempts, experiment, relational
@@ -194,7 +196,10 @@ def test_policy_and_history(spark):
         return [r | {"answer": "C", "correct": False}] if (r["condition"], r["attempt"]) == ("adaptive", 2) else [r]
 
     _, good, _, _ = run(spark, log(wrong))
-    picks = {(r["question_id"], r["condition"]): (r["attempt"], r["wrong"]) for r in attempts.policy_pick(good).collect()}
+    picks = {(r["question_id"], r["condition"]): (r["attempt"], r["wrong"]) for r in attempts.policy_pick(good, 1, 3).collect()}
     assert picks["q1", "adaptive"] == (2, True) and picks["q1", "independent"] == (1, False)
+    literal = spark.createDataFrame([(q, "literal_control", i, "A", "B" if i == 1 else "A", i != 1, "ok", q != "q2", "pending") for q in ("q1", "q2", "q3") for i in (1, 2, 3)], LOG)
+    drawn = {q: int(hashlib.sha256(f"1|{q}|random".encode()).hexdigest()[:16], 16) % 3 + 1 for q in ("q1", "q3")}
+    assert {r["question_id"]: (r["attempt"], r["wrong"]) for r in attempts.policy_pick(literal, 1, 3).collect()} == {q: (n, None) for q, n in drawn.items()}  # whatever the answers
     h = {(r["condition"], r["attempt"]): r["history"] for r in attempts.history(good.where("question_id = 'q1'")).collect()}
     assert h["adaptive", 1] == [] and [x["attempt"] for x in h["adaptive", 2]] == [1]

@@ -39,7 +39,7 @@ def test_replay(spark):
         protocol.replay_cases(df, ids.limit(0))
     with pytest.raises(ValueError, match="repeated"):
         protocol.replay_cases(df.union(df.where("condition = 'baseline'")), ids)
-    assert protocol.resolve_budget({"k": True, "budget_k": 4}, df) == (4, "metadata.budget_k") and protocol.resolve_budget({}, df) == (2, "observed")
+    assert protocol.resolve_budget({"k": True, "budget_k": 4}, 2) == (4, "metadata.budget_k") and protocol.resolve_budget({}, 2) == (2, "observed")
 
 
 def test_configuration():

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import text
+from gristmill.functions import arrays, text
 from gristmill.operators import attempts, relational, reports
 
 
@@ -52,14 +52,46 @@ def test_checks(spark):
     assert reports.overlap(plan, done, "i").count() == 2 and reports.expected_ids(plan, done, "i").count() == 5
     assert not reports.shards_done(spark.createDataFrame([(0,), (2,), (2,)], "shard int"), 3)
     assert reports.shards_done(spark.createDataFrame([(0,), (2,), (1,), (7,)], "shard int"), 3)
-    stats = spark.createDataFrame([("a", 0, 0), ("b", 1, 0), ("c", 0, 2)], "condition string, missing long, error long")
-    assert [r["complete"] for r in reports.completeness(stats).orderBy("condition").collect()] == [True, False, False]
     cases = spark.createDataFrame([("q", [("a", 1), ("b", 2)])], "id string, scored array<struct<variant: string, n: int>>")
     assert {tuple(r) for r in reports.unnested(cases, "scored", ["id"]).collect()} == {("q", "a", 1), ("q", "b", 2)}
 
 
 def test_tokens_and_pretty_json(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "3"), ("a", "x"), ("a", None), ("b", "7")], "g string, n string")
-    assert {tuple(r) for r in reports.token_totals(rows, ["g"], ["n"]).collect()} == {("a", 3, 0, 3), ("b", 7, 7, 7)}
+    rows = spark.createDataFrame([("a", "3"), ("a", '"12"'), ("a", None), ("a", "0.5"), ("b", "7.9"), ("b", "true"), ("b", "[1]")], "g string, n string").withColumn("n", F.parse_json("n"))
+    assert {tuple(r) for r in reports.token_totals(rows, ["g"], ["n"]).collect()} == {("a", 3.5, 0, 3), ("b", 8.9, 0, 7.9)}
+    typed = spark.createDataFrame([("a", 7.9, "12"), ("a", 0.5, "1")], "g string, n double, t string")
+    assert tuple(reports.token_totals(typed, ["g"], ["n", "t"]).first()) == ("a", 8.4, 0.5, 7.9, 0, 0, 0)
     reports.write_pretty({"b": 1, "a": [1, 2]}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": [1, 2], "b": 1} and (tmp_path / "r.json").read_text().startswith('{\n  "a"')
+
+
+def test_containing(spark):
+    texts = spark.createDataFrame([(1, "say the quick brown fox jumps over it"), (2, "thequick brown fox jumps over"), (3, "日本語のテキストです"), (4, "a b"), (5, None), (6, "quick brown fox jumps"), (7, "x" * 60_000)], "i int, t string")
+    items = spark.createDataFrame([("p", "he quick brown fox jumps ov"), ("q", "のテ"), ("r", "b"), ("s", ""), ("t", None), ("u", "quick brown fox"), ("v", "xxxxxxx"), ("w", "a b")], "n string, p string")
+    got = {tuple(r) for r in relational.containing(texts, items, "i", "t", "n", "p").collect()}
+    want = {(i, n) for i, t in map(tuple, texts.collect()) for n, p in map(tuple, items.collect()) if t and p and p in t}
+    assert got == want and len(got) > 8
+    none = relational.containing(texts, items.limit(0), "i", "t", "n", "p")
+    assert none.columns == ["i", "n"] and none.collect() == []
+
+
+def test_comparison_differences(spark):
+    rows = [(q, q == "b", arm, kind, ok) for q, ok0 in (("a", True), ("b", False)) for arm in ("x", "y") for kind, ok in (("clean", ok0), ("k1", arm == "x"), ("k1", ok0), ("k2", False))]
+    rows += [("only x", False, "x", "clean", True)]
+    df = spark.createDataFrame(rows, "id string, seen boolean, arm string, kind string, correct boolean")
+    got = {(r["subset"], r["comparison"], r["id"]): r["difference"] for r in reports.comparison_differences(df, [("x", "y", "clean"), ("x", "y", "k1"), ("y", "x", "perturbed")], "seen").collect()}
+    assert got == {
+        ("all", "x-minus-y/clean", "a"): 0, ("all", "x-minus-y/clean", "b"): 0, ("all", "x-minus-y/k1", "a"): 0.5, ("all", "x-minus-y/k1", "b"): 0.5, ("all", "y-minus-x/perturbed", "a"): pytest.approx(-1 / 3),
+        ("all", "y-minus-x/perturbed", "b"): pytest.approx(-1 / 3), ("previously_unseen", "x-minus-y/clean", "a"): 0, ("previously_unseen", "x-minus-y/k1", "a"): 0.5, ("previously_unseen", "y-minus-x/perturbed", "a"): pytest.approx(-1 / 3),
+    }
+
+
+def test_positions(spark):
+    masks = [[], [0, 0], [1], [0, 0, 1, 1], [1, 1, 0, 0], [0, 1, 0, 0, 1, 1, 0], [1] * 3000, [0] * 5 + [1, 0] * 4000]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(masks)], "i int, m array<int>")
+    for i, got in df.select("i", arrays.positions(F.col("m"))).collect():
+        n, want = 0, []
+        for x in masks[i]:
+            n += x
+            want.append(max(n - 1, 0))
+        assert got == want
