@@ -71,6 +71,24 @@ def number_text(token: Column) -> Column:
     return F.when(whole, F.when(token == "-0", "0").otherwise(token)).otherwise(spelt)
 
 
+def _low(string: Column) -> Column:
+    """A JSON string whose control characters are spelt with lower-case digits."""
+
+    def spelt(s: Column) -> Column:
+        low = s
+        for x in "ABCDEF":
+            low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*+)\\u00([01]){x}", rf"$1\\u00$2{x.lower()}")
+        return F.when(s.contains("\\u00"), low).otherwise(s)
+
+    return let(string, spelt)
+
+
+def json_string(text: Column) -> Column:
+    """A text as a JSON string, characters beyond ASCII as they are."""
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.when(text.isNotNull(), _low(F.substring(whole, F.lit(6), F.length(whole) - 6)))
+
+
 def canonical_json(json: Column, spaced: bool = False) -> Column:
     """JSON text with the keys of every object sorted, and no white space (`spaced`: a space after commas and colons); characters beyond ASCII stay.
 
@@ -80,13 +98,7 @@ def canonical_json(json: Column, spaced: bool = False) -> Column:
     marked = F.when(parse_whole(json).isNotNull(), F.array_join(F.transform(_tokens(json), mark), ""))
     ordered = F.to_json(F.try_parse_json(marked))
 
-    def string(t: Column) -> Column:
-        out = F.concat(F.lit('"'), F.substring(t, 3, 1 << 30))
-        low = out  # control characters have lower-case digits
-        for x in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
-            low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*+)\\u00{x}", rf"$1\\u00{x.lower()}")
-        return F.when(out.contains("\\u00"), low).otherwise(out)
-
+    string = lambda t: _low(F.concat(F.lit('"'), F.substring(t, 3, 1 << 30)))
     sep = {",": ", ", ":": ": "} if spaced else {}
     write = lambda t: F.when(t.startswith('"n'), number_text(F.substring(t, 3, F.length(t) - 3))).when(t.startswith('"'), string(t))
 

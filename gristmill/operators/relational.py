@@ -118,7 +118,7 @@ def containing(texts: DataFrame, passages: DataFrame, id_col: str, text_col: str
     spark = texts.sparkSession
     cut = lambda c: F.filter(F.split(F.col(c), r"(?U)[^\w]+"), lambda x: x != "")
     letters = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
-    items = passages.where(F.col(passage_col) != "").select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage")).withColumns({"w": cut(passage_col), "c": letters(passage_col)})
+    items = passages.where(F.col(passage_col) != "").select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage")).withColumns({"w": cut("passage"), "c": letters("passage")})
     kind = F.when(F.size("w") >= 3, F.lit("w")).otherwise("c")
     inner = F.slice("w", 2, F.least(F.size("w") - 2, F.lit(_PART["w"])))
     first = F.slice("c", 1, _PART["c"])

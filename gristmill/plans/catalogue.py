@@ -568,3 +568,6 @@ def paired_comparisons(spark, sf_dir):
     diffs = reports.comparison_differences(experiment.stand_in(cases, "arm", "case_id"), COMPARISONS, "seen")
     out = bootstrap.bootstrap_means(diffs, "difference", COMPARED, experiment.SEED, ["subset", "comparison"])
     return out.select("subset", "comparison", "n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
+
+
+from gristmill.plans import runs  # noqa: E402, F401  registers the queries over whole runs

@@ -97,22 +97,17 @@ def test_an_error_row_is_complete_but_no_comparison(run):
     rows = complete()
     for key, status in {("q1", 1): "refusal", ("q1", 2): "format_error", ("q2", 1): "error"}.items():
         changed(rows, {"status": status, "answer": None, "correct": False}, question_id=key[0], attempt=key[1], condition="independent")
-    s, codes, _ = run(rows)
+    for v, attempt, condition in (("12", 1, "adaptive"), (7.9, 2, "adaptive"), (None, 1, "independent"), (True, 2, "independent")):
+        changed(rows, {"input_tokens": v}, attempt=attempt, condition=condition)
+    s, codes, _ = run(rows, write=False)
+    assert [s["conditions"][c]["all_questions"]["input_tokens"] for c in ("adaptive", "independent", "clean_repeat")] == [15.8, 2.0, 40.0]  # text and null are 0, true is 1
     stats = s["conditions"]["independent"]["all_questions"]
     assert stats["accuracy"] == 0.25 and stats["status_counts"] == {"ok": 1, "refusal": 1, "format_error": 1, "error": 1, "missing": 0}
     assert stats["complete"] and codes == {"target_operational_error": 1} and s["conditions"]["independent"]["curves"][-1]["provisional"] == 0
 
 
-def test_token_types(run):
-    rows = complete()
-    for v, attempt, condition in (("12", 1, "adaptive"), (7.9, 2, "adaptive"), (None, 1, "independent"), (True, 2, "independent")):
-        changed(rows, {"input_tokens": v}, attempt=attempt, condition=condition)
-    s, _, _ = run(rows)
-    assert [s["conditions"][c]["all_questions"]["input_tokens"] for c in ("adaptive", "independent", "clean_repeat")] == [15.8, 2.0, 40.0]
-
-
 def test_no_right_baseline(run):
-    s, codes, _ = run(changed(complete(), {"answer": "B", "correct": False}, condition="baseline"))
+    s, codes, _ = run(changed(complete(), {"answer": "B", "correct": False}, condition="baseline"), write=False)
     assert s["n_baseline_correct"] == 0 and codes == {"empty_baseline_correct_cohort": 1} and s["integrity"] | {"issues": 0} == {"valid": True, "error_count": 0, "warning_count": 1, "issues": 0}
     last = s["conditions"]["adaptive"]["curves"][-1]
     assert (last["k"], last["provisional_rate"]) == (2, None) and not s["paired_bootstrap"]["valid"] and s["all_questions"]["baseline"]["accuracy"] == 0
@@ -150,7 +145,7 @@ def test_run_codes(run):
 
 
 def test_literal_controls_have_their_own_budget(run):
-    s, codes, _ = run([*complete(), *(record(q, "literal_control", i) for q in ("q1", "q2") for i in (1, 2, 3))])
+    s, codes, _ = run([*complete(), *(record(q, "literal_control", i) for q in ("q1", "q2") for i in (1, 2, 3))], write=False)
     assert codes == {} and s["conditions"]["literal_control"]["budget_k"] == 3
     assert s["conditions"]["literal_control"]["all_questions"]["denominator"] == 6 and s["conditions"]["adaptive"]["all_questions"]["denominator"] == 4
 
