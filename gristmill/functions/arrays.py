@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,20 @@ def supervised(labels: Column, ignored: int = -100) -> Column:
     return F.size(F.filter(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: x != ignored))
 
 
+def accumulation_weights(examples: DataFrame, rank: str, labels: str, batch: int, micro: int, ignored: int = -100) -> DataFrame:
+    """(step, micro, tokens, weight) of the micro-batches, `micro` examples each, of every step of `batch` examples in rank order (from 0); a step's weights sum to 1.
+
+    A micro-batch's weight is its share of the step's supervised tokens, so the weighted sum of mean losses is the mean over the whole step; the last of a step may have fewer examples.
+    A step without supervised tokens is an error.
+    """
+    place = F.col(rank).cast("long")
+    each = examples.select(F.floor(place / batch).alias("step"), F.floor(F.pmod(place, F.lit(batch)) / micro).alias("micro"), supervised(F.col(labels), ignored).alias("n"))
+    sums = each.groupBy("step", "micro").agg(F.sum("n").alias("tokens"))
+    total = F.sum("tokens").over(Window.partitionBy("step"))  # batch / micro rows
+    none = F.raise_error(F.concat(F.lit("no supervised tokens in step "), F.col("step").cast("string"))).cast("double")
+    return sums.withColumn("all", total).select("step", "micro", "tokens", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(none).alias("weight"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once: a lambda's variable isn't expanded where it is used."""
     return F.transform(F.array(value), body)[0]

@@ -430,6 +430,17 @@ def token_batches(spark, sf_dir):
     return x.select("vec_id", F.size("ids").cast("long").alias("n"), pads.alias("pads"), arrays.supervised(labels).cast("long").alias("supervised"), arrays.argmax(F.col("ids")).cast("long").alias("top"))
 
 
+@query("""WITH x AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, len(embedding) - greatest(1 + vec_id % 9, 1) AS n FROM embeddings),
+s AS (SELECT r // 20 AS step, (r % 20) // 6 AS micro, CAST(sum(n) AS BIGINT) AS tokens FROM x GROUP BY ALL) SELECT step, micro, tokens, round(tokens / sum(tokens) OVER (PARTITION BY step), 9) AS weight FROM s""")
+def loss_weights(spark, sf_dir):
+    """Weights of micro-batches of 6 in steps of 20 examples: quantised vectors as token ids, of which the first few are the prompt."""
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 100).cast("int")).alias("ids"))
+    x = relational.ranked(x.withColumn("h", F.lpad(F.col("vec_id").cast("string"), 20, "0")), "h", "vec_id").withColumn("r", F.col("rank") - 1)
+    labels = arrays.label_mask(F.slice("ids", F.lit(1), (1 + F.col("vec_id") % 9).cast("int")), F.col("ids"))
+    weights = arrays.accumulation_weights(x.withColumn("labels", labels), "r", "labels", 20, 6)
+    return weights.select("step", "micro", "tokens", F.round("weight", 9).alias("weight"))
+
+
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
 def event_stream_dedup_counts(spark, sf_dir):
     """Event-time counts by the streaming plan, run here as a batch (an extension)."""

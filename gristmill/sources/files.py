@@ -10,20 +10,21 @@ from pyspark.sql import types as T
 
 from gristmill.functions.canonical import parse_whole
 from gristmill.functions.text import blank
+from gristmill.sources.held import held
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, source_line from 1, value) of text files; blank lines count but are left out.
+    """(source_file, source_line from 1, value, utf8: whether the line's bytes are valid) of text files; blank lines count but are left out.
 
     Files are read in blocks, so one may be larger than a task: a line's number is its place in its block plus the lines of the blocks before.
     """
     place = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block")]
-    text = spark.read.option("lineSep", "\n").text(path).select(*place, F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    text = spark.read.option("lineSep", "\n").text(path).select(*place, F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("__at"), F.is_valid_utf8("value").alias("utf8"), F.regexp_replace("value", r"\r\z", "").alias("value"))
     blocks = text.groupBy("__path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("__path", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     numbered = text.where(~blank(F.col("value"))).join(blocks, ["__path", "__block"])
-    return numbered.select("source_file", (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("int").alias("source_line"), "value")
+    return numbered.select("source_file", (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("int").alias("source_line"), "value", "utf8")
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -70,7 +71,8 @@ def raw_questions(spark: SparkSession, path: str, split: str) -> DataFrame:
     options = F.array(*(F.col(f"row.options.{x}") for x in "ABCD"))
     right = F.element_at(options, F.instr(F.lit("ABCD"), F.col("row.answer_idx")))
     violation = (
-        F.when(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "not_an_object")
+        F.when(~F.col("utf8"), "not_utf8")
+        .when(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "not_an_object")
         .when(blank(F.coalesce("row.question", F.lit(""))), "blank_question")
         .when(~F.coalesce(keys == F.array(*map(F.lit, "ABCD")), F.lit(False)), "options_not_a_to_d")
         .when(F.exists(options, lambda x: blank(F.coalesce(x, F.lit("")))), "blank_option")
@@ -82,6 +84,17 @@ def raw_questions(spark: SparkSession, path: str, split: str) -> DataFrame:
     return out
 
 
+def strict_questions(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """raw_questions of a source that breaks no rule: bytes that are no UTF-8, else the first violation by place, are an error that names it, and so is a source without questions."""
+    rows = held(raw_questions(spark, path, split))
+    if rows.isEmpty():
+        raise ValueError(f"{split}: no questions")
+    bad = rows.where("violation is not null").select((F.col("violation") != "not_utf8").alias("later"), "source_index", "violation")
+    if first := bad.orderBy("later", "source_index").head():
+        raise ValueError(f"{split}:{first['source_index']}: {first['violation']}")
+    return rows.drop("violation")
+
+
 def review_csv(spark: SparkSession, path: str, required: list[str], place: str | None = None) -> DataFrame:
     """A CSV with header (BOM tolerated) whose required columns exist; all strings. `place` names a column that sorts the lines as they stand, file by file."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
