@@ -251,8 +251,8 @@ def find_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     alike; rows that repeat an id are rows of their own.  Without items all lists are empty, an empty table of docs gives an
     empty table; other columns, whatever their names, are not read.
 
-    Items are looked up in blocks of about `block_chars` characters, so what is broadcast is
-    bounded; the blocks' matches are joined by document.  Tables go to `work`, if given.
+    Items are looked up in blocks of about `block_chars` characters, one at a time, so what is broadcast is
+    bounded; the blocks' matches are joined by document.  `size` and `span` are at most GAP, the distance at which documents stand in the index.  Tables go to `work`, if given.
     """
     if max(size, span) > GAP:
         raise ValueError(f"size and span are at most {GAP}")
@@ -276,6 +276,9 @@ def find_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         plan = spark.sparkContext.broadcast(Plan(own, size, rare_terms, count))
         kind = docs.schema["doc"].dataType.simpleString()
         one = index.mapInArrow(_match(plan, span, k == 0), f"part int, shard int, no int, doc {kind}, n_words bigint, hits array<int>, items array<bigint>, near array<bigint>")
+        if blocks > 1:  # one block at a time: its matches are written, then its plan is let go
+            one = work.table(one, f"found{k}")
+            plan.destroy()
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)

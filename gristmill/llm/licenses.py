@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.arrays import let
 from gristmill.llm._spark import batches, tidy
 from gristmill.llm._text import ALNUM, LOWER, NOT_SPACE, U64, chunks, hash_spans, roll, spans
 
@@ -224,13 +225,15 @@ def _scan(model, least: float, match: float):
     return run
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", n_negatives: int = 400, sample_chars: int = 500) -> Classifier:
-    """Trains on the templates and, as other text, on a sample: the first paragraphs, up to `sample_chars` characters, of at most `n_negatives` documents (those of the smallest hashes of them) that share no 3-gram with a template."""
-    first = docs.select(F.regexp_extract(F.substring(F.col(text_col), 1, sample_chars), r"(?s)\A\s*(.*?)(?:\n\s*\n|\z)", 1).alias("t")).where("t <> ''").withColumn("h", F.xxhash64("t"))
-    drawn = first.select("h").distinct().orderBy("h").limit(n_negatives)
-    texts = first.join(F.broadcast(drawn), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h")
+def fit(docs: DataFrame, *, text_col: str = "text", n_negatives: int = 400, sample_words: int = 4 * WINDOW) -> Classifier:
+    """Trains on the templates and, as other text, on a sample: of at most `n_negatives` different texts (those of the smallest hashes) a stretch of `sample_words` words from anywhere in it, its place drawn by the hash; stretches that share a 3-gram with a template are left out."""
+    texts = docs.select(F.col(text_col).alias("t")).where("t <> ''").withColumn("h", F.xxhash64("t"))
+    drawn = texts.select("h").distinct().orderBy("h").limit(n_negatives)
+    words = F.filter(F.split("t", r"\s+"), lambda w: w != "")
+    stretch = let(words, lambda w: F.array_join(F.slice(w, (1 + F.pmod(F.col("h"), F.greatest(F.size(w) - sample_words + 1, F.lit(1)))).cast("int"), sample_words), " "))
+    sample = texts.join(F.broadcast(drawn), "h").select("h", stretch.alias("s")).groupBy("h").agg(F.min("s").alias("s")).where("s <> ''").orderBy("h")
     templates = frozenset().union(*(Classifier.grams(t) for ts in TEMPLATES.values() for t in ts))
-    return Classifier([r["t"] for r in texts.collect() if not Classifier.grams(r["t"]) & templates])  # n_negatives rows
+    return Classifier([r["s"] for r in sample.collect() if not Classifier.grams(r["s"]) & templates])  # n_negatives rows of sample_words words
 
 
 def scan(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7, match: float = 0.6) -> DataFrame:

@@ -123,6 +123,9 @@ class Model:
         sim = v @ self.vectors.T
         k = min(k, sim.shape[1])
         near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(sim, near, axis=1).min(axis=1, keepdims=True)
+        tied = np.flatnonzero((sim >= last).sum(axis=1) > k)  # of vectors equally near the k-th place the first vote
+        near[tied] = np.argsort(-sim[tied], axis=1, kind="stable")[:, :k]
         w = np.maximum(np.take_along_axis(sim, near, axis=1), 1e-6).astype(np.float64) ** 4
         return (w * self.label[near]).sum(axis=1) / w.sum(axis=1)
 
@@ -146,7 +149,7 @@ def remainder(id_col: str, mod: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", mod: int = 5, n_fit: int = 4096, rank: int = 64) -> Model:
     """A model of at most `n_fit` labelled rows of docs whose crc32 remainder isn't 0, those of the smallest hashes of id and text; idf comes from all documents.
 
-    Null labels and ids count as unlabelled; labels of ids that docs lacks are not used; of several labels of one id the largest holds;
+    Ids are whole numbers.  Null labels and ids count as unlabelled; labels of ids that docs lacks are not used; of several labels of one id the largest holds;
     of several rows of one id each is a row, and rows that repeat both id and text are one.  Other columns are not read.
     """
     batches(docs.sparkSession)
@@ -158,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     drawn = rows.select("id", F.xxhash64("id", "text").alias("hash")).distinct().join(labelled, "id").orderBy("hash", "id").limit(n_fit)  # n_fit rows of 24 bytes
     drawn = docs.sparkSession.createDataFrame([tuple(r) for r in drawn.collect()], "id long, hash long, label int")
-    sample = rows.withColumn("hash", F.xxhash64("id", "text")).join(F.broadcast(drawn), ["id", "hash"]).select("id", "hash", "label", "text")
-    got = {(r["id"], r["hash"]): (r["label"], bytes(r["terms"])) for r in sample.mapInArrow(_sparse, "id long, hash long, label int, terms binary").collect()}  # n_fit rows, and their repeats
+    sample = rows.withColumn("hash", F.xxhash64("id", "text")).join(F.broadcast(drawn), ["id", "hash"]).select("id", "hash", "label", "text").dropDuplicates(["id", "hash"])
+    got = {(r["id"], r["hash"]): (r["label"], bytes(r["terms"])) for r in sample.mapInArrow(_sparse, "id long, hash long, label int, terms binary").collect()}  # n_fit rows
     return Model(idf, [got[k] for k in sorted(got)], rank)
 
 
@@ -167,7 +170,7 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", k: int =
     """docs with `score_col` (0 to 1, higher: label 1 likelier).
 
     Null and empty texts are scored like any text, very long ones as a whole.  Without labelled rows every score is 0.5.  Repeated
-    rows score alike; of labelled vectors equally near the k-th place any may vote.  Other columns pass through, whatever their
+    rows score alike; of labelled vectors equally near the k-th place those of the smaller sample keys (id, then hash) vote.  Other columns pass through, whatever their
     names, but one called `score_col` is replaced.  An empty table gives an empty table.
     """
     spark = docs.sparkSession

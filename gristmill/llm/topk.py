@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._spark import batches, tidy
+from gristmill.llm._spark import Work, batches, tidy
 
 BLOCK_ROWS, FAN = 256, 64
 #: Bytes of queries (8 for each component) that are broadcast at once.
@@ -97,6 +97,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
     share a list.  Rows whose id or vector is null, or whose vector holds a null or a component that is not finite (before or after
     the scaling), take no part, nor do empty vectors; vectors of another length than the query's aren't its candidates.  Inner products are
     exact; one beyond 64 bits counts as the nearest 64-bit number.  Empty tables give empty results; other columns are not read.
+
+    The queries go in groups of about `group_bytes`, one at a time: driver and executors hold one group, whatever their number; the candidates are read once a group.
     """
     spark = vectors.sparkSession
     batches(spark)
@@ -107,11 +109,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec
 
     asked = whole(queries).distinct()
     groups = max(1, -(-8 * (asked.agg(F.sum(F.size("vector"))).first()[0] or 0) // group_bytes))
-    lists = None
+    lists, work = None, Work(spark, "top_k")
     for g in range(groups):
         got = asked.where(F.pmod(F.xxhash64("id", "vector"), F.lit(groups)) == g).toArrow().combine_chunks()  # about group_bytes
         held = {dim: tuple(x[np.argsort(np.abs(m).max(axis=1), kind="stable")] for x in (ids, m)) for b in got.to_batches() for dim, ids, m in matrices(b.column(0), b.column(1), scale)}
-        one = whole(vectors).mapInArrow(_tiles(spark.sparkContext.broadcast(held), k, scale), "query_id long, part int, vec_id long, score long")
+        sent = spark.sparkContext.broadcast(held)
+        one = whole(vectors).mapInArrow(_tiles(sent, k, scale), "query_id long, part int, vec_id long, score long")
+        if groups > 1:  # one group at a time: its lists are written, then its queries are let go
+            one = work.table(one, f"lists{g}")
+            sent.destroy()
         lists = one if lists is None else lists.unionByName(one)
     best = [F.desc("score"), F.asc("vec_id")]
     lists = lists.withColumn("part", F.expr(f"part div {FAN}").cast("int"))

@@ -596,3 +596,41 @@ def test_chains_across_batches(size):
         if len(own) > 1:
             want += [(g, x) for x in own]
     assert sorted(got) == sorted(want)
+
+
+def test_quality_repeats_and_ties(spark):
+    """A row repeated thousands of times is one of the sample; of equally near vectors the first keys vote."""
+    docs = frame(spark, [(1, "good words here")] * 3000 + [(2, "bad junk there"), (3, "good words here")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, mod=10**9, n_fit=10)
+    assert len(model.label) == 3
+    keys = [(1, spark.range(1).select(F.xxhash64(F.lit(1).cast("long"), F.lit("good words here"))).first()[0])]
+    assert keys and model.label[0] == 1  # sorted by id, then hash
+    for k, want in ((1, 1.0), (2, 0.5)):
+        got = quality.classify(docs.where("doc_id = 3"), model, k=k).first()["score"]
+        assert got == pytest.approx(want)
+
+
+def test_top_k_holds_one_group(spark, monkeypatch):
+    """Many groups of queries: each is sent, used and let go before the next."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    alive, most = set(), []
+    sc = type(spark.sparkContext)
+    send = sc.broadcast
+
+    def counted(self, value):
+        b = send(self, value)
+        if isinstance(value, dict):
+            alive.add(id(b))
+            most.append(len(alive))
+            gone = b.destroy
+            b.destroy = lambda *a: (alive.discard(id(b)), gone(*a))
+        return b
+
+    monkeypatch.setattr(sc, "broadcast", counted)
+    got = topk.top_k(vectors, vectors, k=3, group_bytes=2000)
+    want = topk.top_k(vectors, vectors, k=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(most) > 8 and max(most) == 1
