@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.arrays import argmax, softmax
@@ -189,6 +189,19 @@ def arm_violations(rows: DataFrame) -> DataFrame:
     return n.where(~((F.col("rows") == 2) & (F.col("notes") == F.when(F.col("arm") == "clean", 0).otherwise(1))))
 
 
+def arm_statistics(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """(arm, questions, rows, opinions, supporting_gold, different_from_random) of assembled arms; the last is null for arms without selections and for random itself.
+
+    Questions are counted by a first grouping on id; an opinion is a row with a note.
+    """
+    told = rows.join(notes.select("id", "candidate_index", "supports_gold"), ["id", "candidate_index"], "left")
+    random = F.max(F.when(F.col("arm") == "random", F.col("candidate_index"))).over(Window.partitionBy("id"))  # eight rows a question
+    told = told.withColumn("differs", F.col("candidate_index") != random)
+    each = told.groupBy("arm", "id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("note") != "").alias("opinions"), F.count_if(F.coalesce("supports_gold", F.lit(False))).alias("gold"), F.count_if("differs").alias("differs"))
+    out = each.groupBy("arm").agg(F.count(F.lit(1)).alias("questions"), F.sum("rows").alias("rows"), F.sum("opinions").alias("opinions"), F.sum("gold").alias("supporting_gold"), F.sum("differs").alias("d"))
+    return out.select("arm", "questions", "rows", "opinions", "supporting_gold", F.when(~F.col("arm").isin("clean", "random"), F.col("d")).alias("different_from_random"))
+
+
 def summary_cube(predictions: DataFrame, seen: str) -> DataFrame:
     """(subset, prompt, condition) with n, correct, accuracy, questions, matched, flips and flip_rate, in one pass over exploded memberships.
 

@@ -210,6 +210,15 @@ def arm_assembly_check(spark, sf_dir):
     return out.join(bad, "arm", "left").select("arm", "opinions", "differs", "fallbacks", F.coalesce("v", F.lit(0)).cast("long").alias("violations"))
 
 
+@query(f"""{TRAIN_SQL}, told AS (SELECT policy, c.id, c.candidate_index, n.supports_gold, r.candidate_index AS r FROM chosen c JOIN notes n ON c.id = n.id AND c.candidate_index = n.candidate_index JOIN (SELECT id, candidate_index FROM chosen WHERE policy = 'random') r ON c.id = r.id)
+SELECT policy AS arm, count(DISTINCT id) AS questions, 2 * count(*) AS rows, count(*) AS opinions, count(*) FILTER (WHERE supports_gold) AS supporting_gold, CASE WHEN policy <> 'random' THEN count(*) FILTER (WHERE candidate_index <> r) END AS different_from_random FROM told GROUP BY policy
+UNION ALL SELECT 'clean', count(*), 2 * count(*), 0, 0, NULL FROM q""")
+def arm_statistics(spark, sf_dir):
+    """Statistics of the training rows of each arm."""
+    q, scored, clean = train_scores(spark, sf_dir)
+    return experiment.arm_statistics(experiment.assemble_arms(q, scored, experiment.select_candidates(clean, scored)), scored)
+
+
 @query(f"""{TRAIN_SQL}, e AS (SELECT id, c.correct, r.flip IS NOT NULL AS f, r.near IS NOT NULL AS n FROM clean c JOIN each r USING (id))
 SELECT CAST(count(*) AS BIGINT) AS questions, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS base_correct, CAST(count(*) FILTER (WHERE f AND n) AS BIGINT) AS both_eligible,
        CAST(count(*) FILTER (WHERE f AND NOT n) AS BIGINT) AS flip_only, CAST(count(*) FILTER (WHERE n AND NOT f) AS BIGINT) AS near_miss_only, CAST(count(*) FILTER (WHERE NOT f AND NOT n) AS BIGINT) AS neither_eligible FROM e""")
