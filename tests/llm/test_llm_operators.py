@@ -1,4 +1,4 @@
-"""The ten operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+"""The first ten operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
 import math
