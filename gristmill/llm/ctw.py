@@ -14,6 +14,9 @@ broadcast; each subtree then gives every gram that any text asks for its log pro
 Texts look up the most frequent grams in a broadcast table of at most `capacity` of them, and the
 others are joined; none is left out, and where the line between the two lies does not change a score.
 
+A text of words that training lacks costs the tree their spelling, which the base score doesn't charge; `weighted`
+weighs the two by their evidence, as the tree does its depths.
+
 The base score is exact add-one unigram over all training words: frequent words' counts are
 broadcast (at most `words` of them), the others are joined by word hash.
 """
@@ -197,7 +200,7 @@ class Tree:
             acc, rem = (np.zeros(len(zeros[0])), np.ones(len(zeros[0]))) if not first else (x[up[first]] for x in top.down[j])
             for d in levels:
                 estimate = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-                self.one[d][j] = (acc + rem * estimate).astype(np.float32)
+                self.one[d][j] = acc + rem * estimate  # in doubles: beside 2**24 zeros and no one, 1 - p is 0 in 32 bits
                 acc, rem = acc + rem * stop[d] * estimate, rem * (1 - stop[d])
                 if d < self.depth:
                     acc, rem = acc[up[d + 1]], rem[up[d + 1]]
@@ -211,7 +214,6 @@ class Tree:
 
     @staticmethod
     def _log(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        p = p.astype(np.float64)
         return np.log10(np.where(bit.astype(bool), p, 1 - p))
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
@@ -398,3 +400,14 @@ def score(docs: DataFrame, train: Column, held_out: Column, *, id_col: str = "do
     return scored.join(rare, "row", "left").join(far, "row", "left").select(
         F.col("doc").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"), "n_bytes", (whole * float(-np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte")
     )
+
+
+def weighted(scored: DataFrame) -> DataFrame:
+    """scored with `score` weighted over two models of the token sequence, the tree and the base, at one half each; `tree_score` is the tree's alone.
+
+    The base takes all words unseen in training for one token; the tree spells them, and a spelling is no likelier than
+    that token, so the mean of both is at most the probability of the tokens.  It is never more than log10(2) below either.
+    """
+    best = F.greatest("score", "base_score")
+    mean = best + F.log10((F.pow(F.lit(10.0), F.col("score") - best) + F.pow(F.lit(10.0), F.col("base_score") - best)) / 2)
+    return scored.withColumns({"tree_score": F.col("score"), "score": mean})

@@ -89,7 +89,7 @@ FROM judged GROUP BY doc_id
 
 def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)), F.lit(0))
-    return ctw.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), rest != 2, rest == 2)
+    return ctw.weighted(ctw.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), rest != 2, rest == 2))
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

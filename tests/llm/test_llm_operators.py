@@ -441,6 +441,26 @@ def test_ctw_without_training(spark):
     assert ctw.score(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
 
 
+def test_ctw_stays_finite_beside_frequent_bytes():
+    """A byte that no training text has, beside more occurrences of another than 32-bit floats tell from certainty."""
+    tree = ctw.Tree([(np.array([97], np.uint64), np.array([1 << 26]))])
+    # a is 01100001, ` is 01100000: the last bit is always one in training
+    assert math.isclose(tree.logs(np.array([96], np.uint64))[0], math.log10(0.5 / ((1 << 26) + 1)), rel_tol=1e-6)
+
+
+def test_ctw_weighted(spark, tmp_path):
+    """Held-out texts of long words that training lacks: the base takes each for one token, the tree spells them."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    text = lambda i: " ".join(f"{i}x{j}" * 9 for j in range(40)) if held(i) else "one two three"
+    frame(spark, [*((i, text(i)) for i in range(60)), (None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_ctw(spark, str(tmp_path)).collect()
+    assert any(r["held_out"] and r["tree_score"] < 2 * r["base_score"] for r in got)
+    for r in got:
+        assert 0 > r["score"] >= max(r["tree_score"], r["base_score"]) - math.log10(2) - 1e-9
+        near = [10 ** (x - r["base_score"]) for x in (r["tree_score"], r["base_score"]) if x > r["base_score"] - 300]
+        assert math.isclose(r["score"] - r["base_score"], math.log10(sum(near) / 2), rel_tol=1e-9, abs_tol=1e-9)
+
+
 # ------------------------------------------------------------------ 8 top-k
 @pytest.mark.parametrize("group", [1 << 24, 100])
 def test_top_k(spark, group):
