@@ -6,6 +6,9 @@ over the blocks: binomial splits down a binary tree of blocks, whose random numb
 seed and node, so every block finds its own share without asking the others.  Within its block
 a pick is a rank, found in the running counts by binary search; blocks of more than ROWS rows
 (few values, each very frequent) split their picks over the values in the same binomial way.
+
+Groups of one block and as many rows share their picks: a draw's ranks are made and counted once for
+all of them, and each group reads its sum off the running counts at its values' ends.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from gristmill.sources.held import held
 BLOCK = 1 << 16
 #: Rows of a block that are picked one by one.
 ROWS = 1 << 20
-#: Picks of a unit of work, about.
-UNIT = 1 << 25
+#: Picks of a unit of work, about; and of one whose picks several groups share.
+UNIT, SHARED = 1 << 25, 1 << 22
+#: Picks of shared ranks that are made at once, unless one draw has more.
+AT_ONCE = 1 << 17
 _M = 0x7FFFFFFF
 
 
@@ -78,6 +83,53 @@ def _sums(seed: int, draws: int, first: int, after: int, block: int, sizes: np.n
     return out
 
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    """_mix of 32-bit numbers, in place: products wrap around, their last 31 bits are the same."""
+    for shift, factor in ((16, 0x45D9F3B), (15, 0x2C1B3C6D)):
+        x &= np.uint32(_M)
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x &= np.uint32(_M)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def _upto(seed: int, draw: np.ndarray, n: int) -> np.ndarray:
+    """For each draw and rank: how many of the draw's picks have at most that rank. The picks are those of block 0, n of them."""
+    a = _mix(seed + 2 * draw + 1)
+    b = _mix(a + draw)
+    x = np.arange(n, dtype=np.uint32) + a.astype(np.uint32)[:, None]
+    x = _mix32(_mix32(x) + b.astype(np.uint32)[:, None])
+    x -= x // np.uint32(n) * np.uint32(n)
+    x = x.astype(np.int64) + np.arange(len(draw))[:, None] * n
+    return np.cumsum(np.bincount(x.ravel(), minlength=len(draw) * n).reshape(len(draw), n), axis=1)
+
+
+def _shared(seed: int, first: int, after: int, n: int, members: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sums of the picked values of groups of n rows, by group and draw; a group is its sorted values and their counts."""
+    out = np.zeros((len(members), after - first))
+    step = max(1, AT_ONCE // n)
+    for at in range(first, after, step):
+        draw = np.arange(at, min(after, at + step))
+        upto = _upto(seed, draw, n)
+        for own, (values, counts) in zip(out, members, strict=True):
+            own[at - first : at - first + len(draw)] = np.diff(upto[:, np.cumsum(counts) - 1], axis=1, prepend=0) @ values
+    return out
+
+
+def _share_work(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, first, after, members in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+                groups, bands = members.values.flatten()
+                parts = [[x.to_numpy(zero_copy_only=False) for x in one.values.flatten()] for one in bands]
+                sums = _shared(seed, first, after, n, parts)
+                for g, got in zip(groups.to_pylist(), sums, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(got), pa.int64()), pa.array(np.arange(first, after), pa.int32()), pa.array(got)], names=["g", "draw", "s"])
+
+    return run
+
+
 def _work(seed: int, draws: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,16 +163,27 @@ def bootstrap_means(differences: DataFrame, value: str, draws: int, seed: int, b
     spark, by = differences.sparkSession, by or []
     named = differences.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
     names = named.select(F.struct(*by).alias("of") if by else F.lit(0).alias("of"), "v", "c")
-    names = names.withColumn("g", F.xxhash64("of"))
+    names = held(names.withColumn("g", F.xxhash64("of")))  # both the totals and the ranks read it
     groups = held(names.groupBy("g", "of").agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total")))
     blocks = _ranked(names.select("g", "v", "c")).withColumn("block", F.floor(F.col("rank") / BLOCK).cast("int"))
     blocks = held(blocks.groupBy("g", "block").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("bands"), F.sum("c").alias("size")))  # BLOCK values at most
     sizes = blocks.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("block", "size"))).alias("sizes")).select("g", F.col("sizes.size").alias("sizes"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(UNIT) / F.col("size"))).cast("int")
-    units = blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.least(step, F.lit(draws))))).withColumn("after", F.least(F.col("first") + step, F.lit(draws)))
-    units = units.join(sizes, "g").select("g", "block", "first", "after", "sizes", "bands").repartition("g", "block", "first")
+
+    def units(rows: DataFrame, most: int) -> DataFrame:
+        step = F.least(F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("size"))), F.lit(draws)).cast("int")
+        rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), step)))
+        return rows.withColumn("after", F.least(F.col("first") + step, F.lit(draws)))
+
+    whole = (F.size("sizes") == 1) & (F.col("size") <= ROWS)
+    blocks = blocks.join(sizes, "g")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(8 << 20, _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))))
-    sums = units.mapInArrow(_work(seed, draws), "g long, draw int, s double").groupBy("g", "draw").agg(F.sum("s").alias("s"))
+    apart = units(blocks.where(~whole), UNIT).select("g", "block", "first", "after", "sizes", "bands").repartition("g", "block", "first")
+    alike = blocks.where(whole).select("g", "size", "bands")
+    packs = alike.groupBy("size").agg(F.ceil(F.sum(F.size("bands")) / BLOCK).alias("packs"))  # of BLOCK values, about
+    packed = alike.join(packs, "size").groupBy("size", F.pmod(F.xxhash64("g"), "packs").alias("pack")).agg(F.array_sort(F.collect_list(F.struct("g", "bands"))).alias("members"))
+    packed = units(packed, SHARED).repartition("size", "pack", "first").select("size", "first", "after", "members")
+    schema = "g long, draw int, s double"
+    sums = apart.mapInArrow(_work(seed, draws), schema).union(packed.mapInArrow(_share_work(seed), schema)).groupBy("g", "draw").agg(F.sum("s").alias("s"))
     means = sums.join(groups.select("g", "n"), "g").groupBy("g").agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     out = groups.join(means, "g").select("of", "n", (F.col("total") / F.col("n")).alias("mean"), F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
     if by:

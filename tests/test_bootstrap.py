@@ -61,6 +61,27 @@ def _patched(work, args, rows):
     return run
 
 
+def test_groups_of_one_size_share_their_picks(spark, monkeypatch):
+    """The picks of a draw are made once for all groups of one size, and are those of each alone."""
+    rng = np.random.default_rng(2)
+    members = [(np.sort(rng.normal(0, 1, k)), np.full(k, 120 // k)) for k in (1, 3, 120)]
+    made = []
+    upto = bootstrap._upto
+    monkeypatch.setattr(bootstrap, "_upto", lambda seed, draw, n: made.append(len(draw)) or upto(seed, draw, n))
+    monkeypatch.setattr(bootstrap, "AT_ONCE", 1000)
+    got = bootstrap._shared(20260922, 5, 400, 120, members)
+    want = [bootstrap._sums(20260922, 400, 5, 400, 0, np.array([120]), v, c) for v, c in members]
+    assert sum(made) == 395 and np.allclose(got, want, rtol=1e-12, atol=1e-12)
+    n = 70_001
+    ranks = bootstrap.picks(3, np.full(n, 9), 0, np.arange(n), n)
+    assert (bootstrap._upto(3, np.array([9]), n)[0] == np.cumsum(np.bincount(ranks, minlength=n))).all()
+    df = spark.createDataFrame([(str(i % 3), float(x)) for i, x in enumerate(rng.normal(0, 1, 90))], "x string, v double")
+    alone = [tuple(bootstrap.bootstrap_means(df.where(F.col("x") == x), "v", 50, 9).first()) for x in "012"]
+    monkeypatch.setattr(bootstrap, "BLOCK", 40)  # three packs
+    rows = {r["x"]: tuple(r)[1:] for r in bootstrap.bootstrap_means(df, "v", 50, 9, ["x"]).collect()}
+    assert all(rows[x] == pytest.approx(alone[int(x)], abs=1e-12) for x in "012")
+
+
 def test_shares_add_up():
     sizes = np.array([5, 1, 100, 3, 40, 7, 9])
     shares = np.array([bootstrap._share(3, sizes, b, 500) for b in range(len(sizes))])
