@@ -58,8 +58,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fitting W
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = sentencepiece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    out = sentencepiece_codec.decode(ids, PIECES)
+    out = sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
     return out.select("doc_id", "n_ids", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
 
 

@@ -33,6 +33,8 @@ SPACE = 0x2581
 LOW = 128  # classes of the characters that most pieces hold: their steps in the trie are a table
 #: Characters of a batch that are encoded at once, and streams in lockstep.
 CHARS, STREAMS = 1 << 20, 1 << 14
+#: The former where a pass also decodes.
+BOTH_CHARS = 1 << 18
 
 
 def _starts(n: np.ndarray) -> np.ndarray:
@@ -440,3 +442,24 @@ def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids") -> DataFra
     kept = rows.drop("decoded")
     names = kept.columns
     return kept.select("*", rows[ids_col].alias("__ids")).mapInArrow(run, _with(kept.schema, ("decoded", T.StringType())))
+
+
+def round_trip(docs: DataFrame, model_path: str, *, text_col: str = "text") -> DataFrame:
+    """`decode` of `encode`, in one pass: a task has one Python worker with one model, not two.
+
+    docs with `ids`, `n_ids` and `decoded`; columns of these names are replaced, others stay.
+    """
+    batches(docs.sparkSession)
+    model = shipped(docs.sparkSession, model_path)
+
+    @tidy
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(model.value)
+        for b in parts:
+            ids, n = m.encode_all(b.column(b.num_columns - 1).to_pylist(), BOTH_CHARS)
+            packed = binary(ids, n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed, pa.array(n), pa.array(m.decode(packed.to_pylist()), pa.string())], names=[*names, "ids", "n_ids", "decoded"])
+
+    kept = docs.drop("ids", "n_ids", "decoded")
+    names = kept.columns
+    return kept.select("*", docs[text_col].alias("__text")).mapInArrow(run, _with(kept.schema, ("ids", T.BinaryType()), ("n_ids", T.LongType()), ("decoded", T.StringType())))

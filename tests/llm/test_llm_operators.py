@@ -367,6 +367,17 @@ def test_small_filter_changes_nothing(spark, docs):
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == lines_of(corpus(), 1, 5)
 
 
+@needs_pieces
+def test_round_trip_is_one_pass(spark, docs):
+    """The ids and texts of encode and decode, with one Python stage: two of them held twice the workers and models."""
+    rows = docs.withColumn("decoded", F.lit("clash"))
+    both = sentencepiece_codec.round_trip(rows, queries.PIECES)
+    parts = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, queries.PIECES), queries.PIECES)
+    assert both.columns == parts.columns and sorted(map(repr, both.collect())) == sorted(map(repr, parts.collect()))
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sentencepiece_codec.round_trip(docs.limit(0), queries.PIECES).count() == 0
+
+
 # ------------------------------------------------------------------ 7 CTW
 def test_tree_is_a_distribution_and_mixes():
     texts = [b"abracadabra", b"abrabra", b"", b"cadabra"]
