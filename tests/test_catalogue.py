@@ -39,3 +39,13 @@ def test_query(spark, name):
 
 def test_rows_only(spark):
     assert catalogue.QUERIES["note_rules"](spark, SF).count() > 0 and catalogue.QUERIES["strict_json_answers"](spark, SF).count() > 0
+
+
+def test_shard_coverage_sorts_no_lines(spark, tmp_path):
+    """Orders of 1, 4 and 9 lines and lines without an order: counted by order, no window over the lines."""
+    orders = [1] + [2] * 4 + [3] * 9 + [None] * 2
+    rows = [(o, i, 1, 1) for i, o in enumerate(orders)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalogue.QUERIES["shard_coverage"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 6, 3), (1, 4, 2), (2, 3, 2), (3, 3, 2)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
