@@ -27,8 +27,14 @@ class Run:
 
 def outcome_differences(valid: DataFrame, members: DataFrame, wrong: str, arms: tuple[str, str] = ("adaptive", "independent")) -> DataFrame:
     """(question_id, difference): whether any attempt of the first arm is wrong, less the same of the second; 1, 0 or -1 for each member."""
-    hit = lambda c: F.coalesce(F.max(F.when(F.col("condition") == c, F.col(wrong).cast("int"))), F.lit(0))
-    return members.join(valid.where(F.col("condition").isin(*arms)), "question_id", "left").groupBy("question_id").agg((hit(arms[0]) - hit(arms[1])).alias("difference"))
+    return _differences(valid, members, {"difference": wrong}, arms)
+
+
+def _differences(valid: DataFrame, members: DataFrame, named: dict[str, str], arms: tuple[str, str] = ("adaptive", "independent")) -> DataFrame:
+    """outcome_differences of several flags in one pass, each under its name."""
+    hit = lambda c, wrong: F.coalesce(F.max(F.when(F.col("condition") == c, F.col(wrong).cast("int"))), F.lit(0))
+    both = members.join(valid.where(F.col("condition").isin(*arms)), "question_id", "left")
+    return both.groupBy("question_id").agg(*((hit(arms[0], wrong) - hit(arms[1], wrong)).alias(name) for name, wrong in named.items()))
 
 
 def _slots(frame: DataFrame) -> dict[str, dict]:
@@ -77,10 +83,11 @@ def aggregate_run(rows: DataFrame, metadata: dict, *, decisions: DataFrame | Non
     empty = {"denominator": 0, "observed": 0, "correct": 0, "accuracy": None, "complete": True}
     undefined = lambda c: [{"k": i, "questions": 0, "provisional": 0, "confirmed": 0, "missing": 0, "provisional_rate": None, "confirmed_rate": None, "complete": True} for i in range(1, ks[c] + 1)]
     bootstrap: dict = {"valid": comparable, "at_k": facts["budget"], "draws": samples, "seed": seed}
-    for name in ("provisional", "confirmed"):
-        bootstrap[name] = {"n": facts["cohort"], "mean": None, "low": None, "high": None}
-        if comparable:
-            bootstrap[name] = attempts.paired_bootstrap(outcome_differences(valid, members, f"{name}_wrong"), "difference", samples, seed).first().asDict()
+    kinds = ["provisional", "confirmed"]
+    bootstrap |= {name: {"n": facts["cohort"], "mean": None, "low": None, "high": None} for name in kinds}
+    if comparable:
+        for r in attempts.paired_bootstraps(_differences(valid, members, {x: f"{x}_wrong" for x in kinds}), kinds, samples, seed).collect():  # two rows
+            bootstrap[r["value"]] = {c: v for c, v in r.asDict().items() if c != "value"}
     candidates = valid.where(F.col("condition").isin(reviews.REVIEWED))
     coverage = reports.review_coverage(candidates.withColumn("all", F.lit(1)), ["all"]).drop("all").first()
     summary = {

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.functions.arrays import let
 from gristmill.functions.canonical import raw_kind, raw_text
 from gristmill.functions.hashing import bucket, seed64
 from gristmill.functions.text import blank
@@ -262,24 +261,39 @@ OUTCOMES = 1 << 8
 
 
 def paired_bootstrap(differences: DataFrame, value: str, draws: int, seed: int) -> DataFrame:
-    """One row: n, mean, and the 95 % interval (linear interpolation) of the mean of resampled differences of outcomes, which have few values.
+    """One row: n, mean, and the 95 % interval of the mean of resampled differences; see paired_bootstraps."""
+    return paired_bootstraps(differences, [value], draws, seed).drop("value")
+
+
+def paired_bootstraps(differences: DataFrame, values: list[str], draws: int, seed: int) -> DataFrame:
+    """For each value column, a row: value, n, mean, and the 95 % interval (linear interpolation) of the mean of resampled differences of outcomes, which have few values.
 
     More than OUTCOMES distinct differences are an error: bootstrap.bootstrap_means takes real numbers.
 
-    Differences are first counted by value; a draw resamples multiplicities: n hashed picks, each falling into
-    a value's range of the cumulative counts. Picks are generated in parallel (draws x n rows), never collected.
+    Differences are first counted by value, in one pass for all columns; a draw resamples multiplicities: n hashed picks, each falling into
+    a value's range of the cumulative counts. Picks are made once for all columns, in parallel (draws x n rows), never collected.
     """
-    counts = differences.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    if counts.limit(OUTCOMES + 1).count() > OUTCOMES:
-        raise ValueError(f"more than {OUTCOMES} distinct differences")
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # over distinct values
-    bands = counts.withColumn("hi", F.sum("c").over(upto)).withColumn("lo", F.col("hi") - F.col("c"))
-    total = bands.agg(F.sum("c").alias("n"), F.sum(F.col(value) * F.col("c")).alias("s"), F.array_sort(F.collect_list(F.struct("hi", F.col(value).cast("double").alias("v")))).alias("bands"))
     spark = differences.sparkSession
-    picks = spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total)).where("n > 0")
-    picks = picks.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {PICKS}L)"))).withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {PICKS}, n) - 1)")))
-    at = F.pmod(bucket(seed, F.col("draw"), F.col("i")), F.col("n"))
-    v = let(at, lambda pick: F.element_at(F.filter("bands", lambda b: b["hi"] > pick), 1)["v"])
-    means = picks.withColumn("v", v).groupBy("draw").agg(F.avg("v").alias("m"))
-    bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    return total.join(F.broadcast(bounds)).select(F.coalesce("n", F.lit(0)).alias("n"), (F.col("s") / F.col("n")).alias("mean"), F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    each = differences.select(F.inline(F.array(*(F.struct(F.lit(c).alias("value"), F.col(c).cast("double").alias("v")) for c in values))))
+    counts = each.groupBy("value", "v").agg(F.count(F.lit(1)).alias("c")).limit(OUTCOMES * len(values) + 1).collect()
+    bands = {c: sorted(((r["v"], r["c"]) for r in counts if r["value"] == c), key=lambda x: (x[0] is not None, x[0])) for c in values}
+    if len(counts) > OUTCOMES * len(values) or any(len(x) > OUTCOMES for x in bands.values()):
+        raise ValueError(f"more than {OUTCOMES} distinct differences")
+    n = sum(c for _, c in bands[values[0]])
+    most = max(n, 1)  # without rows there are no draws either
+    picks = spark.range(draws if n else 0).withColumnRenamed("id", "draw")
+    picks = picks.withColumn("from", F.explode(F.expr(f"sequence(0L, {most - 1}L, {PICKS}L)"))).withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {PICKS}L, {most}L) - 1)")))
+    picks = picks.select("draw", F.pmod(bucket(seed, F.col("draw"), F.col("i")), F.lit(most)).alias("at"))
+
+    def picked(column: str) -> Column:
+        out, upto = F, 0
+        for v, c in bands[column]:
+            upto += c
+            out = out.when(F.col("at") < upto, F.lit(v).cast("double"))
+        return F.lit(None).cast("double") if out is F else out
+
+    means = picks.groupBy("draw").agg(*(F.avg(picked(c)).alias(f"m{i}") for i, c in enumerate(values)))
+    bounds = means.agg(*(F.percentile(f"m{i}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"p{i}") for i in range(len(values))))
+    mean = {c: sum(v * k for v, k in x if v is not None) / n if n else None for c, x in bands.items()}
+    rows = [F.struct(F.lit(c).alias("value"), F.lit(n).cast("long").alias("n"), F.lit(mean[c]).cast("double").alias("mean"), F.col(f"p{i}")[0].alias("low"), F.col(f"p{i}")[1].alias("high")) for i, c in enumerate(values)]
+    return bounds.select(F.inline(F.array(*rows)))

@@ -1,5 +1,6 @@
 """Bootstrap of real-valued means against a plain resampling by the same picks, and its distribution over several blocks."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -104,3 +105,17 @@ def test_picks_are_even():
 def test_outcomes_have_few_values(spark):
     with pytest.raises(ValueError, match="distinct"):
         attempts.paired_bootstrap(spark.range(300), "id", 10, 1)
+
+
+def test_outcomes_share_their_picks(spark):
+    """Several outcomes of the same rows: one pass of picks, and each the interval that it has alone."""
+    rows = [(i % 3 - 1, 1 if i % 5 == 0 else 0, 0.25 if i % 2 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, c double")
+    both = attempts.paired_bootstraps(df, ["a", "b", "c"], 100, 3)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    got = {r["value"]: tuple(r)[1:] for r in both.collect()}
+    assert got == {c: tuple(attempts.paired_bootstrap(df, c, 100, 3).first()) for c in "abc"}
+    values = sorted(r[0] for r in rows)
+    draw = lambda d: [values[int(hashlib.sha256(f"3|{d}|{i}".encode()).hexdigest()[:8], 16) % 200] for i in range(200)]
+    assert got["a"][2:] == pytest.approx(tuple(np.quantile([np.mean(draw(d)) for d in range(100)], [0.025, 0.975])))
+    assert [tuple(r) for r in attempts.paired_bootstraps(df.limit(0), ["a"], 10, 1).collect()] == [("a", 0, None, None, None)]
