@@ -27,6 +27,10 @@ def parse_whole(json: Column) -> Column:
     return F.when(inside, F.try_parse_json(json))
 
 
+#: In the schema of a VARIANT: perhaps a number that isn't spelt as it was.
+_RESPELT = "DECIMAL|DOUBLE|FLOAT|VARIANT"
+
+
 def float_text(d: Column) -> Column:
     """The shortest decimal that reads back as the same double; from 1e16 on and below 0.0001 with an exponent of two digits or more."""
 
@@ -71,7 +75,7 @@ def number_text(token: Column) -> Column:
     return F.when(whole, F.when(token == "-0", "0").otherwise(token)).otherwise(spelt)
 
 
-def _low(string: Column) -> Column:
+def low_digits(string: Column) -> Column:
     """A JSON string whose control characters are spelt with lower-case digits."""
 
     def spelt(s: Column) -> Column:
@@ -86,7 +90,7 @@ def _low(string: Column) -> Column:
 def json_string(text: Column) -> Column:
     """A text as a JSON string, characters beyond ASCII as they are."""
     whole = F.to_json(F.struct(text.alias("x")))
-    return F.when(text.isNotNull(), _low(F.substring(whole, F.lit(6), F.length(whole) - 6)))
+    return F.when(text.isNotNull(), low_digits(F.substring(whole, F.lit(6), F.length(whole) - 6)))
 
 
 def canonical_json(json: Column, spaced: bool = False) -> Column:
@@ -94,11 +98,19 @@ def canonical_json(json: Column, spaced: bool = False) -> Column:
 
     Null where the text is no JSON, or an object repeats a key.  Keys are sorted by UTF-16 units.
     """
+    if spaced:
+        return _by_tokens(json, parse_whole(json), True)
+    # VARIANT spells strings and 64-bit whole numbers as wanted; other numbers need their tokens
+    return let(json, lambda j: let(parse_whole(j), lambda v: F.when(~F.schema_of_variant(v).rlike(_RESPELT), low_digits(F.to_json(v))).otherwise(_by_tokens(j, v, False))))
+
+
+def _by_tokens(json: Column, value: Column, spaced: bool) -> Column:
+    """canonical_json of the texts whose VARIANT isn't null, from their tokens."""
     mark = lambda t: F.when(t.startswith('"'), F.concat(F.lit('"s'), F.substring(t, 2, 1 << 30))).when(t.rlike("^[-0-9]"), F.concat(F.lit('"n'), t, F.lit('"'))).otherwise(t)
-    marked = F.when(parse_whole(json).isNotNull(), F.array_join(F.transform(_tokens(json), mark), ""))
+    marked = F.when(value.isNotNull(), F.array_join(F.transform(_tokens(json), mark), ""))
     ordered = F.to_json(F.try_parse_json(marked))
 
-    string = lambda t: _low(F.concat(F.lit('"'), F.substring(t, 3, 1 << 30)))
+    string = lambda t: low_digits(F.concat(F.lit('"'), F.substring(t, 3, 1 << 30)))
     sep = {",": ", ", ":": ": "} if spaced else {}
     write = lambda t: F.when(t.startswith('"n'), number_text(F.substring(t, 3, F.length(t) - 3))).when(t.startswith('"'), string(t))
 

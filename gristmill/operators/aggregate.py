@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.operators import attempts, reports, reviews
 from gristmill.operators.protocol import percent_text
 from gristmill.sources import files, run_folder
-from gristmill.sources.held import held
+from gristmill.sources.held import held, stored
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,10 @@ def aggregate_run(rows: DataFrame, metadata: dict, *, decisions: DataFrame | Non
     An empty log has a summary of zeros; rates without a denominator are None.
     """
     spark = rows.sparkSession
+    rows = stored(reviews.bound(rows))  # typed and digested once, for the facts and the judgement
     facts = attempts.run_facts(rows, metadata, k)
     saved, rest, found = reviews.saved_decisions(decisions, order) if decisions is not None else (None, None, spark.createDataFrame([], attempts.ISSUE))
-    judged = held(attempts.judge(reviews.bound(rows), attempts.run_budgets(spark, facts, every=True), saved))
+    judged = stored(attempts.judge(rows, attempts.run_budgets(spark, facts, every=True), saved))
     valid = judged.where("exclusion_reason is null")
     base = attempts.cohort(valid).withColumn("member", F.lit(True))
     questions = held(attempts.run_questions(judged, metadata).join(base, "question_id", "left").select("question_id", "unexpected", F.coalesce("member", F.lit(False)).alias("member")))

@@ -141,12 +141,19 @@ def run_budgets(spark: SparkSession, facts: dict, every: bool = False) -> DataFr
     return spark.createDataFrame([("baseline", 0), *((c, facts["literal_count"] if c == "literal_control" else facts["budget"]) for c in names)], "condition string, budget int")
 
 
+def named_questions(spark: SparkSession, ids: list | DataFrame | None) -> DataFrame:
+    """(question_id) of ids that metadata lists, or has as a table with that column; any other value names none."""
+    if isinstance(ids, DataFrame):
+        return ids.select(F.col("question_id").cast("string").alias("question_id"))
+    return spark.createDataFrame([(str(q),) for q in ids] if isinstance(ids, list) else [], "question_id string")
+
+
 def run_questions(rows: DataFrame, metadata: dict) -> DataFrame:
-    """(question_id, unexpected): the questions of the log and those planned, once each; unexpected ones aren't in a plan that there is."""
+    """(question_id, unexpected): the questions of the log and those planned (see named_questions), once each; unexpected ones aren't in a plan that there is."""
     ids = metadata.get("question_ids", metadata.get("expected_question_ids", []))
-    planned = rows.sparkSession.createDataFrame([(str(q), True) for q in ids] if isinstance(ids, list) else [], "question_id string, planned boolean").distinct()
+    planned = named_questions(rows.sparkSession, ids).distinct().withColumn("planned", F.lit(True))
     seen = rows.where("question_id is not null").select(F.col("question_id").cast("string").alias("question_id")).distinct()
-    there = bool(ids) and isinstance(ids, list)
+    there = not ids.isEmpty() if isinstance(ids, DataFrame) else bool(ids) and isinstance(ids, list)
     return seen.join(planned, "question_id", "full").select("question_id", (F.lit(there) & F.col("planned").isNull()).alias("unexpected"))
 
 

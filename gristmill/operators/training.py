@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,9 @@ def item_violations(items: DataFrame, metadata: dict) -> DataFrame:
     """(question_id, reason): questions that are repeated, missing from or unknown to the run, no training questions, held out, or not those that were hashed."""
     spark = items.sparkSession
     ids = metadata.get("dataset_manifest", {}).get("selection", {}).get("sampled_ids", {})
-    named = [("planned", metadata.get("question_ids", [])), ("train", ids.get("train", [])), ("heldout", [*ids.get("dev", []), *ids.get("test", [])])]
-    lists = spark.createDataFrame([(str(q), name) for name, values in named for q in values], "question_id string, of string")
-    lists = lists.groupBy("question_id").agg(*(F.bool_or(F.col("of") == name).alias(name) for name, _ in named))
+    named = [("planned", metadata.get("question_ids")), ("train", ids.get("train")), ("heldout", ids.get("dev")), ("heldout", ids.get("test"))]
+    lists = reduce(DataFrame.unionByName, (attempts.named_questions(spark, values).withColumn("of", F.lit(name)) for name, values in named))
+    lists = lists.groupBy("question_id").agg(*(F.bool_or(F.col("of") == name).alias(name) for name in ("planned", "train", "heldout")))
     each = items.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("source_split") == "train") & (F.sha2("question", 256) == F.col("question_sha256"))).alias("same"))
     both = each.join(lists, "question_id", "full")
     said = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -60,12 +61,14 @@ def row_violations(rows: DataFrame, items: DataFrame) -> DataFrame:
     told = F.col("condition").isin(reviews.REVIEWED) & F.col("syntactic_valid")
     gold_text = F.element_at(F.array(*(F.col("__options")[x] for x in "ABCD")), F.instr(F.lit("ABCD"), F.col("__gold")))
     note = F.coalesce("note", F.lit(""))
-    again = canonical_json(protocol.target_messages(F.col("__question"), F.col("__options"), note))
+    again = protocol.target_messages(F.col("__question"), F.col("__options"), note)
+    # texts alone, so the same VARIANT text is the same canonical text, which is costly
+    same = F.when(F.col("target_messages") == F.to_json(F.try_parse_json(again)), True).otherwise(canonical_json(again).eqNullSafe(canonical_json(F.col("target_messages"))))
     where = F.concat(F.lit(" in "), "condition", F.lit("/"), F.col("attempt").cast("string"))
     rules = [
         (~F.col("gold").eqNullSafe(F.col("__gold")) | ~F.col("question_sha256").eqNullSafe(F.col("__sha")), "another gold letter or question"),
         (told & (F.size(note_reasons(note, F.col("__gold"), gold_text)) > 0), "the note breaks a rule"),
-        (told & ~again.eqNullSafe(canonical_json(F.col("target_messages"))), "the prompt isn't that of question and note"),
+        (told & ~same, "the prompt isn't that of question and note"),
     ]
     return both.select("question_id", F.concat(_first(*rules), where).alias("reason")).where("reason is not null")
 

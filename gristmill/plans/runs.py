@@ -18,7 +18,7 @@ from gristmill.operators import aggregate, attempts, protocol, reviews, training
 from gristmill.operators.experiment import CONTROLS
 from gristmill.plans.catalogue import K, b32, letter_sql, query, sha, table
 from gristmill.sources import files, run_folder
-from gristmill.sources.held import held, shared_dir
+from gristmill.sources.held import shared_dir, stored
 
 NOTES = ["A bird sat by the window all morning.", "The corridor was quiet after lunch.", "Somebody hummed a slow tune outside.", "The waiting room had green chairs.", "It rained a little before noon."]
 WORDS = ["first", "second", "third", "fourth"]
@@ -34,7 +34,9 @@ def slots(spark: SparkSession, sf_dir: str, faulty: bool) -> DataFrame:
     d = bucket("defect", *key) % DEFECTS if faulty else F.lit(-1)
     e = bucket("saved", *key) % 12 if faulty else F.when(bucket("saved", *key) % 7 == 0, 0).otherwise(99)
     right = bucket("gold", F.col("question_id")) % 4
-    rows = attempts.grid(users, budgets).withColumns({"d": d, "e": e, "right": right, "other": bucket("answer", *key) % 4, "pull": bucket("pull", *key) % 3 == 0, "st": bucket("status", *key) % 20, "clear": bucket("valid", *key) % 10 != 0})
+    # few users make many lines, and each is costly: dealt out by line, as the users' own bytes would fill one task
+    lines = attempts.grid(users, budgets).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *attempts.KEY)
+    rows = lines.withColumns({"d": d, "e": e, "right": right, "other": bucket("answer", *key) % 4, "pull": bucket("pull", *key) % 3 == 0, "st": bucket("status", *key) % 20, "clear": bucket("valid", *key) % 10 != 0})
     rows = rows.withColumns({
         "gold": F.when(F.col("d") == 6, "Z").otherwise(letter(F.when(F.col("d") == 11, (F.col("right") + 1) % 4).otherwise(F.col("right")))), "answer": F.when(F.col("d") == 8, "Q").otherwise(letter(F.when(F.col("pull"), F.col("other")).otherwise(F.col("right")))),
         "status": F.when(F.col("d") == 8, "ok").when(F.col("d") == 14, "error").when(F.col("d") == 4, "odd").when(F.col("st") == 0, "refusal").when(F.col("st") == 1, "format_error").otherwise("ok"),
@@ -88,7 +90,7 @@ def write_run(spark: SparkSession, sf_dir: str, name: str) -> str:
         put("review.csv", "some,other\ntable,here\n")
         return folder
     faulty = name == "faulty"
-    rows = held(slots(spark, sf_dir, faulty))
+    rows = stored(slots(spark, sf_dir, faulty))
     run_lines(rows).write.text(f"{folder}/worker_0.jsonl")
     files.write_csv(review_lines(rows), f"{folder}/review.csv", reviews.REVIEW_FIELDS)
     put("run.json", {"k": K, "run_kind": "evaluation" if faulty else "pilot"} | ({"n_questions": -1, "literal_control_count": 0, "question_ids": ["1"]} if faulty else {}))
@@ -203,11 +205,11 @@ SELECT q AS question_id, arm, variant, gold, selected_attempt, note, CASE WHEN s
     sha256('{{"original_question": "Which letter belongs to user ' || q || '?", "original_options": {{"A": "first", "B": "second", "C": "third", "D": "fourth"}}, "untrusted_reference_note": "' || note || '"}}') AS prompt_sha256 FROM told""".replace("\"The patient's favorite fruit is mango.\"", "'The patient''s favorite fruit is mango.'"))
 def training_rows(spark, sf_dir):
     """Training rows built from the planned run: questions without an approved pick for some arm are in none."""
-    rows = held(slots(spark, sf_dir, False))
+    rows = stored(slots(spark, sf_dir, False))
     lines = run_lines(rows).select(F.lit("worker_0.jsonl").alias("source_file"), F.lit(0).alias("source_line"), "value")
     log, _ = run_folder.typed_rows(lines)
     items = rows.where("condition = 'baseline'").select("question_id", "question", options().alias("options"), letter(F.col("right")).alias("answer_idx"), "question_sha256", F.lit("train").alias("source_split"))
-    ids = [r[0] for r in items.select("question_id").collect()]  # a run's metadata names its questions
+    ids = items.select("question_id")  # a run's metadata names its questions
     metadata = {"k": K, "run_kind": "pilot", "config": {"split": "train"}, "target_revision": "0" * 40, "question_ids": ids, "dataset_manifest": {"selection": {"sampled_ids": {"train": ids}}}}
     decisions = review_lines(rows).withColumn("place", F.monotonically_increasing_id())
     built = training.build_training(log, items, metadata, decisions=decisions)

@@ -64,20 +64,21 @@ def typed_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     A value of another type than its field's is null, not converted; ids of any type become text.  An absent clinical_review is pending.  answer_labels that are no list are an empty one, an
     element that is no text is null.  target_messages are JSON text.  Attempts beyond 32 bits count as the largest.
     """
-    raw = lines.select("source_file", "source_line", parse_whole(F.col("value")).alias("raw")).withColumn("whole", F.coalesce(F.schema_of_variant("raw").startswith("OBJECT"), F.lit(False)))
+    # exploded, so that what depends on the value parses no line again
+    raw = lines.select("source_file", "source_line", F.col("value").rlike(r"\A\s*\{").alias("object"), F.explode(F.array(parse_whole(F.col("value")))).alias("raw")).withColumn("whole", F.col("raw").isNotNull() & F.col("object"))
     fields = ["question_id", "attempt", *TEXTS, *FLAGS, *NUMBERS, "answer_labels", "target_messages"]
     parts = raw.where("whole").selectExpr("raw", "source_file", "source_line", *(f"try_variant_get(raw, '$.{c}', 'variant') as {c}" for c in fields))
 
     def when(c: str, kind: str, then: str) -> str:
-        return f"when regexp_extract(schema_of_variant({c}), '^[A-Z]+', 0) = '{kind}' then {then}"
+        return f"when schema_of_variant({c}) {kind} then {then}"
 
-    text = lambda c: when(c, "STRING", f"try_variant_get({c}, '$', 'string')")
+    text = lambda c: when(c, "= 'STRING'", f"try_variant_get({c}, '$', 'string')")
     labels = f"transform(try_variant_get(answer_labels, '$', 'array<variant>'), x -> case {text('x')} end)"
     typed = parts.select(
         "source_file", "source_line", raw_key_issue(F.col("raw")).alias("key_issue"), raw_text(F.col("question_id")).alias("question_id"), F.expr("cast(least(try_variant_get(attempt, '$', 'long'), 2147483647) as int) as attempt"),
         *(F.expr(f"case {text(c)} end as {c}") for c in TEXTS if c != "clinical_review"), F.expr(f"case when clinical_review is null then 'pending' {text('clinical_review')} end as clinical_review"),
-        *(F.expr("case " + when(c, "BOOLEAN", f"try_variant_get({c}, '$', 'boolean')") + f" end as {c}") for c in FLAGS), *NUMBERS,
-        F.expr("case when answer_labels is not null then case " + when("answer_labels", "ARRAY", labels) + " else cast(array() as array<string>) end end as answer_labels"), F.expr(f"coalesce(case {text('target_messages')} end, to_json(target_messages)) as target_messages"),
+        *(F.expr("case " + when(c, "= 'BOOLEAN'", f"try_variant_get({c}, '$', 'boolean')") + f" end as {c}") for c in FLAGS), *NUMBERS,
+        F.expr("case when answer_labels is not null then case " + when("answer_labels", "like 'ARRAY<%'", labels) + " else cast(array() as array<string>) end end as answer_labels"), F.expr(f"coalesce(case {text('target_messages')} end, to_json(target_messages)) as target_messages"),
     )
     bad = raw.where("not whole").select(F.lit("error").alias("severity"), F.lit("malformed_jsonl").alias("code"), "source_file", "source_line")
     return typed, bad

@@ -75,3 +75,13 @@ def test_raw_values(spark):
     got = spark.range(1).select(*(canonical.raw_kind(field(k)).alias(k) for k in kinds), *(canonical.raw_text(field(k)).alias(f"t{k}") for k in kinds)).first()
     assert {k: got[k] for k in kinds} == kinds
     assert {k: got[f"t{k}"] for k in kinds} == texts
+
+
+def test_canonical_of_plain_and_respelt_numbers(spark):
+    """Values whose VARIANT is spelt as wanted and those that need their tokens."""
+    plain = ['{"b":[1,-0,null,true],"a":"x\\u001F\\" /\\u007f é"}', "[]", ' [ {"z":"1.50", "y":9e} ]', '{"a":1,"a":2}', "999999999999999999", "-5", '"\\u2028"']
+    odd = ["[1.50]", '{"a":[1,"x",2.0]}', "1e5", "12345678901234567890123", "[1,2.5]", '{"a":{"b":-0.0}}']
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(plain + odd)], "i int, v string")
+    got = [r[0] for r in frame.orderBy("i").select(canonical.canonical_json(F.col("v"))).collect()]
+    want = ['{"a":"x\\u001f\\" /\x7f é","b":[1,0,null,true]}', "[]", None, None, "999999999999999999", "-5", '" "', "[1.5]", '{"a":[1,"x",2.0]}', "100000.0", "12345678901234567890123", "[1,2.5]", '{"a":{"b":-0.0}}']
+    assert got == want

@@ -124,3 +124,27 @@ def test_target_messages(spark):
     got = [r[0] for r in df.select(protocol.target_messages(F.col("q"), options, F.col("n"))).collect()]
     assert json.loads(got[0]) == messages("a \x1f\x7f/", "n") and got[0] == json.dumps(messages("a \x1f\x7f/", "n"), ensure_ascii=False)
     assert got[1:3] == [None, None] and json.loads(got[3]) == messages("a", "")
+
+
+def test_questions_as_a_table(spark):
+    """A run's questions may be a table, which never passes through the driver, as well as a list."""
+    from gristmill.operators import attempts
+
+    rows, items, metadata = source(("q1", "q2"))
+    frame = frames(spark, rows, items)
+    ids = spark.createDataFrame([("q1",), ("q3",)], "question_id string")
+    listed = {"question_ids": ["q1", "q3"], "dataset_manifest": {"selection": {"sampled_ids": {"train": ["q1", "q3"], "dev": ["q2"]}}}}
+    table = {"question_ids": ids, "dataset_manifest": {"selection": {"sampled_ids": {"train": ids, "dev": ["q2"]}}}}
+    for what in (lambda m: training.item_violations(frame[1], m), lambda m: attempts.run_questions(frame[0], m)):
+        assert sorted(map(tuple, what(table).collect())) == sorted(map(tuple, what(listed).collect()))
+    none = attempts.run_questions(frame[0], {"question_ids": ids.where("false")}).collect()
+    assert {tuple(r) for r in none} == {("q1", False), ("q2", False)}
+    assert build(spark, rows, items, metadata | {"question_ids": ids.where("question_id = 'q1'").union(spark.createDataFrame([("q2",)], "question_id string"))}).rows.count() == 16
+
+
+def test_slots_are_dealt_out(spark, tmp_path):
+    """Few users make many lines: these lie in as many partitions as a shuffle has, not in the users' one."""
+    from gristmill.plans import runs
+
+    spark.createDataFrame([(i,) for i in range(50)], "user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert runs.slots(spark, str(tmp_path), False).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
