@@ -49,3 +49,8 @@ def test_shard_coverage_sorts_no_lines(spark, tmp_path):
     out = catalogue.QUERIES["shard_coverage"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in out.collect()) == [(0, 6, 3), (1, 4, 2), (2, 3, 2), (3, 3, 2)]
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_note_rules_are_dealt_out(spark):
+    """A file of one block is judged in as many tasks as a shuffle has."""
+    assert catalogue.QUERIES["note_rules"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
