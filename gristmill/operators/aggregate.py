@@ -119,7 +119,7 @@ def aggregate_folder(spark: SparkSession, folder: str, *, k: int | None = None,
     unreadable = not c.isEmpty()
     found = a.unionByName(b).unionByName(c).unionByName(run_folder.generation_issues(spark, folder))
     run = aggregate_run(rows, metadata, decisions=decisions, read_issues=found, k=k, samples=samples, seed=seed)
-    run = replace(run, review=None if unreadable else held(run.review))  # held: the old table is read no more
+    run = replace(run, review=None if unreadable else held(run.review) if write else run.review)  # held: the old table is read no more once it is replaced
     if write:
         files.write_small(spark, f"{folder}/summary.json", json.dumps(run.summary, ensure_ascii=False, indent=2) + "\n")
         files.write_small(spark, f"{folder}/report.md", report(run.summary))
